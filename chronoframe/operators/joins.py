@@ -133,8 +133,10 @@ def pollutant_limits(spark: SparkSession) -> DataFrame:
 
 
 def pollutant_long(df: DataFrame, id_cols: Sequence[str]) -> DataFrame:
-    """Unpivot the pollutant columns present in ``df`` and attach their limits."""
+    """Unpivot the pollutant columns present in ``df`` and attach their limits.
+
+    Absent readings are dropped (the reference cannot render them either)."""
     present = [p for p, *_ in POLLUTANT_LIMITS if p in df.columns]
     long = df.select(*id_cols, *[F.col(p).cast("double") for p in present]).unpivot(
-        list(id_cols), present, "pollutant", "value")
+        list(id_cols), present, "pollutant", "value").where(F.col("value").isNotNull())
     return long.join(F.broadcast(pollutant_limits(df.sparkSession)), on="pollutant", how="inner")
