@@ -1,4 +1,4 @@
 """All registered queries: importing the theme modules fills the registry."""
 
-from chronoframe.plans import q_asof, q_cleaning, q_windows  # noqa: F401
+from chronoframe.plans import q_asof, q_cleaning, q_eval, q_windows  # noqa: F401
 from chronoframe.plans.registry import ORACLE, QUERIES  # noqa: F401
