@@ -12,7 +12,9 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronoframe.operators.windows import with_ordinal
+from pyspark.sql import Window
+
+from chronoframe.operators.windows import DEFAULT_CHUNK_ROWS, heavy_keys, with_ordinal
 
 
 def _ts(v: str) -> Column:

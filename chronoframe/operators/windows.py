@@ -10,7 +10,14 @@ produced by earlier stages) under one of two physical strategies:
     WindowExec for all expressions of a stage.  A task holds a whole series,
     so this is only safe when no series is large.
 
-``halo`` (default)
+``auto`` (default)
+    One key-only count finds the series longer than ``chunk_rows``.  There
+    are at most ``N / chunk_rows`` of them, so that key set has a proven
+    size bound and is broadcast: light series run the ``series`` plan, heavy
+    ones the ``halo`` plan, and the two results are unioned.  When no series
+    is heavy the plan is exactly ``series``.
+
+``halo``
     Skew-safe.  Exact per-series row ordinals are computed from per
     ``(keys, time bucket)`` counts (:func:`with_ordinal`); each series is cut
     into chunks of ``chunk_rows`` ordinals and the last ``H`` rows of a chunk
@@ -179,13 +186,33 @@ def _as_stages(stages) -> list[list[WinExpr]]:
     return [list(s) for s in stages]
 
 
+def heavy_keys(df: DataFrame, keys: Sequence[str], chunk_rows: int) -> DataFrame:
+    """Series with more than ``chunk_rows`` rows (at most ``N / chunk_rows`` of them)."""
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    return counts.where(F.col("_n") > chunk_rows).select(*keys)
+
+
 def window_features(df: DataFrame, stages, keys: Sequence[str] = ("series_id",),
-                    order: Sequence[str] = ("time",), strategy: str = "halo",
+                    order: Sequence[str] = ("time",), strategy: str = "auto",
                     chunk_rows: int = DEFAULT_CHUNK_ROWS, bucket: str = "hour") -> DataFrame:
     """Evaluate window expressions stage by stage; see the module docstring."""
     stages = _as_stages(stages)
     keys, order = list(keys), list(order)
     order_cols = [F.col(o) for o in order]
+    if strategy == "auto":
+        heavy = heavy_keys(df, keys, chunk_rows)
+        # size check (an action on the key-only count): decides the physical plan
+        if heavy.limit(1).count() == 0:
+            return window_features(df, stages, keys, order, "series", chunk_rows, bucket)
+        if not keys:
+            return window_features(df, stages, keys, order, "halo", chunk_rows, bucket)
+        hk = F.broadcast(heavy.select(*[F.col(k).alias(f"_hk_{i}") for i, k in enumerate(keys)]))
+        cond = [df[k].eqNullSafe(hk[f"_hk_{i}"]) for i, k in enumerate(keys)]
+        light_rows = df.join(hk, on=cond, how="left_anti")
+        heavy_rows = df.join(hk, on=cond, how="left_semi")
+        light = window_features(light_rows, stages, keys, order, "series", chunk_rows, bucket)
+        heavy_out = window_features(heavy_rows, stages, keys, order, "halo", chunk_rows, bucket)
+        return light.unionByName(heavy_out)
     if strategy == "series":
         w = Window.partitionBy(*keys).orderBy(*order_cols)
         ctx = Ctx(w, keys, order_cols, order[0])
@@ -223,7 +250,7 @@ def window_features(df: DataFrame, stages, keys: Sequence[str] = ("series_id",),
 # --------------------------------------------------------------------------- unbounded fill
 
 def ffill_unbounded(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = ("series_id",),
-                    order: Sequence[str] = ("time",), strategy: str = "series",
+                    order: Sequence[str] = ("time",), strategy: str = "halo",
                     chunk_rows: int = DEFAULT_CHUNK_ROWS, bucket: str = "hour") -> DataFrame:
     """Forward fill without limit.
 

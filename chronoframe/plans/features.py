@@ -102,7 +102,7 @@ def static_features(df: DataFrame, time_col: str = "time", tz: str | None = None
 
 
 def engineer_features(df: DataFrame, profile: str = "batch", keys: Sequence[str] = (),
-                      order: Sequence[str] = ("time",), strategy: str = "halo",
+                      order: Sequence[str] = ("time",), strategy: str = "auto",
                       tz: str | None = None, festivals: DataFrame | None = None,
                       target: str = TARGET, median_keys: Sequence[str] | None = None) -> DataFrame:
     """Full feature table for one of the profiles listed in the module docstring."""

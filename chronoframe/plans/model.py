@@ -40,7 +40,7 @@ SEARCH_SPACE = {"maxIter": (300, 1200, 100), "maxDepth": (3, 9), "stepSize": (0.
 # --------------------------------------------------------------------------- audit
 
 def leakage_audit(df: DataFrame, target: str = TARGET, keys: Sequence[str] = (),
-                  order: Sequence[str] = ("time",), strategy: str = "halo",
+                  order: Sequence[str] = ("time",), strategy: str = "auto",
                   feature_list: Sequence[str] = ()) -> DataFrame:
     """Target-leakage audit (M12): count of excluded columns in the feature list
     and the max residual of ``y = 3*mean3 - lag1 - lag2`` with the current row
@@ -195,7 +195,7 @@ def score_latest(model: PipelineModel, feats: DataFrame, feature_list: Sequence[
 
 def direct_horizon_backtest(df: DataFrame, feature_cols: Sequence[str], horizons: Sequence[int] = (6, 12, 24, 48),
                             target: str = TARGET, params: dict | None = None, keys: Sequence[str] = (),
-                            order: Sequence[str] = ("time",), strategy: str = "halo") -> DataFrame:
+                            order: Sequence[str] = ("time",), strategy: str = "auto") -> DataFrame:
     """Per horizon: lead target, complete cases, positional 80/20, fit, score,
     baseline (y(t) as forecast) vs model metrics (M10)."""
     leads = W.window_features(df, [W.lead(target, h, f"_t{h}") for h in horizons],

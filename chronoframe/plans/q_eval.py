@@ -263,5 +263,5 @@ def q_leakage_audit(spark, sf):
     """F1 made measurable: with the current row inside the 3-row mean the target is
     an exact linear function of three features; the leak-free frame breaks it (M12)."""
     from chronoframe.plans.model import leakage_audit
-    return _round_all(leakage_audit(hourly(spark, sf), keys=[], strategy="halo"), six=(
+    return _round_all(leakage_audit(hourly(spark, sf), keys=[], strategy="auto"), six=(
         "max_identity_error", "leak_free_max_identity_error"))

@@ -25,8 +25,8 @@ def rows(spark, sf):
     return V.event_rows(spark, sf)
 
 
-def rwin(df, exprs, strategy="halo"):
-    return W.window_features(df, exprs, keys=KEYS, order=ORDER, strategy=strategy)
+def rwin(df, exprs, strategy="auto", chunk_rows=W.DEFAULT_CHUNK_ROWS):
+    return W.window_features(df, exprs, keys=KEYS, order=ORDER, strategy=strategy, chunk_rows=chunk_rows)
 
 
 def _rframe(n: int) -> str:
@@ -310,3 +310,63 @@ def q_topk_importance(spark, sf):
     # at most 5 rows reach this window (bounded by k)
     w = Window.orderBy(F.desc("importance"), "feature")
     return top.select("feature", r9("importance"), F.row_number().over(w).cast("int").alias("rank"))
+
+
+_FEAT_ROWS = ([("lag", n) for n in (1, 2, 3, 6, 12, 24, 48, 72)]
+              + [("mean", n) for n in (3, 6, 12, 24, 48)] + [("std", 24), ("min", 24), ("max", 24), ("sum", 24)])
+
+
+def _feat_name(kind: str, n: int) -> str:
+    return f"value_lag_{n}" if kind == "lag" else f"value_roll_{kind}_{n}"
+
+
+def _feat_sql(kind: str, n: int) -> str:
+    if kind == "lag":
+        return f"round(lag(value, {n}) {WSQL}, 9) AS {_feat_name(kind, n)}"
+    fn = {"mean": "avg", "std": "stddev_samp", "min": "min", "max": "max", "sum": "sum"}[kind]
+    return f"round({fn}(value) {_rframe(n)}, {6 if kind == 'std' else 9}) AS {_feat_name(kind, n)}"
+
+
+@register("features_rows", f"""
+SELECT event_id, user_id AS series_id, {", ".join(_feat_sql(k, n) for k, n in _FEAT_ROWS)} FROM events
+""")
+def q_features_rows(spark, sf):
+    """The full lag/rolling block of the feature table over every series in one window stage."""
+    exprs = [W.lag("value", n, _feat_name(k, n)) if k == "lag" else W.rolling("value", n, k, _feat_name(k, n))
+             for k, n in _FEAT_ROWS]
+    out = rwin(rows(spark, sf), exprs)
+    return _round_all(out.select("event_id", "series_id", *[_feat_name(k, n) for k, n in _FEAT_ROWS]),
+                      six=tuple(_feat_name(k, n) for k, n in _FEAT_ROWS if k == "std"))
+
+
+@register("lineitem_metrics", """
+SELECT l_returnflag, l_linestatus, count(*) AS n,
+       round(avg(abs(l_extendedprice * (1 - l_discount) - l_extendedprice)), 9) AS mae,
+       round(sqrt(avg((l_extendedprice * (1 - l_discount) - l_extendedprice) * (l_extendedprice * (1 - l_discount) - l_extendedprice))), 9) AS rmse,
+       round(1 - sum((l_extendedprice * (1 - l_discount) - l_extendedprice) * (l_extendedprice * (1 - l_discount) - l_extendedprice))
+             / nullif(count(*) * var_pop(l_extendedprice * (1 - l_discount)), 0), 9) AS r2
+FROM lineitem GROUP BY l_returnflag, l_linestatus
+""")
+def q_lineitem_metrics(spark, sf):
+    """MAE / RMSE / R^2 of gross price as a predictor of net revenue per status group (A7 at scale)."""
+    li = V.table(spark, sf, "lineitem").select(
+        "l_returnflag", "l_linestatus",
+        (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("net"), F.col("l_extendedprice").alias("gross"))
+    return _round_all(A.regression_metrics(li, "net", "gross", keys=["l_returnflag", "l_linestatus"]))
+
+
+@register("lag_rows_halo", f"""
+SELECT event_id, user_id AS series_id, round(lag(value, 1) {WSQL}, 9) AS value_lag_1,
+       round(lag(value, 24) {WSQL}, 9) AS value_lag_24, round(lead(value, 24) {WSQL}, 9) AS value_lead_24,
+       round(avg(value) {_rframe(24)}, 9) AS value_roll_mean_24
+FROM events
+""")
+def q_lag_rows_halo(spark, sf):
+    """Same lags as ``lag_rows`` with every series treated as hot: 60-row chunks
+    with a 24-row halo on each side, i.e. the skew path, checked against the
+    plain window of the oracle."""
+    exprs = [W.lag("value", 1, "value_lag_1"), W.lag("value", 24, "value_lag_24"),
+             W.lead("value", 24, "value_lead_24"), W.rolling("value", 24, "mean", "value_roll_mean_24")]
+    out = rwin(rows(spark, sf), exprs, strategy="auto", chunk_rows=60)
+    return out.select("event_id", "series_id", r9("value_lag_1"), r9("value_lag_24"), r9("value_lead_24"),
+                      r9("value_roll_mean_24"))
