@@ -23,6 +23,8 @@ from typing import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronoframe.session import cut_lineage
+
 
 def to_long(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = (),
             name_col: str = "column", value_col: str = "_v") -> DataFrame:
@@ -32,36 +34,43 @@ def to_long(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = (),
     return long.where(F.col(value_col).isNotNull() & ~F.isnan(value_col))
 
 
+def _ranked(long: DataFrame, groups: list[str], ranks: DataFrame) -> DataFrame:
+    w = Window.partitionBy(*groups).orderBy("_v")
+    return (long.select(*groups, "_v", (F.row_number().over(w) - 1).alias("_r"))
+            .join(ranks, on=[*groups, "_r"], how="inner")
+            .select(*groups, "_r", F.col("_v").alias("_val")))
+
+
 def _values_at_ranks(long: DataFrame, groups: list[str], ranks: DataFrame,
-                     small: int, buckets: int, depth: int) -> DataFrame:
+                     small: int, buckets: int, depth: int, max_depth: int = 6) -> DataFrame:
     """``ranks(groups, _r)`` -> ``(groups, _r, _val)`` with the ``_r``-th smallest value."""
     cnt = long.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"))
+    # size check on the per-group count table decides if a bucket level is needed
+    if depth >= max_depth or cnt.where(F.col("_n") > small).limit(1).count() == 0:
+        return _ranked(long, groups, ranks)
     sized = long.join(cnt, on=groups)
-    w = Window.partitionBy(*groups).orderBy("_v")
-    small_vals = (sized.where(F.col("_n") <= small)
-                  .select(*groups, "_v", (F.row_number().over(w) - 1).alias("_r"))
-                  .join(ranks, on=[*groups, "_r"], how="inner")
-                  .select(*groups, "_r", F.col("_v").alias("_val")))
-    # size check on the small per-group count table decides if a bucket level is needed
-    if depth >= 6 or cnt.where(F.col("_n") > small).limit(1).count() == 0:
-        return small_vals
+    small_vals = _ranked(sized.where(F.col("_n") <= small).drop("_n"), groups, ranks)
+    bn = f"_b{depth}"
     big = sized.where(F.col("_n") > small).drop("_n")
     probs = [i / buckets for i in range(1, buckets)]
     edges = big.groupBy(*groups).agg(
         F.percentile_approx("_v", probs, buckets * 20).alias("_edges"))
     bb = big.join(edges, on=groups).withColumn(
-        "_b", F.size(F.filter("_edges", lambda e: e < F.col("_v")))).drop("_edges")
-    bc = bb.groupBy(*groups, "_b").agg(F.count(F.lit(1)).alias("_bn"))
-    wo = Window.partitionBy(*groups).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+        bn, F.size(F.filter("_edges", lambda e: e < F.col("_v")))).drop("_edges")
+    bc = bb.groupBy(*groups, bn).agg(F.count(F.lit(1)).alias("_bn"))
+    wo = Window.partitionBy(*groups).orderBy(bn).rowsBetween(Window.unboundedPreceding, -1)
     bc = bc.withColumn("_lo", F.coalesce(F.sum("_bn").over(wo), F.lit(0)))
     # each wanted rank -> its bucket (a group has <= buckets rows here and few ranks)
     located = (ranks.join(bc, on=groups)
                .where((F.col("_r") >= F.col("_lo")) & (F.col("_r") < F.col("_lo") + F.col("_bn")))
-               .select(*groups, "_b", "_r", (F.col("_r") - F.col("_lo")).alias("_rr"), "_lo"))
-    sub = bb.join(located.select(*groups, "_b").distinct(), on=[*groups, "_b"], how="left_semi")
-    sub_ranks = located.select(*groups, "_b", F.col("_rr").alias("_r")).distinct()
-    inner = _values_at_ranks(sub, [*groups, "_b"], sub_ranks, small, buckets, depth + 1)
-    big_vals = (located.join(inner.withColumnRenamed("_r", "_rr"), on=[*groups, "_b", "_rr"])
+               .select(*groups, bn, "_r", (F.col("_r") - F.col("_lo")).alias("_rr")))
+    located = cut_lineage(located)
+    # only the rows of the located buckets go one level down; lineage is cut so
+    # plans stay flat however deep the refinement goes
+    sub = cut_lineage(bb.join(located.select(*groups, bn).distinct(), on=[*groups, bn], how="left_semi"))
+    sub_ranks = located.select(*groups, bn, F.col("_rr").alias("_r")).distinct()
+    inner = _values_at_ranks(sub, [*groups, bn], sub_ranks, small, buckets, depth + 1, max_depth)
+    big_vals = (located.join(inner.withColumnRenamed("_r", "_rr"), on=[*groups, bn, "_rr"])
                 .select(*groups, "_r", "_val"))
     return small_vals.unionByName(big_vals)
 

@@ -14,7 +14,7 @@ SF01 = "/root/testdata/sf0.01"
 def spark():
     from chronoframe.session import get_session
     s = get_session("local[*]", app="chronoframe-tests", shuffle_partitions=8,
-                    extra={"spark.ui.showConsoleProgress": "false"})
+                    extra={"spark.ui.showConsoleProgress": "false", "spark.driver.memory": "6g"})
     yield s
     s.stop()
 
