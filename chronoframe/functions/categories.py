@@ -96,7 +96,8 @@ def confidence_band(pred_col, rmse: float = MODEL_RMSE) -> tuple[Column, Column]
     """``max(0, p - round(rmse))``, ``p + round(rmse)`` (C16); ``p`` is already an integer."""
     width = int(round(rmse))
     p = _c(pred_col)
-    return F.greatest(F.lit(0), p - width), p + width
+    # ``greatest`` skips nulls, so guard it: a missing forecast has no band
+    return F.when(p.isNotNull(), F.greatest(F.lit(0), p - width)), p + width
 
 
 def multiplicative_band(col, low: float = 0.92, high: float = 1.08) -> tuple[Column, Column]:
