@@ -4,8 +4,11 @@ Spark's exact ``percentile``/``median`` merge every distinct value of a
 group into one aggregation buffer, so one hot group (or a global median)
 lands whole in one task.  Here:
 
-* groups with at most ``small_group_rows`` values are ranked directly with
-  ``row_number`` (bounded per task);
+* when every group has at most ``small_group_rows`` values (checked on the
+  per-group count table) Spark's exact ``percentile`` aggregate is used -- its
+  per-group buffer is then bounded;
+* otherwise groups with at most ``small_group_rows`` values are ranked
+  directly with ``row_number`` (bounded per task);
 * larger groups get ``buckets - 1`` approximate quantile edges
   (``percentile_approx``, mergeable sketches), values are counted per
   bucket, each wanted rank is located in its bucket, and only that bucket's
@@ -80,6 +83,14 @@ def quantiles_long(long: DataFrame, groups: Sequence[str], probs: Sequence[float
     """Exact quantiles of ``_v`` per ``groups`` -> ``(groups, p, value)``."""
     groups = list(groups)
     cnt = long.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"))
+    # size check: when every group is bounded, the exact ``percentile`` aggregate
+    # (one bounded buffer per group, object-hash aggregation with sort fallback)
+    # is the cheapest exact plan
+    if cnt.where(F.col("_n") > small_group_rows).limit(1).count() == 0:
+        pl = [float(p) for p in probs]
+        agg = long.groupBy(*groups).agg(F.percentile("_v", F.array(*[F.lit(p) for p in pl])).alias("_q"))
+        return agg.select(*groups, F.posexplode("_q").alias("_i", "value")).select(
+            *groups, F.element_at(F.array(*[F.lit(p) for p in pl]), F.col("_i") + 1).alias("p"), "value")
     pa = F.array(*[F.lit(float(p)) for p in probs])
     tg = (cnt.select(*groups, "_n", F.explode(pa).alias("p"))
           .withColumn("_pos", F.col("p") * (F.col("_n") - 1))
