@@ -104,9 +104,22 @@ def static_features(df: DataFrame, time_col: str = "time", tz: str | None = None
 def engineer_features(df: DataFrame, profile: str = "batch", keys: Sequence[str] = (),
                       order: Sequence[str] = ("time",), strategy: str = "auto",
                       tz: str | None = None, festivals: DataFrame | None = None,
-                      target: str = TARGET, median_keys: Sequence[str] | None = None) -> DataFrame:
-    """Full feature table for one of the profiles listed in the module docstring."""
+                      target: str = TARGET, median_keys: Sequence[str] | None = None,
+                      since: str | None = None, lookback_hours: int = 75) -> DataFrame:
+    """Full feature table for one of the profiles listed in the module docstring.
+
+    ``since`` computes features only for rows at or after that instant: the
+    input is first bounded to ``since - lookback_hours`` (the bound reaches the
+    file scan), features are built, then rows before ``since`` are dropped.
+    The default 75 h is the longest chained look-back (lag 72 + ffill 3) on an
+    hourly series; medians then come from the bounded frame.
+    """
     keys, order = list(keys), list(order)
+    if since is not None:
+        lo = F.lit(since).cast("timestamp_ntz") - F.expr(f"INTERVAL {lookback_hours} HOURS")
+        full = engineer_features(df.where(F.col(order[0]) >= lo), profile, keys, order, strategy, tz,
+                                 festivals, target, median_keys)
+        return full.where(F.col(order[0]) >= F.lit(since).cast("timestamp_ntz"))
     time_col = order[0]
     wkw = dict(keys=keys, order=order, strategy=strategy)
     median_keys = keys if median_keys is None else list(median_keys)

@@ -10,6 +10,7 @@ rows.
 
 from __future__ import annotations
 
+import math
 import random
 from typing import Sequence
 
@@ -81,6 +82,22 @@ def fit(df: DataFrame, feature_cols: Sequence[str], target: str = TARGET, params
     return Pipeline(stages=[asm, gbt]).fit(clean)
 
 
+def save_model(model: PipelineModel, path: str, feature_list: Sequence[str]) -> None:
+    """Persist the pipeline and its ordered feature list side by side."""
+    model.write().overwrite().save(f"{path}/pipeline")
+    spark = SparkSession.getActiveSession()
+    spark.createDataFrame([(i, c) for i, c in enumerate(feature_list)], "pos int, feature string") \
+        .coalesce(1).write.mode("overwrite").parquet(f"{path}/features")
+
+
+def load_model(path: str) -> tuple[PipelineModel, list[str]]:
+    """Load a saved pipeline and feature list; a missing artefact is an error."""
+    spark = SparkSession.getActiveSession()
+    model = PipelineModel.load(f"{path}/pipeline")
+    rows = spark.read.parquet(f"{path}/features").orderBy("pos").collect()  # one row per feature name
+    return model, [r.feature for r in rows]
+
+
 def score(model: PipelineModel, df: DataFrame) -> DataFrame:
     return model.transform(df)
 
@@ -115,22 +132,25 @@ def cross_validate(df: DataFrame, feature_cols: Sequence[str], target: str = TAR
 
 
 def random_search(train: DataFrame, val: DataFrame, feature_cols: Sequence[str], target: str = TARGET,
-                  n_trials: int = 10, seed: int = 42) -> tuple[dict, float]:
+                  n_trials: int = 10, seed: int = 42, space: dict | None = None) -> tuple[dict, float]:
     """Seeded random search minimising validation RMSE (M4; TPE itself not built).
 
     Each trial is a Spark fit; only the (params, rmse) pairs live on the driver.
     """
+    sp = dict(SEARCH_SPACE)
+    sp.update(space or {})
     rng = random.Random(seed)
     best, best_rmse = None, float("inf")
     for _ in range(n_trials):
-        lo, hi, step = SEARCH_SPACE["maxIter"]
+        lo, hi, step = sp["maxIter"]
+        slo, shi = sp["stepSize"]
         p = {"maxIter": rng.randrange(lo, hi + 1, step),
-             "maxDepth": rng.randint(*SEARCH_SPACE["maxDepth"]),
-             "stepSize": 10 ** rng.uniform(-2, -0.8239),
-             "subsamplingRate": rng.uniform(*SEARCH_SPACE["subsamplingRate"]),
-             "featureSubsetStrategy": str(round(rng.uniform(*SEARCH_SPACE["featureSubset"]), 3)),
-             "minInstancesPerNode": rng.randint(*SEARCH_SPACE["minInstancesPerNode"]),
-             "minInfoGain": rng.uniform(*SEARCH_SPACE["minInfoGain"])}
+             "maxDepth": rng.randint(*sp["maxDepth"]),
+             "stepSize": 10 ** rng.uniform(math.log10(slo), math.log10(shi)),
+             "subsamplingRate": rng.uniform(*sp["subsamplingRate"]),
+             "featureSubsetStrategy": str(round(rng.uniform(*sp["featureSubset"]), 3)),
+             "minInstancesPerNode": rng.randint(*sp["minInstancesPerNode"]),
+             "minInfoGain": rng.uniform(*sp["minInfoGain"])}
         m = fit(train, feature_cols, target, p)
         rmse = evaluate(m, val, feature_cols, target).first()["rmse"]
         if rmse is not None and rmse < best_rmse:

@@ -65,3 +65,41 @@ def test_cross_validate_shapes(spark, feats):
     assert per_fold.count() == 5
     row = summary.first()
     assert row["n_splits"] == 5 and row["rmse_std"] >= 0
+
+
+def test_since_pushdown_matches_full_build_for_live_profile(spark, synthetic):
+    since = "2023-01-06 00:00:00"
+    full = FE.engineer_features(synthetic, "live").where(F.col("time") >= F.lit(since).cast("timestamp_ntz"))
+    part = FE.engineer_features(synthetic, "live", since=since)
+    cols = sorted(full.columns)
+    a = full.select(cols).orderBy("time").toPandas()
+    b = part.select(cols).orderBy("time").toPandas()
+    import pandas as pd
+    pd.testing.assert_frame_equal(a, b)
+
+
+def test_model_save_load_and_permutation(spark, feats):
+    from tests.conftest import tmpdir_new
+    fl = ["aqi_lag_1", "aqi_lag_2", "aqi_roll_mean_3", "hour_sin"]
+    model = M.fit(feats, fl, params={"maxIter": 3, "maxDepth": 2})
+    d = tmpdir_new()
+    M.save_model(model, d, fl)
+    loaded, names = M.load_model(d)
+    assert names == fl
+    a = model.transform(feats).select("prediction").collect()
+    b = loaded.transform(feats).select("prediction").collect()
+    assert a == b
+    perm = M.permutation_importance(model, feats, fl, sample_rows=100).collect()
+    assert {r.feature for r in perm} == set(fl)
+    with pytest.raises(Exception):
+        M.load_model(d + "/missing")
+
+
+def test_random_search_returns_params(spark, feats):
+    from chronoframe.operators import splits as S
+    fl = ["aqi_lag_1", "aqi_roll_mean_3"]
+    lab = S.positional_split(feats, 0.8)
+    small = {"maxIter": (2, 4, 1), "maxDepth": (2, 3)}
+    best, rmse = M.random_search(lab.where("split = 'train'"), lab.where("split = 'test'"), fl, n_trials=2,
+                                 space=small)
+    assert "maxDepth" in best and rmse >= 0
