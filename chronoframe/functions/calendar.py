@@ -68,8 +68,8 @@ def plus_hours(col, hours: int) -> Column:
 
 
 def epoch_to_timestamp(col) -> Column:
-    """Epoch seconds -> timestamp without zone, read as UTC."""
-    return F.timestamp_seconds(_c(col)).cast("timestamp_ntz")
+    """Epoch seconds -> UTC wall clock as ``timestamp_ntz`` (S5), independent of the session zone."""
+    return F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'") + F.make_dt_interval(secs=_c(col))
 
 
 def floor_hour(col) -> Column:

@@ -370,3 +370,14 @@ def q_lag_rows_halo(spark, sf):
     out = rwin(rows(spark, sf), exprs, strategy="auto", chunk_rows=60)
     return out.select("event_id", "series_id", r9("value_lag_1"), r9("value_lag_24"), r9("value_lead_24"),
                       r9("value_roll_mean_24"))
+
+
+@register("hourly_rollup", """
+SELECT date_trunc('hour', ts) AS window_start, date_trunc('hour', ts) + INTERVAL 1 HOUR AS window_end, event_type,
+       round(avg(value), 9) AS mean, max(value) AS max, count(*) AS n
+FROM events GROUP BY 1, 2, 3
+""")
+def q_hourly_rollup(spark, sf):
+    """The streaming roll-up's transformation (T2) applied to the whole table as a batch."""
+    from chronoframe.streaming.rollup import hourly_rollup
+    return _round_all(hourly_rollup(V.table(spark, sf, "events")))

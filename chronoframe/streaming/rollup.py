@@ -20,16 +20,33 @@ EVENTS_SCHEMA = T.StructType([
     T.StructField("value", T.DoubleType()), T.StructField("props", T.StringType())])
 
 
+_EPOCH_NTZ = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
+
+
+def ntz_to_instant(col: str):
+    """UTC wall clock (timestamp_ntz) -> instant, through epoch micros (no session zone)."""
+    return F.timestamp_micros(F.expr(f"timestampdiff(MICROSECOND, {_EPOCH_NTZ}, `{col}`)"))
+
+
+def instant_to_ntz(col):
+    return F.expr(f"timestampadd(MICROSECOND, unix_micros({col}), {_EPOCH_NTZ})")
+
+
 def hourly_rollup(stream: DataFrame, time_col: str = "ts", value_col: str = "value",
                   keys: Sequence[str] = ("event_type",), watermark: str = "2 hours",
                   window: str = "1 hour") -> DataFrame:
-    """avg / max / count per (window, keys) with a watermark on event time."""
-    t = F.col(time_col).cast("timestamp")
-    s = stream.withColumn("_et", t).withWatermark("_et", watermark)
+    """avg / max / count per (window, keys) with a watermark on event time.
+
+    Watermarks need a zoned timestamp; the UTC wall clock is turned into an
+    instant via epoch microseconds and back, so windows do not move with the
+    session time zone.  On a batch frame the watermark is a no-op and the
+    same function gives the batch roll-up.
+    """
+    s = stream.withColumn("_et", ntz_to_instant(time_col)).withWatermark("_et", watermark)
     agg = s.groupBy(F.window("_et", window).alias("w"), *keys).agg(
         F.avg(value_col).alias("mean"), F.max(value_col).alias("max"), F.count(F.lit(1)).alias("n"))
-    return agg.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"),
-                      F.col("w.end").cast("timestamp_ntz").alias("window_end"), *keys, "mean", "max", "n")
+    return agg.select(instant_to_ntz("w.start").alias("window_start"),
+                      instant_to_ntz("w.end").alias("window_end"), *keys, "mean", "max", "n")
 
 
 def start_rollup(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint: str,
