@@ -85,6 +85,12 @@ def prune_null_columns(df: DataFrame, threshold: float = 1.0, keep: Sequence[str
     return df.drop(*drop)
 
 
+def column_diff(df: DataFrame, feature_list: Sequence[str]) -> tuple[list[str], list[str]]:
+    """(available, missing) training features for this frame (U3); schema only."""
+    have = set(df.columns)
+    return [c for c in feature_list if c in have], [c for c in feature_list if c not in have]
+
+
 def align_features(df: DataFrame, feature_list: Sequence[str], fill: float = 0.0) -> DataFrame:
     """Project to the training feature list; absent columns become ``fill`` (P10)."""
     have = set(df.columns)

@@ -82,6 +82,30 @@ def fit(df: DataFrame, feature_cols: Sequence[str], target: str = TARGET, params
     return Pipeline(stages=[asm, gbt]).fit(clean)
 
 
+def fit_early_stopping(train: DataFrame, val: DataFrame, feature_cols: Sequence[str], target: str = TARGET,
+                       params: dict | None = None, tol: float = 0.01) -> PipelineModel:
+    """Fit on ``train`` while monitoring ``val`` through ``validationIndicatorCol``:
+    boosting stops once the validation error stops improving by ``tol`` (M4's
+    early stopping)."""
+    both = (train.withColumn("_is_val", F.lit(False)).unionByName(val.withColumn("_is_val", F.lit(True)),
+                                                                   allowMissingColumns=True))
+    asm = VectorAssembler(inputCols=list(feature_cols), outputCol="features", handleInvalid="error")
+    gbt = make_regressor(params).setValidationIndicatorCol("_is_val")
+    gbt._set(validationTol=tol)
+    clean = nulls.complete_cases(both, [*feature_cols, target]).withColumn("label", F.col(target).cast("double"))
+    return Pipeline(stages=[asm, gbt]).fit(clean)
+
+
+def write_importance_csv(imp: DataFrame, path: str) -> None:
+    """Importance table sink (S13): one small CSV with header, rows sorted descending."""
+    imp.orderBy(F.desc("importance"), "feature").coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+
+
+def read_importance_csv(spark: SparkSession, path: str) -> DataFrame:
+    """Importance table scan (S13) with an explicit schema."""
+    return spark.read.schema("feature string, importance double").option("header", True).csv(path)
+
+
 def save_model(model: PipelineModel, path: str, feature_list: Sequence[str]) -> None:
     """Persist the pipeline and its ordered feature list side by side."""
     model.write().overwrite().save(f"{path}/pipeline")
@@ -151,7 +175,7 @@ def random_search(train: DataFrame, val: DataFrame, feature_cols: Sequence[str],
              "featureSubsetStrategy": str(round(rng.uniform(*sp["featureSubset"]), 3)),
              "minInstancesPerNode": rng.randint(*sp["minInstancesPerNode"]),
              "minInfoGain": rng.uniform(*sp["minInfoGain"])}
-        m = fit(train, feature_cols, target, p)
+        m = fit_early_stopping(train, val, feature_cols, target, p)
         rmse = evaluate(m, val, feature_cols, target).first()["rmse"]
         if rmse is not None and rmse < best_rmse:
             best, best_rmse = p, rmse

@@ -57,18 +57,18 @@ cmp AS (SELECT a.date, a.api_aqi, m.model_aqi, {_rounded_sql("a.api_aqi")} AS ap
         FROM api a JOIN model m USING (day_offset))"""
 
 
-def _state(spark, sf):
-    return SC.current_and_history(hourly(spark, sf), NOW)
+def _state(h):
+    return SC.current_and_history(h, NOW)
 
 
-def _api(spark, sf):
-    h = hourly(spark, sf)
+def _api(spark, h):
     spine = SC.date_spine(spark, SPINE_START, SPINE_DAYS)
-    return SC.daily_max_on_spine(h, spine, _state(spark, sf))
+    return SC.daily_max_on_spine(h, spine, _state(h))
 
 
 def _cmp(spark, sf):
-    return SC.compare(_api(spark, sf), SC.walk(_state(spark, sf)))
+    h = hourly(spark, sf)
+    return SC.compare(_api(spark, h), SC.walk(_state(h)))
 
 
 @register("forecast_daily_max", f"""
@@ -78,7 +78,7 @@ SELECT date, api_aqi, is_filled FROM api
 """)
 def q_forecast_daily_max(spark, sf):
     """Daily max on a 7-day spine, unbounded forward fill, current-value fallback."""
-    return _api(spark, sf).select("date", "api_aqi", "is_filled")
+    return _api(spark, hourly(spark, sf)).select("date", "api_aqi", "is_filled")
 
 
 @register("scenario_walk", f"""
@@ -87,7 +87,7 @@ SELECT day_offset, round(model_aqi, 9) AS model_aqi FROM model
 """)
 def q_scenario_walk(spark, sf):
     """Seven-step mean-reversion walk from the current value."""
-    return _round_all(SC.walk(_state(spark, sf)))
+    return _round_all(SC.walk(_state(hourly(spark, sf))))
 
 
 @register("scenario_compare", f"""

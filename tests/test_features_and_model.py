@@ -89,6 +89,9 @@ def test_model_save_load_and_permutation(spark, feats):
     a = model.transform(feats).select("prediction").collect()
     b = loaded.transform(feats).select("prediction").collect()
     assert a == b
+    imp = M.importance_table(model, fl)
+    M.write_importance_csv(imp, d + "/importance")
+    assert M.read_importance_csv(spark, d + "/importance").count() == len(fl)
     perm = M.permutation_importance(model, feats, fl, sample_rows=100).collect()
     assert {r.feature for r in perm} == set(fl)
     with pytest.raises(Exception):
