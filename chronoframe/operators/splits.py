@@ -9,12 +9,10 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pyspark.sql import Window
-
-from chronoframe.operators.windows import DEFAULT_CHUNK_ROWS, heavy_keys, with_ordinal
+from chronoframe.operators.windows import DEFAULT_CHUNK_ROWS, bucket_width, heavy_keys, with_ordinal
 
 
 def _ts(v: str) -> Column:
@@ -46,10 +44,20 @@ def time_slice(df: DataFrame, start: str, end: str, end_inclusive: str = "instan
 
 
 def with_positions(df: DataFrame, keys: Sequence[str] = (), order: Sequence[str] = ("time",),
-                   bucket: str = "hour") -> DataFrame:
-    """0-based ``pos`` and series length ``n`` per row."""
+                   bucket="auto", chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
+    """0-based ``pos`` and series length ``n`` per row.
+
+    ``row_number`` per series while every series has at most ``chunk_rows``
+    rows (checked on a key-only count); otherwise exact ordinals from
+    bucketed counts, the bucket sized from the series' density, so a hot
+    series never lands in one task.
+    """
     keys = list(keys)
-    o = with_ordinal(df, keys, order, bucket=bucket, name="pos")
+    if heavy_keys(df, keys, chunk_rows).limit(1).count() == 0:
+        o = df.withColumn("pos", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
+    else:
+        b = bucket_width(df, keys, order[0], max(1, chunk_rows // 4)) if bucket == "auto" else bucket
+        o = with_ordinal(df, keys, order, bucket=b, name="pos")
     n = o.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     if keys:
         return o.join(n, on=keys)
@@ -57,15 +65,16 @@ def with_positions(df: DataFrame, keys: Sequence[str] = (), order: Sequence[str]
 
 
 def positional_split(df: DataFrame, frac: float = 0.8, keys: Sequence[str] = (),
-                     order: Sequence[str] = ("time",), name: str = "split") -> DataFrame:
+                     order: Sequence[str] = ("time",), name: str = "split",
+                     chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
     """First ``int(frac*n)`` rows of each series are train, the rest test."""
-    p = with_positions(df, keys, order)
+    p = with_positions(df, keys, order, chunk_rows=chunk_rows)
     cut = F.floor(F.col("n") * F.lit(frac))
     return p.withColumn(name, F.when(F.col("pos") < cut, "train").otherwise("test")).drop("pos", "n")
 
 
 def expanding_folds(df: DataFrame, n_splits: int = 5, gap: int = 24, keys: Sequence[str] = (),
-                    order: Sequence[str] = ("time",)) -> DataFrame:
+                    order: Sequence[str] = ("time",), chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
     """Expanding-window folds with a gap (W12), one output row per (row, fold, role).
 
     ``ts = n // (n_splits + 1)``; fold ``i`` tests ``[n-(k-i)ts, n-(k-i-1)ts)``
@@ -73,7 +82,7 @@ def expanding_folds(df: DataFrame, n_splits: int = 5, gap: int = 24, keys: Seque
     ``n_splits`` candidate folds with ``explode(sequence(...))`` (a generator,
     not a join), then the role is decided per fold.
     """
-    p = with_positions(df, keys, order)
+    p = with_positions(df, keys, order, chunk_rows=chunk_rows)
     k = n_splits
     ts = F.floor(F.col("n") / (k + 1))
     f = F.col("fold")

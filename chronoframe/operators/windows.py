@@ -148,12 +148,32 @@ def row_number0(name: str = "rn") -> WinExpr:
 
 # --------------------------------------------------------------------------- ordinals
 
-def _bucket(col: str, bucket: str) -> Column:
-    return F.date_trunc(bucket, F.col(col))
+def _epoch_us(col: str) -> Column:
+    return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', `{col}`)")
+
+
+def _bucket(col: str, bucket) -> Column:
+    """Time bucket of ``col``: a ``date_trunc`` unit, or an integer width in
+    microseconds (timestamps) / in the column's own units (numbers)."""
+    if isinstance(bucket, str):
+        return F.date_trunc(bucket, F.col(col))
+    return F.floor(_epoch_us(col) / F.lit(int(bucket))).cast("bigint")
+
+
+def bucket_width(df: DataFrame, keys: Sequence[str], order_col: str, target_rows: int) -> int:
+    """Bucket width (microseconds) giving about ``target_rows`` rows per
+    ``(series, bucket)`` for the densest series: one small aggregate collected
+    as a single number.  Used for heavy series, whose hour buckets can
+    themselves be too large for one task."""
+    e = _epoch_us(order_col)
+    per = df.groupBy(*keys).agg(((F.max(e) - F.min(e) + 1) * F.lit(float(target_rows))
+                                 / F.count(F.lit(1))).alias("_w"))
+    w = per.agg(F.min("_w")).first()[0]
+    return max(1, int(w)) if w is not None else 3_600_000_000
 
 
 def with_ordinal(df: DataFrame, keys: Sequence[str], order: Sequence[str],
-                 bucket: str = "hour", name: str = "_rn") -> DataFrame:
+                 bucket="hour", name: str = "_rn") -> DataFrame:
     """Add the exact 0-based row position of each row inside its series.
 
     Rows are counted per ``(keys, date_trunc(bucket, order[0]))``; a running
@@ -194,8 +214,13 @@ def heavy_keys(df: DataFrame, keys: Sequence[str], chunk_rows: int) -> DataFrame
 
 def window_features(df: DataFrame, stages, keys: Sequence[str] = ("series_id",),
                     order: Sequence[str] = ("time",), strategy: str = "auto",
-                    chunk_rows: int = DEFAULT_CHUNK_ROWS, bucket: str = "hour") -> DataFrame:
-    """Evaluate window expressions stage by stage; see the module docstring."""
+                    chunk_rows: int = DEFAULT_CHUNK_ROWS, bucket="auto") -> DataFrame:
+    """Evaluate window expressions stage by stage; see the module docstring.
+
+    ``bucket`` is the ordinal bucket (see :func:`with_ordinal`); ``"auto"``
+    sizes it from the heavy series' density so a bucket holds about
+    ``chunk_rows / 4`` rows (``"hour"`` when the halo plan is forced).
+    """
     stages = _as_stages(stages)
     keys, order = list(keys), list(order)
     order_cols = [F.col(o) for o in order]
@@ -205,13 +230,15 @@ def window_features(df: DataFrame, stages, keys: Sequence[str] = ("series_id",),
         if heavy.limit(1).count() == 0:
             return window_features(df, stages, keys, order, "series", chunk_rows, bucket)
         if not keys:
-            return window_features(df, stages, keys, order, "halo", chunk_rows, bucket)
+            hb = bucket_width(df, keys, order[0], max(1, chunk_rows // 4)) if bucket == "auto" else bucket
+            return window_features(df, stages, keys, order, "halo", chunk_rows, hb)
         hk = F.broadcast(heavy.select(*[F.col(k).alias(f"_hk_{i}") for i, k in enumerate(keys)]))
         cond = [df[k].eqNullSafe(hk[f"_hk_{i}"]) for i, k in enumerate(keys)]
         light_rows = df.join(hk, on=cond, how="left_anti")
         heavy_rows = df.join(hk, on=cond, how="left_semi")
         light = window_features(light_rows, stages, keys, order, "series", chunk_rows, bucket)
-        heavy_out = window_features(heavy_rows, stages, keys, order, "halo", chunk_rows, bucket)
+        hb = bucket_width(heavy_rows, keys, order[0], max(1, chunk_rows // 4)) if bucket == "auto" else bucket
+        heavy_out = window_features(heavy_rows, stages, keys, order, "halo", chunk_rows, hb)
         return light.unionByName(heavy_out)
     if strategy == "series":
         w = Window.partitionBy(*keys).orderBy(*order_cols)
@@ -222,6 +249,8 @@ def window_features(df: DataFrame, stages, keys: Sequence[str] = ("series_id",),
         return out
     if strategy != "halo":
         raise ValueError(f"unknown strategy {strategy!r}")
+    if bucket == "auto":
+        bucket = "hour"
 
     back = sum(max([e.back for e in st] or [0]) for st in stages)
     fwd = sum(max([e.fwd for e in st] or [0]) for st in stages)
@@ -251,7 +280,7 @@ def window_features(df: DataFrame, stages, keys: Sequence[str] = ("series_id",),
 
 def ffill_unbounded(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = ("series_id",),
                     order: Sequence[str] = ("time",), strategy: str = "halo",
-                    chunk_rows: int = DEFAULT_CHUNK_ROWS, bucket: str = "hour") -> DataFrame:
+                    chunk_rows: int = DEFAULT_CHUNK_ROWS, bucket="hour") -> DataFrame:
     """Forward fill without limit.
 
     ``series``: ``last(ignorenulls)`` over ``unboundedPreceding``.  ``halo``:

@@ -121,3 +121,29 @@ def test_one_window_exec_for_all_lags_and_rolls(synthetic):
                             order=["time"], strategy="series")
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Window [") + plan.count("Window(") <= 1 or plan.count("+- Window") == 1
+
+
+def test_dense_heavy_series_uses_fine_buckets(spark):
+    """700 rows inside one hour: hour buckets would hold the whole series, the
+    density-sized buckets split it, and results still equal the global window."""
+    rng = np.random.default_rng(9)
+    pdf = pd.DataFrame({"series_id": "hot", "time": pd.date_range("2024-01-01", periods=700, freq="5s"),
+                        "v": rng.uniform(0, 100, 700)})
+    light = pd.DataFrame({"series_id": "cold", "time": pd.date_range("2024-01-01", periods=30, freq="h"),
+                          "v": rng.uniform(0, 100, 30)})
+    df = spark.createDataFrame(pd.concat([pdf, light])).withColumn("time", F.col("time").cast("timestamp_ntz"))
+    exprs = [W.lag("v", 5, "l5"), W.rolling("v", 10, "mean", "m10"), W.lead("v", 3, "f3")]
+    kw = dict(keys=["series_id"], order=["time"])
+    a = W.window_features(df, exprs, strategy="series", **kw).orderBy("series_id", "time").toPandas()
+    b = W.window_features(df, exprs, strategy="auto", chunk_rows=100, **kw).orderBy("series_id", "time").toPandas()
+    pd.testing.assert_frame_equal(a, b)
+    width = W.bucket_width(df.where("series_id = 'hot'"), ["series_id"], "time", 25)
+    assert width < 3_600_000_000 // 10
+
+
+def test_positions_heavy_path_equals_row_number(spark):
+    from chronoframe.operators import splits as S
+    _, df = _random_null_frame(spark, n=300, series=2, seed=2)
+    a = S.expanding_folds(df, 5, 24, keys=["series_id"]).orderBy("series_id", "time", "fold").toPandas()
+    b = S.expanding_folds(df, 5, 24, keys=["series_id"], chunk_rows=50).orderBy("series_id", "time", "fold").toPandas()
+    pd.testing.assert_frame_equal(a, b)
