@@ -180,3 +180,19 @@ def q_fill_const(spark, sf):
     from chronoframe.operators.nulls import fill_const
     out = fill_const(_win(hourly(spark, sf), [W.ffill(c, 3) for c in _FILL_COLS]), _FILL_COLS, 0.0)
     return out.select("time", *[r9(c) for c in _FILL_COLS])
+
+
+@register("lag_time_aqi", f"""
+WITH {HOURLY_CTE}
+SELECT h.time, round(p.us_aqi, 9) AS aqi_tlag_24h,
+       round(avg(h.us_aqi) OVER (ORDER BY h.time RANGE BETWEEN INTERVAL 86399 SECOND PRECEDING AND CURRENT ROW), 9)
+         AS aqi_troll_mean_24h
+FROM hourly h LEFT JOIN hourly p ON p.time = h.time - INTERVAL 24 HOUR
+""")
+def q_lag_time_aqi(spark, sf):
+    """Time-true twins of lag 24 / rolling mean 24 (F3): value exactly 24 h earlier
+    (null when that hour is missing) and the mean over the trailing 24 h."""
+    out = _win(hourly(spark, sf), [W.lag_time("us_aqi", 24 * 3600, "aqi_tlag_24h", max_rows_back=24),
+                                   W.rolling_time("us_aqi", 24 * 3600, "mean", "aqi_troll_mean_24h",
+                                                  max_rows_back=24)])
+    return out.select("time", r9("aqi_tlag_24h"), r9("aqi_troll_mean_24h"))
