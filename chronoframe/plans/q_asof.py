@@ -60,7 +60,7 @@ _DASH = "—"
 WITH {HOURLY_CTE},
 l AS (SELECT * FROM hourly WHERE time <= TIMESTAMP '{NOW}' ORDER BY time DESC LIMIT 1)
 SELECT time,
-       printf('%.1f', round_even(pm2_5, 1)) AS pm25_now,
+       coalesce(printf('%.1f', round_even(pm2_5, 1)), '{_DASH}') AS pm25_now,
        '{_DASH}' AS temperature,
        coalesce(printf('%.1f %s', round_even(relative_humidity_2m, 1), '%'), '{_DASH}') AS humidity,
        coalesce(printf('%.1f %s', round_even(wind_speed_10m, 1), 'km/h'), '{_DASH}') AS wind_speed,
@@ -70,7 +70,9 @@ FROM l
 def q_current_conditions(spark, sf):
     """Snapshot of the newest row, one decimal, dash when a reading is absent."""
     row = R.latest(R.as_of(hourly(spark, sf), NOW))
-    out = [F.col("time"), F.format_string("%.1f", F.bround("pm2_5", 1)).alias("pm25_now")]
+    # format_string renders a null argument as text, so absent readings are guarded
+    pm = F.when(F.col("pm2_5").isNotNull(), F.format_string("%.1f", F.bround("pm2_5", 1)))
+    out = [F.col("time"), F.coalesce(pm, F.lit(_DASH)).alias("pm25_now")]
     for col, unit, name in _CONDITIONS:
         if col in row.columns:
             txt = F.when(F.col(col).isNotNull(), F.format_string("%.1f %s", F.bround(col, 1), F.lit(unit)))
