@@ -28,6 +28,7 @@ from chronoframe.functions import encode
 from chronoframe.functions.numeric import interactions
 from chronoframe.operators import nulls, windows as W
 from chronoframe.operators.joins import festival_dates, flag_festival
+from chronoframe.session import cut_lineage
 
 # ---- fixed values that must match the reference ------------------------------
 TARGET = "us_aqi"
@@ -105,7 +106,8 @@ def engineer_features(df: DataFrame, profile: str = "batch", keys: Sequence[str]
                       order: Sequence[str] = ("time",), strategy: str = "auto",
                       tz: str | None = None, festivals: DataFrame | None = None,
                       target: str = TARGET, median_keys: Sequence[str] | None = None,
-                      since: str | None = None, lookback_hours: int = 75) -> DataFrame:
+                      since: str | None = None, lookback_hours: int = 75,
+                      materialize: bool = True) -> DataFrame:
     """Full feature table for one of the profiles listed in the module docstring.
 
     ``since`` computes features only for rows at or after that instant: the
@@ -113,12 +115,16 @@ def engineer_features(df: DataFrame, profile: str = "batch", keys: Sequence[str]
     file scan), features are built, then rows before ``since`` are dropped.
     The default 75 h is the longest chained look-back (lag 72 + ffill 3) on an
     hourly series; medians then come from the bounded frame.
+
+    ``materialize`` writes the frame that feeds both the forward fill and the
+    medians once (reliable checkpoint in the session's checkpoint folder), so
+    the window stage is not recomputed by each consumer.
     """
     keys, order = list(keys), list(order)
     if since is not None:
         lo = F.lit(since).cast("timestamp_ntz") - F.expr(f"INTERVAL {lookback_hours} HOURS")
         full = engineer_features(df.where(F.col(order[0]) >= lo), profile, keys, order, strategy, tz,
-                                 festivals, target, median_keys)
+                                 festivals, target, median_keys, materialize=materialize)
         return full.where(F.col(order[0]) >= F.lit(since).cast("timestamp_ntz"))
     time_col = order[0]
     wkw = dict(keys=keys, order=order, strategy=strategy)
@@ -145,12 +151,16 @@ def engineer_features(df: DataFrame, profile: str = "batch", keys: Sequence[str]
         return nulls.fill_const(filled, nulls.numeric_columns(filled, [target, *keys]), 0.0)
     if profile in ("batch", "leak_free"):
         kept = nulls.drop_null_target(feats, target)
+        if materialize:
+            kept = cut_lineage(kept)
         filled = W.window_features(kept, fill, **wkw)
         num = nulls.numeric_columns(kept, [target, *keys])
         return nulls.fill_with_medians(filled, num, medians_from=kept, keys=median_keys)
     if profile == "notebook":
         kept = nulls.drop_null_keys(feats, KEY_COLUMNS)
         filled = W.window_features(kept, fill, **wkw)
+        if materialize:
+            filled = cut_lineage(filled)
         num = nulls.numeric_columns(filled, [target, *keys])
         return nulls.fill_with_medians(filled, num, keys=median_keys)
     raise ValueError(f"unknown profile {profile!r}")
