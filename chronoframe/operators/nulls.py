@@ -56,7 +56,8 @@ def count_complete(df: DataFrame, cols: Sequence[str]) -> DataFrame:
                   F.count_if(complete_flag(cols)).alias("n_complete"))
 
 
-def null_profile(df: DataFrame, cols: Sequence[str] | None = None, only_missing: bool = True) -> DataFrame:
+def null_profile(df: DataFrame, cols: Sequence[str] | None = None, only_missing: bool = True,
+                 min_pct: float | None = None) -> DataFrame:
     """Missing count and percent (2 dp, half-even) per column in one pass.
 
     Returns ``(column, missing, pct)`` -- one aggregate row unpivoted, so the
@@ -68,9 +69,17 @@ def null_profile(df: DataFrame, cols: Sequence[str] | None = None, only_missing:
     long = agg.unpivot(["_total"], cols, "column", "missing")
     out = long.select("column", "missing",
                       F.bround(F.col("missing") / F.col("_total") * 100, 2).alias("pct"))
+    if min_pct is not None:  # P9: columns above a null-share threshold (e.g. 90)
+        out = out.where(F.col("pct") > F.lit(float(min_pct)))
     return out.where(F.col("missing") > 0) if only_missing else out
 
 
+def total_missing(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
+    """One row: total number of null cells over ``cols`` (A13's remaining-NaN count)."""
+    cols = list(cols or df.columns)
+    return df.agg(sum((F.count_if(F.col(c).isNull()) for c in cols), F.lit(0)).alias("total_missing"))
+
+
 def prune_null_columns(df: DataFrame, threshold: float = 1.0, keep: Sequence[str] = ()) -> DataFrame:
     """Drop columns whose null fraction is >= ``threshold`` (P8; 1.0 = all-null).
 

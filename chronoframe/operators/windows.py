@@ -279,15 +279,20 @@ def window_features(df: DataFrame, stages, keys: Sequence[str] = ("series_id",),
 # --------------------------------------------------------------------------- unbounded fill
 
 def ffill_unbounded(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = ("series_id",),
-                    order: Sequence[str] = ("time",), strategy: str = "halo",
+                    order: Sequence[str] = ("time",), strategy: str = "auto",
                     chunk_rows: int = DEFAULT_CHUNK_ROWS, bucket="hour") -> DataFrame:
     """Forward fill without limit.
 
+    ``auto`` picks ``series`` unless a series is longer than ``chunk_rows``.
     ``series``: ``last(ignorenulls)`` over ``unboundedPreceding``.  ``halo``:
     fill inside fixed row chunks, then carry each chunk's last non-null value
     forward through a small per-chunk table, so no task holds a whole series.
     """
     keys, order = list(keys), list(order)
+    if strategy == "auto":
+        # same key-only size check as window_features: plain window unless a series is heavy
+        light = heavy_keys(df, keys, chunk_rows).limit(1).count() == 0
+        strategy = "series" if light else "halo"
     if strategy == "series":
         w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in cols})

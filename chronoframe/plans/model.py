@@ -1,8 +1,8 @@
 """Modelling dataflows on MLlib.
 
-The learner is ``pyspark.ml.regression.GBTRegressor`` (xgboost is not part of
-this stack; MLlib has no L1/L2 leaf penalty, so scores differ from the
-reference).  Everything that touches rows is a Spark job: feature assembly,
+The learner is ``pyspark.ml.regression.GBTRegressor`` (the reference's external
+boosting library is not part of this stack; MLlib has no L1/L2 leaf penalty,
+so scores differ from the reference).  Everything that touches rows is a Spark job: feature assembly,
 fits, scoring, metrics, fold assignment and permutation importance.  The
 driver only loops over a handful of folds / search trials and holds metric
 rows.

@@ -62,3 +62,9 @@ def test_pre_and_post_ffill_medians_differ(spark):
     assert medians_wide(df, ["v"]).first()[0] == 2.5
     assert medians_wide(filled, ["v"]).first()[0] == 51.5
     assert pre.count() == post.count() == 8
+
+
+def test_null_threshold_and_total(spark):
+    df = spark.createDataFrame([(1, None, None), (2, 3.0, None), (3, None, None)], "k int, a double, z double")
+    assert [r["column"] for r in nulls.null_profile(df, min_pct=90).collect()] == ["z"]
+    assert nulls.total_missing(df).first()["total_missing"] == 5
