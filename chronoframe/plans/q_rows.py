@@ -381,3 +381,20 @@ def q_hourly_rollup(spark, sf):
     """The streaming roll-up's transformation (T2) applied to the whole table as a batch."""
     from chronoframe.streaming.rollup import hourly_rollup
     return _round_all(hourly_rollup(V.table(spark, sf, "events")))
+
+
+@register("impute_rows_median", f"""
+WITH f AS (SELECT event_id, user_id, lag(value, 1) {WSQL} AS value_lag_1, lag(value, 24) {WSQL} AS value_lag_24
+           FROM events),
+m AS (SELECT user_id, median(value_lag_1) AS m1, median(value_lag_24) AS m24 FROM f GROUP BY user_id)
+SELECT f.event_id, f.user_id AS series_id, round(coalesce(f.value_lag_1, m.m1), 9) AS value_lag_1,
+       round(coalesce(f.value_lag_24, m.m24), 9) AS value_lag_24
+FROM f JOIN m USING (user_id)
+""")
+def q_impute_rows_median(spark, sf):
+    """Warm-up nulls of per-series lags filled with that series' exact median (P15 per series)."""
+    from chronoframe.operators.nulls import fill_with_medians
+    f = rwin(rows(spark, sf), [W.lag("value", 1, "value_lag_1"), W.lag("value", 24, "value_lag_24")])
+    f = f.select("event_id", "series_id", "value_lag_1", "value_lag_24")
+    out = fill_with_medians(f, ["value_lag_1", "value_lag_24"], keys=KEYS)
+    return out.select("event_id", "series_id", r9("value_lag_1"), r9("value_lag_24"))
