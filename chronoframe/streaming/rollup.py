@@ -51,13 +51,17 @@ def hourly_rollup(stream: DataFrame, time_col: str = "ts", value_col: str = "val
 
 def start_rollup(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint: str,
                  schema: T.StructType = EVENTS_SCHEMA, fmt: str = "parquet",
-                 trigger_available_now: bool = True, **kw) -> StreamingQuery:
+                 trigger_available_now: bool = True, max_files_per_trigger: int | None = None,
+                 **kw) -> StreamingQuery:
     """File source -> roll-up -> parquet sink (exactly-once via the checkpoint).
 
     ``checkpoint`` must live on shared storage on a cluster; restarting with
     the same checkpoint resumes after executor or driver loss.
     """
-    stream = spark.readStream.schema(schema).format(fmt).load(source_dir)
+    reader = spark.readStream.schema(schema).format(fmt)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    stream = reader.load(source_dir)
     out = hourly_rollup(stream, **kw)
     writer = (out.writeStream.outputMode("append").format("parquet")
               .option("path", sink_dir).option("checkpointLocation", checkpoint))
