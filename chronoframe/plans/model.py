@@ -139,19 +139,24 @@ def cross_validate(df: DataFrame, feature_cols: Sequence[str], target: str = TAR
                    order: Sequence[str] = ("time",)) -> tuple[DataFrame, DataFrame]:
     """Expanding-window CV with a gap (M3).  ``CrossValidator(foldCol=)`` would
     train on all other folds, which is wrong for time series, so each fold is
-    its own fit on ``role = 'train'`` rows.  Returns (per-fold, summary)."""
+    its own fit.  Positions are computed once and materialised (reliable
+    checkpoint); each fold is then two range filters on the position, so the
+    data is never duplicated per fold.  Returns (per-fold, summary)."""
+    from chronoframe.session import cut_lineage
     clean = nulls.complete_cases(df, [*feature_cols, target])
-    folds = S.expanding_folds(clean, n_splits, gap, keys, order).cache()
+    pos = cut_lineage(S.with_positions(clean, keys, order))
+    ts = F.floor(F.col("n") / (n_splits + 1))
     rows = []
     for i in range(n_splits):
-        f = folds.where(F.col("fold") == i)
-        m = fit(f.where(F.col("role") == "train"), feature_cols, target, params)
-        met = A.regression_metrics(m.transform(f.where(F.col("role") == "test")), target, "prediction")
+        start = F.col("n") - (n_splits - i) * ts
+        train = pos.where(F.col("pos") < start - gap)
+        test = pos.where((F.col("pos") >= start) & (F.col("pos") < start + ts))
+        m = fit(train, feature_cols, target, params)
+        met = A.regression_metrics(m.transform(test), target, "prediction")
         rows.append(met.withColumn("fold", F.lit(i)))
     per_fold = rows[0]
     for r in rows[1:]:
         per_fold = per_fold.unionByName(r)
-    folds.unpersist()
     return per_fold, A.fold_summary(per_fold)
 
 

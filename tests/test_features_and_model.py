@@ -63,6 +63,8 @@ def test_cross_validate_shapes(spark, feats):
     fl = ["aqi_lag_1", "aqi_lag_24", "hour_sin", "hour_cos"]
     per_fold, summary = M.cross_validate(feats, fl, params={"maxIter": 3, "maxDepth": 2})
     assert per_fold.count() == 5
+    n = feats.count()
+    assert {r["n"] for r in per_fold.collect()} == {n // 6}  # every fold tests n // (k + 1) rows
     row = summary.first()
     assert row["n_splits"] == 5 and row["rmse_std"] >= 0
 
