@@ -100,6 +100,26 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by=("y
         writer.format(fmt).save(path)
 
 
+def read_table(spark: SparkSession, path: str, start: str | None = None, end: str | None = None,
+               time_col: str = "time", fmt: str = "parquet") -> DataFrame:
+    """Scan a table written by :func:`write_table` with a half-open time bound.
+
+    The bound is also stated on the ``year``/``month`` partition columns
+    (``year * 12 + month`` range), so whole partitions are pruned before any
+    file is opened; the exact ``time`` predicate still reaches the row-group
+    filter.
+    """
+    df = spark.read.format(fmt).load(path)
+    ym = F.col("year") * 12 + F.col("month")
+    if start:
+        t0 = F.lit(start).cast("timestamp_ntz")
+        df = df.where((ym >= F.year(t0) * 12 + F.month(t0)) & (F.col(time_col) >= t0))
+    if end:
+        t1 = F.lit(end).cast("timestamp_ntz")
+        df = df.where((ym <= F.year(t1) * 12 + F.month(t1)) & (F.col(time_col) < t1))
+    return df
+
+
 def read_csv_table(spark: SparkSession, path: str, schema: T.StructType,
                    timestamp_format: str = "yyyy-MM-dd HH:mm:ss") -> DataFrame:
     """CSV scan with header and explicit schema/timestamp format."""

@@ -122,3 +122,15 @@ def test_rollup_drops_rows_behind_the_watermark(spark):
     q.awaitTermination(180)
     got = {r.window_start: r.n for r in spark.read.parquet(f"{out}/o").collect()}
     assert got[base + dt.timedelta(hours=1)] == 2
+
+
+def test_partitioned_table_prunes_by_time_bound(spark):
+    from chronoframe.sources import views as V
+    d = tmpdir_new()
+    h = V.hourly(spark, SF001)
+    feeds.write_table(h, f"{d}/t")
+    got = feeds.read_table(spark, f"{d}/t", "2024-01-10", "2024-01-12")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "year" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    exp = h.where((F.col("time") >= "2024-01-10") & (F.col("time") < "2024-01-12")).count()
+    assert got.count() == exp > 0
