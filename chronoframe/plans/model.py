@@ -247,8 +247,10 @@ def direct_horizon_backtest(df: DataFrame, feature_cols: Sequence[str], horizons
                             order: Sequence[str] = ("time",), strategy: str = "auto") -> DataFrame:
     """Per horizon: lead target, complete cases, positional 80/20, fit, score,
     baseline (y(t) as forecast) vs model metrics (M10)."""
-    leads = W.window_features(df, [W.lead(target, h, f"_t{h}") for h in horizons],
-                              keys=keys, order=order, strategy=strategy)
+    from chronoframe.session import cut_lineage
+    # every horizon reads the same lead frame: materialise it once
+    leads = cut_lineage(W.window_features(df, [W.lead(target, h, f"_t{h}") for h in horizons],
+                                          keys=keys, order=order, strategy=strategy))
     results = []
     for h in horizons:
         d = nulls.complete_cases(leads, [*feature_cols, target, f"_t{h}"]).withColumn("_target", F.col(f"_t{h}"))
