@@ -105,7 +105,6 @@ def histogram(df: DataFrame, col: str, bins: int = 20) -> DataFrame:
     x = df.where(F.col(col).isNotNull())
     rng = x.agg(F.min(col).alias("_lo"), F.max(col).alias("_hi")).withColumn("_g", F.lit(0))
     j = x.withColumn("_g", F.lit(0)).join(F.broadcast(rng), "_g")
-    width = (F.col("_hi") - F.col("_lo")) / bins
     raw = F.floor((F.col(col) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins)
     b = F.when(F.col("_hi") == F.col("_lo"), F.lit(0)).otherwise(F.least(raw, F.lit(bins - 1))).cast("int")
     out = j.groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("count"), F.first("_lo").alias("_lo"),

@@ -13,7 +13,6 @@ from chronoframe.functions import categories as C
 from chronoframe.operators import aggregates as A
 from chronoframe.operators import splits as S
 from chronoframe.operators import windows as W
-from chronoframe.plans import features as FE
 from chronoframe.plans.registry import (HOURLY_CTE, TEST_START, VAL_START, _round_all, _win, hourly, r9,
                                         register)
 

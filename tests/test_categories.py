@@ -1,6 +1,5 @@
 """Category rules, bands and golden values from the reference tests."""
 
-import pytest
 from pyspark.sql import functions as F
 
 from chronoframe.functions import categories as C

@@ -1,8 +1,5 @@
 """Sources, sinks, payloads and the streaming jobs."""
 
-import os
-
-import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
