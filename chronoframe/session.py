@@ -42,9 +42,10 @@ def get_session(master: str | None = None, app: str = "chronoframe",
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    The cluster's setting always wins.  Only when it is unset (local tests) a
-    scratch folder is created and registered, so lineage cuts never land on a
-    machine-local path on a real cluster.
+    The cluster's setting always wins.  Only when it is unset and the master
+    is local (tests, single-node runs) a scratch folder is created and
+    registered; on a cluster an unset setting is an error, so lineage cuts
+    never land on a machine-local path.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
@@ -53,6 +54,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.getCheckpointDir():
             spark.sparkContext.setCheckpointDir(current)
         return current
+    master = spark.sparkContext.master or ""
+    if not master.startswith("local"):
+        # a driver-local folder is unreadable from executors on a cluster
+        raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS/object store) for this cluster")
     local = tempfile.mkdtemp(prefix="chronoframe-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     spark.sparkContext.setCheckpointDir(local)
     spark.conf.set("spark.checkpoint.dir", local)
