@@ -127,6 +127,14 @@ def read_csv_table(spark: SparkSession, path: str, schema: T.StructType,
             .option("timestampNTZFormat", timestamp_format).csv(path))
 
 
+def read_history_json(spark: SparkSession, path: str, cols=("us_aqi",)) -> DataFrame:
+    """History table stored as JSON lines (S11): explicit schema, NaN -> NULL."""
+    schema = T.StructType([T.StructField("series_id", T.StringType()), T.StructField("time", T.TimestampNTZType())]
+                          + [T.StructField(c, T.DoubleType()) for c in cols])
+    df = spark.read.schema(schema).option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm[:ss]").json(path)
+    return nan_to_null_all(df)
+
+
 def write_report(df: DataFrame, path: str) -> None:
     """One-row report sink as JSON (S12); reports are tiny aggregates."""
     df.coalesce(1).write.mode("overwrite").json(path)

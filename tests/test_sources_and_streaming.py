@@ -131,3 +131,28 @@ def test_partitioned_table_prunes_by_time_bound(spark):
     assert "PartitionFilters: [" in plan and "year" in plan.split("PartitionFilters: [")[1].split("]")[0]
     exp = h.where((F.col("time") >= "2024-01-10") & (F.col("time") < "2024-01-12")).count()
     assert got.count() == exp > 0
+
+
+def test_feed_reader_bounds_and_nan(spark):
+    d = tmpdir_new()
+    rows = [("city", "2024-01-01T00:00", 10.0), ("city", "2024-01-01T01:00", float("nan")),
+            ("city", "2024-01-02T00:00", 30.0)]
+    df = spark.createDataFrame(rows, "series_id string, t string, us_aqi double").select(
+        "series_id", F.to_timestamp_ntz("t").alias("time"), "us_aqi")
+    df.write.mode("overwrite").parquet(f"{d}/air")
+    got = feeds.read_air(spark, f"{d}/air", "2024-01-01", "2024-01-02").orderBy("time").collect()
+    assert [r.us_aqi for r in got] == [10.0, None]  # bounded to the first day, NaN read as NULL
+    assert "pm10" in feeds.read_air(spark, f"{d}/air").columns  # the full air schema, absent columns null
+
+
+def test_report_round_trip_and_history_json(spark):
+    d = tmpdir_new()
+    schema = T.StructType([T.StructField("mae_mean", T.DoubleType()), T.StructField("n_splits", T.LongType())])
+    feeds.write_report(spark.createDataFrame([(2.279, 5)], schema), f"{d}/report")
+    back = feeds.read_report(spark, f"{d}/report", schema, {"mae_mean": 0.0, "n_splits": 0}).first()
+    assert back.mae_mean == 2.279 and back.n_splits == 5
+    with open(f"{d}/hist.json", "w") as fh:
+        fh.write('{"series_id": "city", "time": "2024-01-01T05:00", "us_aqi": 42.5}\n')
+        fh.write('{"series_id": "city", "time": "2024-01-01T06:00", "us_aqi": null}\n')
+    h = feeds.read_history_json(spark, f"{d}/hist.json").orderBy("time").collect()
+    assert [r.us_aqi for r in h] == [42.5, None] and h[0].time.hour == 5
