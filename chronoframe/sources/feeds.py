@@ -160,6 +160,40 @@ def render_markdown(metrics: dict) -> str:
     return "\n".join(lines) + "\n"
 
 
+def _line(k: int, value) -> F.Column:
+    v = F.lit(value) if isinstance(value, str) else value
+    return F.struct(F.lit(k).alias("k"), v.alias("value"))
+
+
+def markdown_lines(split_report: DataFrame, cv_summary: DataFrame, test_metrics: DataFrame) -> DataFrame:
+    """Metrics report as ordered markdown lines (S14): split table with counted
+    rows (F13), CV mean / std and held-out metrics.  Three tiny inputs, so the
+    result is a handful of rows; ``write_markdown`` writes it as one text file."""
+    spark = split_report.sparkSession
+    head = spark.createDataFrame([(0, "# Model Evaluation Results"), (1, ""), (2, "| Set | Period | Rows |"),
+                                  (3, "|-----|--------|------|")], "k int, value string")
+    order = F.when(F.col("split") == "train", 0).when(F.col("split") == "val", 1).otherwise(2)
+    splits = split_report.select((F.lit(10) + order).alias("k"), F.format_string(
+        "| %s | %s – %s | %d |", "split", F.date_format("min_time", "yyyy-MM-dd"),
+        F.date_format("max_time", "yyyy-MM-dd"), "n_rows").alias("value"))
+    cv = cv_summary.select(F.explode(F.array(
+        _line(20, ""), _line(21, "| Metric | Mean | Std |"), _line(22, "|--------|------|-----|"),
+        _line(23, F.format_string("| MAE | %.3f | ±%.3f |", "mae_mean", "mae_std")),
+        _line(24, F.format_string("| RMSE | %.3f | ±%.3f |", "rmse_mean", "rmse_std")),
+        _line(25, F.format_string("| R² | %.4f | ±%.4f |", "r2_mean", "r2_std")))).alias("x")).select("x.*")
+    test = test_metrics.select(F.explode(F.array(
+        _line(30, ""), _line(31, F.format_string("| Test MAE | %.3f |", "mae")),
+        _line(32, F.format_string("| Test RMSE | %.3f |", "rmse")),
+        _line(33, F.format_string("| Test R² | %.4f |", "r2")),
+        _line(34, F.format_string("| Test rows | %d |", "n")))).alias("x")).select("x.*")
+    return head.unionByName(splits).unionByName(cv).unionByName(test)
+
+
+def write_markdown(lines: DataFrame, path: str) -> None:
+    """One ordered text file (the report is a few dozen lines)."""
+    lines.orderBy("k").coalesce(1).select("value").write.mode("overwrite").text(path)
+
+
 def write_json_file(obj: dict, path: str) -> None:
     with open(path, "w") as f:
         json.dump(obj, f, indent=2, default=str)

@@ -156,3 +156,16 @@ def test_report_round_trip_and_history_json(spark):
         fh.write('{"series_id": "city", "time": "2024-01-01T06:00", "us_aqi": null}\n')
     h = feeds.read_history_json(spark, f"{d}/hist.json").orderBy("time").collect()
     assert [r.us_aqi for r in h] == [42.5, None] and h[0].time.hour == 5
+
+
+def test_markdown_report(spark):
+    import glob
+    import __spark_entry__ as entry
+    qs = entry.queries()
+    lines = feeds.markdown_lines(qs["split_report"](spark, SF001), qs["cv_summary"](spark, SF001),
+                                 qs["regression_metrics"](spark, SF001))
+    d = tmpdir_new()
+    feeds.write_markdown(lines, f"{d}/md")
+    text = open(glob.glob(f"{d}/md/part-*")[0]).read().splitlines()
+    assert text[0] == "# Model Evaluation Results" and text[4].startswith("| train |")
+    assert any(t.startswith("| RMSE |") for t in text) and text[-1].startswith("| Test rows |")
