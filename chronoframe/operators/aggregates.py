@@ -65,14 +65,21 @@ def fold_summary(per_fold: DataFrame, metrics: Sequence[str] = ("mae", "rmse", "
 
 
 def describe(df: DataFrame, cols: Sequence[str], probs: Sequence[float] = (0.25, 0.5, 0.75, 0.9, 0.95, 0.99),
-             keys: Sequence[str] = ()) -> DataFrame:
-    """count, mean, std (sample), min, max and exact linear quantiles per column (A10)."""
-    from chronoframe.operators.quantiles import to_long
+             keys: Sequence[str] = (), accuracy: int | None = None) -> DataFrame:
+    """count, mean, std (sample), min, max and linear quantiles per column (A10).
+
+    Quantiles are exact by default; ``accuracy`` switches to the bounded
+    ``percentile_approx`` sketch (relative rank error about 1/accuracy).
+    """
+    from chronoframe.operators.quantiles import approx_quantiles, to_long
     long = to_long(df, cols, keys)
     moments = long.groupBy(*keys, "column").agg(
         F.count(F.lit(1)).alias("count"), F.avg("_v").alias("mean"), F.stddev_samp("_v").alias("std"),
         F.min("_v").alias("min"), F.max("_v").alias("max"))
-    q = quantiles_long(long, [*keys, "column"], probs)
+    if accuracy is None:
+        q = quantiles_long(long, [*keys, "column"], probs)
+    else:
+        q = approx_quantiles(df, cols, probs, keys, accuracy)
     names = {p: f"p{int(round(p * 100)):02d}" for p in probs}
     wide = q.groupBy(*keys, "column").pivot("p", [float(p) for p in probs]).agg(F.first("value"))
     wide = wide.select(*keys, "column", *[F.col(f"`{float(p)}`").alias(names[p]) for p in probs])

@@ -68,3 +68,12 @@ def test_null_threshold_and_total(spark):
     df = spark.createDataFrame([(1, None, None), (2, 3.0, None), (3, None, None)], "k int, a double, z double")
     assert [r["column"] for r in nulls.null_profile(df, min_pct=90).collect()] == ["z"]
     assert nulls.total_missing(df).first()["total_missing"] == 5
+
+
+def test_describe_exact_and_approx(spark, synthetic, synthetic_pdf):
+    from chronoframe.operators.aggregates import describe
+    ex = describe(synthetic, ["us_aqi"]).first()
+    ap = describe(synthetic, ["us_aqi"], accuracy=10_000).first()
+    s = synthetic_pdf.us_aqi
+    assert ex["p50"] == pytest.approx(s.median()) and ex["std"] == pytest.approx(s.std())
+    assert abs(ap["p50"] - s.median()) <= (s.max() - s.min()) * 0.02
