@@ -47,7 +47,7 @@ JOIN (SELECT time, precipitation, wind_speed_10m, boundary_layer_height, relativ
 """)
 def q_merge_feeds(spark, sf):
     from chronoframe.operators.joins import merge_feeds
-    h = V.hourly(spark, sf)
+    h = hourly(spark, sf)  # both feeds project the once-materialised hourly view: one raw scan
     return _round_all(merge_feeds(V.air_feed(h), V.weather_feed(h)))
 
 
