@@ -108,3 +108,20 @@ def test_random_search_returns_params(spark, feats):
     best, rmse = M.random_search(lab.where("split = 'train'"), lab.where("split = 'test'"), fl, n_trials=2,
                                  space=small)
     assert "maxDepth" in best and rmse >= 0
+
+
+def test_multi_series_features_with_zone(spark, synthetic_pdf):
+    import pandas as pd
+    a = synthetic_pdf.head(100).assign(series_id="a")
+    b = synthetic_pdf.tail(100).assign(series_id="b")
+    b = b.assign(time=a["time"].values)  # same timestamps, different series
+    df = spark.createDataFrame(pd.concat([a, b], ignore_index=True)) \
+        .withColumn("time", F.col("time").cast("timestamp_ntz"))
+    out = FE.engineer_features(df, "live", keys=["series_id"], tz="Asia/Kolkata") \
+        .orderBy("series_id", "time").toPandas()
+    for sid, grp in out.groupby("series_id"):
+        src = (a if sid == "a" else b).reset_index(drop=True)
+        assert grp["aqi_lag_1"].iloc[0] == 0.0  # warm-up null filled by the live policy, never the other series
+        assert list(grp["aqi_lag_1"].iloc[1:6]) == pytest.approx(list(src["us_aqi"].iloc[0:5]))
+    first = out.iloc[0]
+    assert first["hour"] == 5  # 00:00 UTC is 05:30 in Asia/Kolkata
