@@ -29,6 +29,12 @@ def nowcast_batch(batch: DataFrame, history: DataFrame, features: Callable[[Data
     """Score the newest row of every series present in ``batch``."""
     keys = list(keys)
     bounds = batch.groupBy(*keys).agg(F.min(time_col).alias("_lo"))
+    # one value from the (small) micro-batch: a global lower bound that reaches
+    # the history file scan, so old history is never read
+    earliest = batch.agg(F.min(time_col)).first()[0]
+    if earliest is not None:
+        lo = F.lit(earliest.isoformat(sep=" ")).cast("timestamp_ntz")  # zone-free literal
+        history = history.where(F.col(time_col) >= lo - F.expr(f"INTERVAL {history_hours} HOURS"))
     recent = (history.join(bounds, on=keys, how="inner")
               .where(F.col(time_col) >= F.col("_lo") - F.expr(f"INTERVAL {history_hours} HOURS"))
               .where(F.col(time_col) < F.col("_lo")).drop("_lo"))
