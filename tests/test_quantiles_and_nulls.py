@@ -77,3 +77,17 @@ def test_describe_exact_and_approx(spark, synthetic, synthetic_pdf):
     s = synthetic_pdf.us_aqi
     assert ex["p50"] == pytest.approx(s.median()) and ex["std"] == pytest.approx(s.std())
     assert abs(ap["p50"] - s.median()) <= (s.max() - s.min()) * 0.02
+
+
+def test_small_helpers(spark, synthetic):
+    from chronoframe.plans.features import engineer_features
+    feats = engineer_features(synthetic, "live")
+    groups = nulls.column_groups(feats)
+    assert "aqi_lag_1" in groups["aqi_lags"] and "hour_sin" in groups["cyclical"]
+    assert "season_winter" in groups["season"] and "ventilation_idx" in groups["interactions"]
+    avail, missing = nulls.column_diff(feats, ["aqi_lag_1", "ozone"])
+    assert avail == ["aqi_lag_1"] and missing == ["ozone"]
+    with pytest.raises(ValueError):
+        nulls.require_rows(feats.where("1 = 0"), "slice")
+    df = spark.createDataFrame([(1, None, 1.0), (2, None, 2.0), (3, 3.0, None)], "k int, a double, b double")
+    assert nulls.prune_null_columns(df, threshold=0.6).columns == ["k", "b"]  # a is 2/3 null, b 1/3
