@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronoframe.llm import quality
+from chronoframe.llm import quality, token_output, windows
 from chronoframe.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,3 +25,13 @@ def register(key: str, sql: str | None = None):
 @register("op2_quality_rules")
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rows(table(spark, sf_dir, "documents"))
+
+
+@register("op1_token_output")
+def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output.pack_matrix(table(spark, sf_dir, "documents"))
+
+
+@register("op3_packing")
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.window_digest(windows.pack_windows(table(spark, sf_dir, "documents")))
