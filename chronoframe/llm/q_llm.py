@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronoframe.llm import quality, token_output, windows
+from chronoframe.llm import fst_count, quality, token_output, windows
 from chronoframe.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,3 +35,8 @@ def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op3_packing")
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.window_digest(windows.pack_windows(table(spark, sf_dir, "documents")))
+
+
+@register("op10_token_counts")
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fst_count.count_tokens(table(spark, sf_dir, "documents"))
