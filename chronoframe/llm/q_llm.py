@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronoframe.llm import fst_count, quality, token_output, windows
+from chronoframe.llm import fst_count, near_dup, quality, token_output, windows
 from chronoframe.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,3 +40,8 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op10_token_counts")
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fst_count.count_tokens(table(spark, sf_dir, "documents"))
+
+
+@register("op8_minhash_near_dup")
+def op8_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), width=4)
