@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronoframe.llm import fst_count, near_dup, quality, token_output, windows
+from chronoframe.llm import fst_count, lines, mixing, near_dup, quality, token_output, urls, windows
 from chronoframe.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,3 +45,18 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op8_minhash_near_dup")
 def op8_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), width=4)
+
+
+@register("op4_line_dedup", lines.ORACLE)
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_rows(table(spark, sf_dir, "documents"))
+
+
+@register("op6_source_mixing")
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_rows(table(spark, sf_dir, "documents"))
+
+
+@register("op7_url_filter", urls.ORACLE)
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge_urls(table(spark, sf_dir, "pages"))
