@@ -72,6 +72,14 @@ def drop_boilerplate(pages: DataFrame, site: str = "source", text: str = "text")
     return done.select(*[F.col("clean").alias(c) if c == text else F.col("_row")[c].alias(c) for c in pages.columns])
 
 
+def with_length(docs: DataFrame, text: str = "text", length: str = "n_chars") -> DataFrame:
+    """``docs`` with the length column, where there is one, set to the text's length in characters."""
+    if length not in docs.columns:
+        return docs
+    kind = docs.schema[length].dataType
+    return docs.withColumn(length, F.when(F.col(text).isNull(), F.col(length)).otherwise(F.char_length(text)).cast(kind))
+
+
 ORACLE = """
 WITH l AS (
   SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL),
