@@ -37,6 +37,25 @@ CATEGORY_COLORS = [(50, "#38a169"), (100, "#d69e2e"), (150, "#dd6b20"),
                    (200, "#e53e3e"), (300, "#805ad5")]
 DEFAULT_COLOR = "#63171b"
 MODEL_RMSE = 5.11
+# alert levels: (upper bound inclusive, severity, message); the last branch
+# interpolates the value and the category
+ALERT_RULES = [
+    (50, "success", "Air quality is expected to remain Good for the next 24 hours. "
+                    "Safe for all activities outdoors."),
+    (100, "warning", "Air quality forecast is Moderate. Unusually sensitive individuals "
+                     "should consider reducing prolonged outdoor exertion."),
+    (150, "warning", "Forecast is Unhealthy for Sensitive Groups. Children, elderly, and those "
+                     "with respiratory conditions should limit outdoor exposure."),
+]
+ALERT_DANGER_TEMPLATE = ("Forecast AQI of %d is %s. Avoid prolonged outdoor activities. "
+                         "Wear N95 masks if going out.")
+# pollutant bar: value / limit below these bounds, else the last colour
+RATIO_COLORS = [(0.5, "#38a169"), (1.0, "#d69e2e")]
+RATIO_DEFAULT_COLOR = "#e53e3e"
+# card classes: PM2.5 strictly below, AQI up to the bound, else the last class
+PM25_CLASSES = [(25, "good"), (55, "moderate")]
+AQI_CLASSES = [(50, "good"), (100, "moderate")]
+CLASS_DEFAULT = "unhealthy"
 # -----------------------------------------------------------------------------
 
 
@@ -64,13 +83,13 @@ def round_half_even_int(col) -> Column:
 
 
 def category_rounded(col) -> Column:
-    """Round half-even to an integer, then integer ranges; default Hazardous."""
+    """Round half-even to an integer, then integer ranges; default Hazardous, null for null."""
     r = round_half_even_int(col)
     expr = None
     for lo, hi, label in ROUNDED_RANGES:
         cond = (r >= lo) & (r <= hi)
         expr = F.when(cond, label) if expr is None else expr.when(cond, label)
-    return expr.otherwise(F.lit("Hazardous"))
+    return F.when(r.isNotNull(), expr.otherwise(F.lit("Hazardous")))
 
 
 def category_binned(col) -> Column:
@@ -84,12 +103,12 @@ def category_binned(col) -> Column:
 
 
 def category_color(col) -> Column:
-    """Colour by rounded value (C20)."""
+    """Colour by rounded value; null for null (C20)."""
     r = round_half_even_int(col)
     expr = None
     for upper, colour in CATEGORY_COLORS:
         expr = F.when(r <= upper, colour) if expr is None else expr.when(r <= upper, colour)
-    return expr.otherwise(DEFAULT_COLOR)
+    return F.when(r.isNotNull(), expr.otherwise(DEFAULT_COLOR))
 
 
 def confidence_band(pred_col, rmse: float = MODEL_RMSE) -> tuple[Column, Column]:
@@ -105,22 +124,8 @@ def multiplicative_band(col, low: float = 0.92, high: float = 1.08) -> tuple[Col
     return _c(col) * low, _c(col) * high
 
 
-# alert levels: (upper bound inclusive, severity, message); the last branch
-# interpolates the value and the category
-ALERT_RULES = [
-    (50, "success", "Air quality is expected to remain Good for the next 24 hours. "
-                    "Safe for all activities outdoors."),
-    (100, "warning", "Air quality forecast is Moderate. Unusually sensitive individuals "
-                     "should consider reducing prolonged outdoor exertion."),
-    (150, "warning", "Forecast is Unhealthy for Sensitive Groups. Children, elderly, and those "
-                     "with respiratory conditions should limit outdoor exposure."),
-]
-ALERT_DANGER_TEMPLATE = ("Forecast AQI of %d is %s. Avoid prolonged outdoor activities. "
-                         "Wear N95 masks if going out.")
-
-
 def alert_level(forecast_col, category_col) -> tuple[Column, Column]:
-    """(severity, message) for a forecast integer AQI."""
+    """(severity, message) for a forecast integer AQI; null for null."""
     f = _c(forecast_col)
     sev = msg = None
     for upper, s, m in ALERT_RULES:
@@ -128,27 +133,33 @@ def alert_level(forecast_col, category_col) -> tuple[Column, Column]:
         msg = F.when(f <= upper, m) if msg is None else msg.when(f <= upper, m)
     sev = sev.otherwise("danger")
     msg = msg.otherwise(F.format_string(ALERT_DANGER_TEMPLATE, f, _c(category_col)))
-    return sev, msg
+    return F.when(f.isNotNull(), sev), F.when(f.isNotNull(), msg)
+
+
+def _steps(x: Column, steps, default: str, inclusive: bool) -> Column:
+    """First label whose bound ``x`` keeps; null for null."""
+    out = F.lit(default)
+    for bound, label in reversed(steps):
+        out = F.when(x <= bound if inclusive else x < bound, F.lit(label)).otherwise(out)
+    return F.when(x.isNotNull(), out)
 
 
 def ratio_status(value_col, limit_col) -> Column:
-    """Pollutant bar colour by value/limit: <0.5 green, <1 amber, else red."""
-    r = _c(value_col) / _c(limit_col)
-    return F.when(r < 0.5, "#38a169").when(r < 1.0, "#d69e2e").otherwise("#e53e3e")
+    """Pollutant bar colour by value/limit."""
+    return _steps(_c(value_col) / _c(limit_col), RATIO_COLORS, RATIO_DEFAULT_COLOR, inclusive=False)
 
 
 def pct_of_limit(value_col, limit_col) -> Column:
-    """``min(int(v/limit*100), 100)`` with truncation."""
-    return F.least((_c(value_col) / _c(limit_col) * 100).cast("int"), F.lit(100))
+    """``min(int(v/limit*100), 100)`` with truncation; null for null."""
+    pct = (_c(value_col) / _c(limit_col) * 100).cast("int")
+    return F.when(pct.isNotNull(), F.least(pct, F.lit(100)))  # ``least`` skips nulls
 
 
 def kpi_class_pm25(col) -> Column:
-    """PM2.5 card class: <25 good, <55 moderate, else unhealthy."""
-    x = _c(col)
-    return F.when(x < 25, "good").when(x < 55, "moderate").otherwise("unhealthy")
+    """PM2.5 card class."""
+    return _steps(_c(col), PM25_CLASSES, CLASS_DEFAULT, inclusive=False)
 
 
 def kpi_class_aqi(col) -> Column:
-    """Forecast card class: <=50 good, <=100 moderate, else unhealthy."""
-    x = _c(col)
-    return F.when(x <= 50, "good").when(x <= 100, "moderate").otherwise("unhealthy")
+    """Forecast card class."""
+    return _steps(_c(col), AQI_CLASSES, CLASS_DEFAULT, inclusive=True)

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronoframe.functions.calendar import weekday0
+from chronoframe.operators.keyed import join_keyed
 from chronoframe.operators.quantiles import exact_quantiles, quantiles_long
 
 
@@ -129,7 +130,8 @@ def box_stats(df: DataFrame, col: str, group: str) -> DataFrame:
             .select(group, F.col("`0.25`").alias("q1"), F.col("`0.5`").alias("median"),
                     F.col("`0.75`").alias("q3")))
     wide = wide.withColumn("iqr", F.col("q3") - F.col("q1"))
-    j = df.where(F.col(col).isNotNull()).select(group, col).join(wide, on=group)
+    # one row per group; null is a group of its own
+    j = join_keyed(df.where(F.col(col).isNotNull()).select(group, col), wide, [group])
     lo_f = F.col("q1") - 1.5 * F.col("iqr")
     hi_f = F.col("q3") + 1.5 * F.col("iqr")
     inside = (F.col(col) >= lo_f) & (F.col(col) <= hi_f)
@@ -138,7 +140,7 @@ def box_stats(df: DataFrame, col: str, group: str) -> DataFrame:
         F.min(F.when(inside, F.col(col))).alias("whisker_lo"),
         F.max(F.when(inside, F.col(col))).alias("whisker_hi"),
         F.count_if(~inside).alias("n_outliers"))
-    return wide.join(agg, on=group)
+    return join_keyed(wide, agg, [group])
 
 
 def hour_profile(df: DataFrame, value_col: str, time_col: str = "time") -> DataFrame:

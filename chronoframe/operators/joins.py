@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chronoframe.functions.calendar import to_local
+
 # ---- fixed values that must match the reference ------------------------------
 # festival days (batch builder list, 2020-2024)
 DIWALI_DATES = ["2020-11-14", "2021-11-04", "2022-10-24", "2023-11-12", "2024-11-01"]
@@ -85,8 +87,8 @@ ADVICE_HEADER = "*⚠️ AI advisor unavailable — showing standard guidance fo
 # -----------------------------------------------------------------------------
 
 
-def merge_feeds(air: DataFrame, weather: DataFrame, keys: Sequence[str] = ("time",)) -> DataFrame:
-    """Inner equi-join of the two feeds (J1).  Both sides are data-sized, so the
+def merge_feeds(air: DataFrame, weather: DataFrame, keys: Sequence[str] = ("series_id", "time")) -> DataFrame:
+    """Inner equi-join of the two feeds (J1); feeds of several series join on the series as well.  Both sides are data-sized, so the
     planner picks sort-merge (or AQE a broadcast when one side turns out small)."""
     return air.join(weather, on=list(keys), how="inner")
 
@@ -101,13 +103,19 @@ def festival_dates(spark: SparkSession, dates: Sequence[str] | None = None,
     return base.distinct()
 
 
+def live_festival_dates(spark: SparkSession) -> DataFrame:
+    """The festival days of the live feature path, which knows later years too."""
+    return festival_dates(spark, DIWALI_DATES + HOLI_DATES + GANESH_DATES + LIVE_EXTRA_DATES)
+
+
 def flag_festival(df: DataFrame, festivals: DataFrame, time_col: str = "time",
-                  name: str = "is_festival") -> DataFrame:
-    """``is_festival`` = the row's calendar day is in the festival set.
+                  name: str = "is_festival", tz: str | None = None) -> DataFrame:
+    """``is_festival`` = the row's calendar day, in zone ``tz`` if given, is in the festival set.
 
     Left join to the broadcast literal set (<= 2 x len(dates) rows)."""
     fest = F.broadcast(festivals.select(F.col("date").alias("_fd"), F.lit(1).alias("_hit")))
-    out = df.join(fest, F.to_date(F.col(time_col)) == F.col("_fd"), "left")
+    day = F.to_date(to_local(time_col, tz) if tz else F.col(time_col))
+    out = df.join(fest, day == F.col("_fd"), "left")
     return out.withColumn(name, F.coalesce(F.col("_hit"), F.lit(0))).drop("_fd", "_hit")
 
 

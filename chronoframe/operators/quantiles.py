@@ -26,6 +26,7 @@ from typing import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronoframe.operators.keyed import join_keyed
 from chronoframe.session import cut_lineage
 
 
@@ -37,43 +38,49 @@ def to_long(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = (),
     return long.where(F.col(value_col).isNotNull() & ~F.isnan(value_col))
 
 
-def _ranked(long: DataFrame, groups: list[str], ranks: DataFrame) -> DataFrame:
-    w = Window.partitionBy(*groups).orderBy("_v")
-    return (long.select(*groups, "_v", (F.row_number().over(w) - 1).alias("_r"))
-            .join(ranks, on=[*groups, "_r"], how="inner")
-            .select(*groups, "_r", F.col("_v").alias("_val")))
-
-
-def _values_at_ranks(long: DataFrame, groups: list[str], ranks: DataFrame,
-                     small: int, buckets: int, depth: int, max_depth: int = 6) -> DataFrame:
-    """``ranks(groups, _r)`` -> ``(groups, _r, _val)`` with the ``_r``-th smallest value."""
-    cnt = long.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"))
-    # size check on the per-group count table decides if a bucket level is needed
-    if depth >= max_depth or cnt.where(F.col("_n") > small).limit(1).count() == 0:
-        return _ranked(long, groups, ranks)
-    sized = long.join(cnt, on=groups)
+def _ranked(values: DataFrame, groups: list[str], ranks: DataFrame) -> DataFrame:
+    """Each wanted rank falls into the run of equal values whose running count passes it."""
+    w = Window.partitionBy(*groups).orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    runs = values.select(*groups, "_v", "_c", F.sum("_c").over(w).alias("_hi"))
+    hit = (F.col("_r") >= F.col("_hi") - F.col("_c")) & (F.col("_r") < F.col("_hi"))
+    return join_keyed(runs, ranks, groups, where=hit).select(*groups, "_r", F.col("_v").alias("_val"))
+
+
+def _values_at_ranks(values: DataFrame, groups: list[str], ranks: DataFrame,
+                     small: int, buckets: int, depth: int) -> DataFrame:
+    """``ranks(groups, _r)`` -> ``(groups, _r, _val)`` with the ``_r``-th smallest value.
+
+    ``values``: distinct ``_v`` of each group with their count ``_c``, so a value
+    that fills most of a group is one row.  A group with more than ``small``
+    distinct values is cut at approximate quantiles of its distinct values;
+    every level divides them by about ``buckets``, so the depth is
+    ``log(distinct / small, buckets)``.
+    """
+    cnt = values.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"))
+    if cnt.where(F.col("_n") > small).limit(1).count() == 0:
+        return _ranked(values, groups, ranks)
+    sized = join_keyed(values, cnt, groups)
     small_vals = _ranked(sized.where(F.col("_n") <= small).drop("_n"), groups, ranks)
     bn = f"_b{depth}"
     big = sized.where(F.col("_n") > small).drop("_n")
     probs = [i / buckets for i in range(1, buckets)]
     edges = big.groupBy(*groups).agg(
         F.percentile_approx("_v", probs, buckets * 20).alias("_edges"))
-    bb = big.join(edges, on=groups).withColumn(
+    bb = join_keyed(big, edges, groups).withColumn(
         bn, F.size(F.filter("_edges", lambda e: e < F.col("_v")))).drop("_edges")
-    bc = bb.groupBy(*groups, bn).agg(F.count(F.lit(1)).alias("_bn"))
+    bc = bb.groupBy(*groups, bn).agg(F.sum("_c").alias("_bn"))
     wo = Window.partitionBy(*groups).orderBy(bn).rowsBetween(Window.unboundedPreceding, -1)
     bc = bc.withColumn("_lo", F.coalesce(F.sum("_bn").over(wo), F.lit(0)))
     # each wanted rank -> its bucket (a group has <= buckets rows here and few ranks)
-    located = (ranks.join(bc, on=groups)
-               .where((F.col("_r") >= F.col("_lo")) & (F.col("_r") < F.col("_lo") + F.col("_bn")))
+    located = (join_keyed(ranks, bc, groups, where=(F.col("_r") >= F.col("_lo")) & (F.col("_r") < F.col("_lo") + F.col("_bn")))
                .select(*groups, bn, "_r", (F.col("_r") - F.col("_lo")).alias("_rr")))
     located = cut_lineage(located)
-    # only the rows of the located buckets go one level down; lineage is cut so
+    # only the values of the located buckets go one level down; lineage is cut so
     # plans stay flat however deep the refinement goes
-    sub = cut_lineage(bb.join(located.select(*groups, bn).distinct(), on=[*groups, bn], how="left_semi"))
+    sub = cut_lineage(join_keyed(bb, located.select(*groups, bn).distinct(), [*groups, bn], "left_semi"))
     sub_ranks = located.select(*groups, bn, F.col("_rr").alias("_r")).distinct()
-    inner = _values_at_ranks(sub, [*groups, bn], sub_ranks, small, buckets, depth + 1, max_depth)
-    big_vals = (located.join(inner.withColumnRenamed("_r", "_rr"), on=[*groups, bn, "_rr"])
+    inner = _values_at_ranks(sub, [*groups, bn], sub_ranks, small, buckets, depth + 1)
+    big_vals = (join_keyed(located, inner.withColumnRenamed("_r", "_rr"), [*groups, bn, "_rr"])
                 .select(*groups, "_r", "_val"))
     return small_vals.unionByName(big_vals)
 
@@ -98,10 +105,11 @@ def quantiles_long(long: DataFrame, groups: Sequence[str], probs: Sequence[float
           .withColumn("_rhi", F.ceil("_pos").cast("bigint"))
           .withColumn("_frac", F.col("_pos") - F.col("_rlo")))
     ranks = (tg.select(*groups, F.explode(F.array("_rlo", "_rhi")).alias("_r")).distinct())
-    vals = _values_at_ranks(long, groups, ranks, small_group_rows, buckets, 0)
+    values = long.groupBy(*groups, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    vals = _values_at_ranks(values, groups, ranks, small_group_rows, buckets, 0)
     lo = vals.withColumnRenamed("_r", "_rlo").withColumnRenamed("_val", "_vlo")
     hi = vals.withColumnRenamed("_r", "_rhi").withColumnRenamed("_val", "_vhi")
-    out = tg.join(lo, on=[*groups, "_rlo"]).join(hi, on=[*groups, "_rhi"])
+    out = join_keyed(join_keyed(tg, lo, [*groups, "_rlo"]), hi, [*groups, "_rhi"])
     value = F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * F.col("_frac")
     return out.select(*groups, "p", value.alias("value"))
 

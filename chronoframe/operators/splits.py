@@ -12,6 +12,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronoframe.operators.keyed import join_keyed
 from chronoframe.operators.windows import DEFAULT_CHUNK_ROWS, bucket_width, heavy_keys, with_ordinal
 
 
@@ -60,7 +61,7 @@ def with_positions(df: DataFrame, keys: Sequence[str] = (), order: Sequence[str]
         o = with_ordinal(df, keys, order, bucket=b, name="pos")
     n = o.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     if keys:
-        return o.join(n, on=keys)
+        return join_keyed(o, n, keys)
     return o.withColumn("_g", F.lit(0)).join(F.broadcast(n.withColumn("_g", F.lit(0))), "_g").drop("_g")
 
 

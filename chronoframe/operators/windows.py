@@ -60,6 +60,7 @@ class WinExpr:
     build: Callable[[Ctx], Column]
     back: int = 0
     fwd: int = 0
+    seconds: int = 0          # look-back in time instead of rows
 
 
 # --------------------------------------------------------------------------- builders
@@ -112,24 +113,18 @@ def ffill(col: str, limit: int, name: str | None = None) -> WinExpr:
                    back=limit)
 
 
-def lag_time(col: str, seconds: int, name: str | None = None, max_rows_back: int | None = None) -> WinExpr:
-    """Value exactly ``seconds`` earlier in *time* (null when that instant is absent).
-
-    Uses a RANGE frame on epoch seconds.  Under the halo strategy the series
-    must have at most one row per ``seconds / max_rows_back`` step; pass the
-    row bound that guarantees the instant is within the halo.
-    """
+def lag_time(col: str, seconds: int, name: str | None = None) -> WinExpr:
+    """Value exactly ``seconds`` earlier in *time* (null when that instant is absent)."""
 
     def build(c: Ctx) -> Column:
         epoch = F.expr(_EPOCH.format(c=f"`{c.time_col}`"))
         w = Window.partitionBy(*c.parts).orderBy(epoch).rangeBetween(-seconds, -seconds)
         return F.max(col).over(w)
 
-    return WinExpr(name or f"{col}_tlag_{seconds}", build, back=max_rows_back or 0)
+    return WinExpr(name or f"{col}_tlag_{seconds}", build, seconds=seconds)
 
 
-def rolling_time(col: str, seconds: int, agg: str = "mean", name: str | None = None,
-                 max_rows_back: int | None = None) -> WinExpr:
+def rolling_time(col: str, seconds: int, agg: str = "mean", name: str | None = None) -> WinExpr:
     """Aggregate over the trailing time interval ``(t - seconds, t]`` (time-true twin of W5)."""
     fn = _AGGS[agg]
 
@@ -138,12 +133,7 @@ def rolling_time(col: str, seconds: int, agg: str = "mean", name: str | None = N
         w = Window.partitionBy(*c.parts).orderBy(epoch).rangeBetween(-(seconds - 1), 0)
         return fn(col).over(w)
 
-    return WinExpr(name or f"{col}_troll_{agg}_{seconds}", build, back=max_rows_back or 0)
-
-
-def row_number0(name: str = "rn") -> WinExpr:
-    """0-based position inside the series (not halo-safe: use :func:`with_ordinal`)."""
-    return WinExpr(name, lambda c: F.row_number().over(c.w) - 1)
+    return WinExpr(name or f"{col}_troll_{agg}_{seconds}", build, seconds=seconds)
 
 
 # --------------------------------------------------------------------------- ordinals
@@ -252,6 +242,19 @@ def window_features(df: DataFrame, stages, keys: Sequence[str] = ("series_id",),
     if bucket == "auto":
         bucket = "hour"
 
+    if any(e.seconds for st in stages for e in st):
+        # row and time look-backs need different chunks: stage by stage, each kind by itself;
+        # all expressions of a stage read the columns as they were before it
+        out = df
+        for st in stages:
+            timed = [e for e in st if e.seconds]
+            named = [WinExpr(f"_timed_{i}", e.build, seconds=e.seconds) for i, e in enumerate(timed)]
+            if named:
+                out = _time_chunks(out, named, keys, order, chunk_rows)
+            if len(timed) < len(st):
+                out = window_features(out, [[e for e in st if not e.seconds]], keys, order, "halo", chunk_rows, bucket)
+            out = out.withColumns({e.name: F.col(n.name) for e, n in zip(timed, named)}).drop(*[n.name for n in named])
+        return out
     back = sum(max([e.back for e in st] or [0]) for st in stages)
     fwd = sum(max([e.fwd for e in st] or [0]) for st in stages)
     if chunk_rows <= back + fwd:
@@ -276,6 +279,27 @@ def window_features(df: DataFrame, stages, keys: Sequence[str] = ("series_id",),
     return out.where(F.col("_part") == F.col("_home")).drop("_rn", "_home", "_part")
 
 
+def _time_chunks(df: DataFrame, exprs: list[WinExpr], keys: list[str], order: list[str], chunk_rows: int) -> DataFrame:
+    """Time look-backs of long series: windows per ``(keys, time chunk)`` with a halo in time.
+
+    A chunk is at least as wide as the longest look-back, so the tail of the
+    chunk before it is all the halo there is, however many rows lie in it.
+    Chunks are whole seconds, so equal instants stay together.
+    """
+    span = max(e.seconds for e in exprs) + 1
+    width = max(span, bucket_width(df, keys, order[0], max(1, chunk_rows // 2)) // 1_000_000)
+    epoch = F.expr(_EPOCH.format(c=f"`{order[0]}`"))
+    home = F.floor(epoch / F.lit(width)).cast("bigint")
+    copies = F.array(home, F.when((home + 1) * F.lit(width) - epoch <= F.lit(span), home + 1))
+    parts = df.withColumn("_home", home).withColumn("_part", F.explode(F.array_compact(copies)))
+    pkeys = keys + ["_part"]
+    ctx = Ctx(Window.partitionBy(*pkeys).orderBy(*order), pkeys, [F.col(o) for o in order], order[0])
+    out = parts.withColumns({e.name: e.build(ctx) for e in exprs})
+    # rows without a time belong to no chunk
+    return out.where(F.col("_part") == F.col("_home")).drop("_home", "_part").unionByName(
+        df.where(F.col(order[0]).isNull()).withColumns({e.name: F.lit(None).cast(out.schema[e.name].dataType) for e in exprs}))
+
+
 # --------------------------------------------------------------------------- unbounded fill
 
 def ffill_unbounded(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = ("series_id",),

@@ -27,7 +27,7 @@ from chronoframe.functions import calendar as cal
 from chronoframe.functions import encode
 from chronoframe.functions.numeric import interactions
 from chronoframe.operators import nulls, windows as W
-from chronoframe.operators.joins import festival_dates, flag_festival
+from chronoframe.operators.joins import festival_dates, flag_festival, live_festival_dates
 from chronoframe.session import cut_lineage
 
 # ---- fixed values that must match the reference ------------------------------
@@ -93,7 +93,7 @@ def static_features(df: DataFrame, time_col: str = "time", tz: str | None = None
     out = out.withColumn("season", encode.season("month"))
     out = encode.season_onehot(out)
     fest = festivals if festivals is not None else festival_dates(df.sparkSession)
-    out = flag_festival(out, fest, time_col)
+    out = flag_festival(out, fest, time_col, tz=tz)
     out = interactions(out)
     if "wind_direction_10m" in out.columns:
         out = out.withColumn("wind_dir_cat", encode.wind_sector("wind_direction_10m"))
@@ -102,19 +102,45 @@ def static_features(df: DataFrame, time_col: str = "time", tz: str | None = None
     return out.drop("season")
 
 
+def built_columns(df: DataFrame) -> dict[str, list[str]]:
+    """Columns of ``df`` that the feature builders make, by builder."""
+    calendar = [*cal.calendar_columns("time"), "is_festival"]
+    cyclic = [f"{n}_{f}" for n in ("hour", "month", "dow") for f in ("sin", "cos")]
+    made = {"temporal": calendar, "interactions": ["ventilation_idx", "humidity_pm25", "inversion_proxy"],
+            "aqi_lags": [e.name for e in lag_exprs(which=("aqi",))], "rolling": [e.name for e in rolling_exprs()],
+            "cyclical": cyclic, "season": [f"season_{s}" for s in encode.SEASONS]}
+    have = set(df.columns)
+    return {g: [c for c in names if c in have] for g, names in made.items()}
+
+
+#: Rows that a feature can look back: the longest lag, and a forward fill on top of it.
+LOOKBACK_ROWS = max(AQI_LAGS) + FFILL_LIMIT
+
+
+def _recent(df: DataFrame, keys: list[str], time_col: str, bound, lookback_hours: int) -> DataFrame:
+    """``df`` from ``lookback_hours`` before ``bound`` on, if every series has rows enough there; else ``df``."""
+    near = df.where(F.col(time_col) >= bound - F.expr(f"INTERVAL {lookback_hours} HOURS"))
+    late, before = F.col(time_col) >= bound, F.col(time_col) < bound
+    short = near.groupBy(*keys).agg(F.count_if(late).alias("_late"), F.count_if(before).alias("_n")).where(
+        (F.col("_late") > 0) & (F.col("_n") < LOOKBACK_ROWS))
+    return near if short.isEmpty() else df
+
+
 def engineer_features(df: DataFrame, profile: str = "batch", keys: Sequence[str] = (),
                       order: Sequence[str] = ("time",), strategy: str = "auto",
                       tz: str | None = None, festivals: DataFrame | None = None,
                       target: str = TARGET, median_keys: Sequence[str] | None = None,
-                      since: str | None = None, lookback_hours: int = 75,
-                      materialize: bool = True) -> DataFrame:
+                      since: str | None = None, lookback_hours: int = 24 * 14,
+                      materialize: bool = True, medians: DataFrame | None = None) -> DataFrame:
     """Full feature table for one of the profiles listed in the module docstring.
 
-    ``since`` computes features only for rows at or after that instant: the
-    input is first bounded to ``since - lookback_hours`` (the bound reaches the
-    file scan), features are built, then rows before ``since`` are dropped.
-    The default 75 h is the longest chained look-back (lag 72 + ffill 3) on an
-    hourly series; medians then come from the bounded frame.
+    ``since`` returns only rows at or after that instant; the result equals the
+    full build filtered to them.  Lags count rows, so the input may be cut only
+    where the rows that a feature can reach are surely there: it is read from
+    ``since - lookback_hours`` on (the bound reaches the file scan) if every
+    series has ``LOOKBACK_ROWS`` rows between, else whole.  Profiles that fill
+    with medians need the whole history for them, so they are cut only when
+    ``medians`` passes a stored table.
 
     ``materialize`` writes the frame that feeds both the forward fill and the
     medians once (reliable checkpoint in the session's checkpoint folder), so
@@ -122,10 +148,12 @@ def engineer_features(df: DataFrame, profile: str = "batch", keys: Sequence[str]
     """
     keys, order = list(keys), list(order)
     if since is not None:
-        lo = F.lit(since).cast("timestamp_ntz") - F.expr(f"INTERVAL {lookback_hours} HOURS")
-        full = engineer_features(df.where(F.col(order[0]) >= lo), profile, keys, order, strategy, tz,
-                                 festivals, target, median_keys, materialize=materialize)
-        return full.where(F.col(order[0]) >= F.lit(since).cast("timestamp_ntz"))
+        bound = F.lit(since).cast("timestamp_ntz")
+        if profile in ("live", "archived") or medians is not None:
+            df = _recent(df, keys, order[0], bound, lookback_hours)
+        full = engineer_features(df, profile, keys, order, strategy, tz, festivals, target, median_keys,
+                                 materialize=materialize, medians=medians)
+        return full.where(F.col(order[0]) >= bound)
     time_col = order[0]
     wkw = dict(keys=keys, order=order, strategy=strategy)
     median_keys = keys if median_keys is None else list(median_keys)
@@ -141,6 +169,8 @@ def engineer_features(df: DataFrame, profile: str = "batch", keys: Sequence[str]
         df = nulls.drop_null_target(df, target)
     include_current = profile != "leak_free"
     feats = W.window_features(df, lag_exprs() + rolling_exprs(include_current), **wkw)
+    if festivals is None and profile == "live":
+        festivals = live_festival_dates(df.sparkSession)
     feats = static_features(feats, time_col, tz, festivals,
                             wind_reference_level="E" if profile == "notebook" else None)
     non_target = [c for c in feats.columns if c not in (target, *keys, *order)]
@@ -155,12 +185,12 @@ def engineer_features(df: DataFrame, profile: str = "batch", keys: Sequence[str]
             kept = cut_lineage(kept)
         filled = W.window_features(kept, fill, **wkw)
         num = nulls.numeric_columns(kept, [target, *keys])
-        return nulls.fill_with_medians(filled, num, medians_from=kept, keys=median_keys)
+        return nulls.fill_with_medians(filled, num, medians_from=kept, keys=median_keys, medians=medians)
     if profile == "notebook":
         kept = nulls.drop_null_keys(feats, KEY_COLUMNS)
         filled = W.window_features(kept, fill, **wkw)
         if materialize:
             filled = cut_lineage(filled)
         num = nulls.numeric_columns(filled, [target, *keys])
-        return nulls.fill_with_medians(filled, num, keys=median_keys)
+        return nulls.fill_with_medians(filled, num, keys=median_keys, medians=medians)
     raise ValueError(f"unknown profile {profile!r}")

@@ -48,7 +48,7 @@ JOIN (SELECT time, precipitation, wind_speed_10m, boundary_layer_height, relativ
 def q_merge_feeds(spark, sf):
     from chronoframe.operators.joins import merge_feeds
     h = hourly(spark, sf)  # both feeds project the once-materialised hourly view: one raw scan
-    return _round_all(merge_feeds(V.air_feed(h), V.weather_feed(h)))
+    return _round_all(merge_feeds(V.air_feed(h), V.weather_feed(h), ["time"]))
 
 
 # --------------------------------------------------------------------------- W1-W10
@@ -192,7 +192,6 @@ FROM hourly h LEFT JOIN hourly p ON p.time = h.time - INTERVAL 24 HOUR
 def q_lag_time_aqi(spark, sf):
     """Time-true twins of lag 24 / rolling mean 24 (F3): value exactly 24 h earlier
     (null when that hour is missing) and the mean over the trailing 24 h."""
-    out = _win(hourly(spark, sf), [W.lag_time("us_aqi", 24 * 3600, "aqi_tlag_24h", max_rows_back=24),
-                                   W.rolling_time("us_aqi", 24 * 3600, "mean", "aqi_troll_mean_24h",
-                                                  max_rows_back=24)])
+    out = _win(hourly(spark, sf), [W.lag_time("us_aqi", 24 * 3600, "aqi_tlag_24h"),
+                                   W.rolling_time("us_aqi", 24 * 3600, "mean", "aqi_troll_mean_24h")])
     return out.select("time", r9("aqi_tlag_24h"), r9("aqi_troll_mean_24h"))

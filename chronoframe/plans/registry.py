@@ -86,16 +86,21 @@ def _rnd(name: str, d: int = 9) -> str:
     return f"round({name}, {d}) AS {name}"
 
 
-def hourly(spark: SparkSession, sf: str) -> DataFrame:
-    """R1, materialised once per query.
-
-    The hourly view is a small aggregate (series x hours) of the raw events;
-    queries over it run several actions (size checks, medians, folds), so it
-    is written once with a reliable ``checkpoint()`` into the session's
-    ``spark.checkpoint.dir`` and every later job reads that instead of
-    re-scanning the raw table.
+def hourly(spark: SparkSession, sf: str, start: str | None = None, end: str | None = None) -> DataFrame:
+    """R1 as a lazy view: no action runs while a query is built.
+
+    Catalyst drops the measures a query doesn't ask for, so most queries read
+    two or three columns and never parse ``props``; ``start`` / ``end`` reach the
+    scan.  A query that reads the view in several actions asks for
+    :func:`hourly_once`.
     """
-    return cut_lineage(V.hourly(spark, sf))
+    return V.hourly(spark, sf, start, end)
+
+
+def hourly_once(spark: SparkSession, sf: str, columns: list[str] | None = None) -> DataFrame:
+    """R1 (or some of its columns), written once to the shared folder for queries that read it again and again."""
+    h = V.hourly(spark, sf)
+    return cut_lineage(h.select(*columns) if columns else h)
 
 
 def _win(df: DataFrame, exprs) -> DataFrame:

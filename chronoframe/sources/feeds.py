@@ -8,13 +8,13 @@ scan by date so the predicate reaches the file source.
 from __future__ import annotations
 
 import json
-import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chronoframe.functions.numeric import nan_to_null_all
+from chronoframe.session import path_exists
 
 # ---- fixed values that must match the reference ------------------------------
 AIR_VARIABLES = ["pm10", "pm2_5", "carbon_monoxide", "nitrogen_dioxide", "sulphur_dioxide", "ozone",
@@ -84,13 +84,22 @@ def read_forecast(spark: SparkSession, path: str, fmt: str = "parquet") -> DataF
         return empty.withColumn("date", F.to_date("time"))
 
 
-def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by=("year", "month"),
-                mode: str = "overwrite") -> None:
-    """Feature-table sink: parquet partitioned by year/month by default."""
-    w = df
+#: Partition columns of a written table: year and month of the stored (UTC) time.
+PARTITIONS = ("_py", "_pm")
+
+
+def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by=PARTITIONS,
+                mode: str = "overwrite", time_col: str = "time") -> None:
+    """Feature-table sink: parquet partitioned by year/month of storage time by default.
+
+    The partition columns have names of their own, so ``year`` and ``month``
+    features, which may be in local time, are stored as they are.
+    """
     parts = [p for p in partition_by if p]
-    if parts and "time" in df.columns:
-        w = df.withColumns({"year": F.year("time"), "month": F.month("time")})
+    w = df
+    if time_col in df.columns:
+        own = {PARTITIONS[0]: F.year(time_col), PARTITIONS[1]: F.month(time_col)}
+        w = df.withColumns({c: own[c] for c in parts if c in own})
     writer = w.write.mode(mode)
     if parts:
         writer = writer.partitionBy(*parts)
@@ -104,20 +113,24 @@ def read_table(spark: SparkSession, path: str, start: str | None = None, end: st
                time_col: str = "time", fmt: str = "parquet") -> DataFrame:
     """Scan a table written by :func:`write_table` with a half-open time bound.
 
-    The bound is also stated on the ``year``/``month`` partition columns
-    (``year * 12 + month`` range), so whole partitions are pruned before any
-    file is opened; the exact ``time`` predicate still reaches the row-group
-    filter.
+    The bound is also stated on the partition columns (``year * 12 + month``
+    range), so whole partitions are pruned before any file is opened; the
+    exact ``time`` predicate still reaches the row-group filter.
     """
     df = spark.read.format(fmt).load(path)
-    ym = F.col("year") * 12 + F.col("month")
+    parted = set(PARTITIONS) <= set(df.columns)
+    ym = F.col(PARTITIONS[0]) * 12 + F.col(PARTITIONS[1]) if parted else None
     if start:
         t0 = F.lit(start).cast("timestamp_ntz")
-        df = df.where((ym >= F.year(t0) * 12 + F.month(t0)) & (F.col(time_col) >= t0))
+        df = df.where(F.col(time_col) >= t0)
+        if parted:
+            df = df.where(ym >= F.year(t0) * 12 + F.month(t0))
     if end:
         t1 = F.lit(end).cast("timestamp_ntz")
-        df = df.where((ym <= F.year(t1) * 12 + F.month(t1)) & (F.col(time_col) < t1))
-    return df
+        df = df.where(F.col(time_col) < t1)
+        if parted:
+            df = df.where(ym <= F.year(t1) * 12 + F.month(t1))
+    return df.drop(*PARTITIONS)
 
 
 def read_csv_table(spark: SparkSession, path: str, schema: T.StructType,
@@ -142,13 +155,10 @@ def write_report(df: DataFrame, path: str) -> None:
 
 def read_report(spark: SparkSession, path: str, schema: T.StructType, default: dict) -> DataFrame:
     """Report scan with a literal fallback row when the report is missing."""
-    if os.path.exists(path) or "://" in path:
-        try:
-            df = spark.read.schema(schema).json(path)
-            if not df.isEmpty():
-                return df
-        except Exception:  # noqa: BLE001
-            pass
+    if path_exists(spark, path):
+        df = spark.read.schema(schema).json(path)
+        if not df.isEmpty():
+            return df
     return spark.createDataFrame([tuple(default.get(f.name) for f in schema.fields)], schema)
 
 

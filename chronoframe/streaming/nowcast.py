@@ -1,10 +1,10 @@
 """Live nowcast job (T1): a stream of new readings scored per micro-batch.
 
 ``lag().over()`` is not allowed on a stream, so each micro-batch is handled
-with ``foreachBatch``: the new rows plus the last ``history_hours`` of stored
-history of the *same series* (a semi-join on the batch's keys, with the time
-bound pushed to the history scan) go through the batch feature function,
-the newest row per series is scored, and predictions are appended.  The
+with ``foreachBatch``: the new rows plus the stored rows of the *same series*
+that they can depend on (the last ``history_rows`` before the batch and all
+later ones) go through the batch feature function, the newest row per series
+is scored, and predictions are appended.  The
 batch id makes the append idempotent on replay.
 """
 
@@ -12,35 +12,58 @@ from __future__ import annotations
 
 from typing import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from chronoframe.functions.categories import category_continuous, confidence_band
 from chronoframe.operators import ranking as R
+from chronoframe.operators.keyed import join_keyed
+from chronoframe.session import path_exists
 
-# 72 h maximum lag + 3 rows of forward fill on top of it (chained look-back)
-HISTORY_HOURS = 75
+# rows of look-back: the longest lag (72) and 3 rows of forward fill on top of it
+HISTORY_ROWS = 75
+
+
+def _with_history(batch: DataFrame, history: DataFrame, keys: list[str], time_col: str, rows: int) -> DataFrame:
+    """Stored rows that the batch's features can depend on.
+
+    Lags count rows, so for each series these are the last ``rows`` before the
+    batch's earliest reading, however old, and all later ones: a late reading
+    stands between stored rows.  A stored row that the batch brings again
+    gives way to the batch's.
+    """
+    bounds = batch.groupBy(*keys).agg(F.min(time_col).alias("_lo"))
+    past = join_keyed(history, bounds, keys)
+    older = past.where(F.col(time_col) < F.col("_lo")).withColumn(
+        "_i", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(time_col))))
+    kept = older.where(F.col("_i") <= rows).drop("_i").unionByName(past.where(F.col(time_col) >= F.col("_lo"))).drop("_lo")
+    return join_keyed(kept, batch.select(*keys, time_col).distinct(), [*keys, time_col], "left_anti")
 
 
 def nowcast_batch(batch: DataFrame, history: DataFrame, features: Callable[[DataFrame], DataFrame],
                   predict: Callable[[DataFrame], DataFrame], keys: Sequence[str] = ("series_id",),
-                  time_col: str = "time", history_hours: int = HISTORY_HOURS) -> DataFrame:
-    """Score the newest row of every series present in ``batch``."""
+                  time_col: str = "time", history_rows: int = HISTORY_ROWS, guess_hours: int = 24 * 14) -> DataFrame:
+    """Score the newest row of every series present in ``batch``.
+
+    History is first read from ``guess_hours`` before the earliest reading on,
+    a bound that reaches the file scan.  Only if a series has fewer than
+    ``history_rows`` rows there is its history read without a bound; the
+    result is the same either way.
+    """
     keys = list(keys)
-    bounds = batch.groupBy(*keys).agg(F.min(time_col).alias("_lo"))
-    # one value from the (small) micro-batch: a global lower bound that reaches
-    # the history file scan, so old history is never read
     earliest = batch.agg(F.min(time_col)).first()[0]
-    if earliest is not None:
+    if earliest is None:
+        near = history.limit(0)
+    else:
         lo = F.lit(earliest.isoformat(sep=" ")).cast("timestamp_ntz")  # zone-free literal
-        history = history.where(F.col(time_col) >= lo - F.expr(f"INTERVAL {history_hours} HOURS"))
-    recent = (history.join(bounds, on=keys, how="inner")
-              .where(F.col(time_col) >= F.col("_lo") - F.expr(f"INTERVAL {history_hours} HOURS"))
-              .where(F.col(time_col) < F.col("_lo")).drop("_lo"))
-    frame = recent.unionByName(batch, allowMissingColumns=True)
-    feats = features(frame)
-    newest = R.latest(feats, keys, [time_col])
+        near = history.where(F.col(time_col) >= lo - F.expr(f"INTERVAL {guess_hours} HOURS"))
+        have = join_keyed(batch.groupBy(*keys).agg(F.min(time_col).alias("_lo")), near.select(*keys, time_col), keys, "left",
+                          where=F.col(time_col) < F.col("_lo")).groupBy(*keys).agg(F.count(time_col).alias("_n"))
+        if not have.where(F.col("_n") < history_rows).isEmpty():
+            near = history
+    frame = _with_history(batch, near, keys, time_col, history_rows).unionByName(batch, allowMissingColumns=True)
+    newest = R.latest(features(frame), keys, [time_col])
     return predict(newest)
 
 
@@ -64,7 +87,8 @@ def start_nowcast(spark: SparkSession, stream: DataFrame, history_path: str, sin
     def handle(batch: DataFrame, batch_id: int) -> None:
         if batch.isEmpty():
             return
-        history = (spark.read.parquet(history_path).drop("batch_id") if _exists(spark, history_path)
+        batch = batch.persist()  # several jobs read the micro-batch
+        history = (spark.read.parquet(history_path).drop("batch_id") if path_exists(spark, history_path)
                    else batch.limit(0))
         scored = nowcast_batch(batch, history, features, predict, keys)
         # dynamic partition overwrite keyed by batch id: a replayed batch replaces itself
@@ -72,13 +96,9 @@ def start_nowcast(spark: SparkSession, stream: DataFrame, history_path: str, sin
          .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(sink_path))
         (batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
          .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(history_path))
+        batch.unpersist()
 
     w = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
     return w.start()
 
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)

@@ -25,7 +25,7 @@ def test_golden_boundaries_all_three_agree_on_integers(spark):
 def test_rules_disagree_where_the_reference_does(spark):
     vals = [50.4, -1.0, 0.0, 500.5, None]
     assert _eval(spark, vals, C.category_continuous) == ["Moderate", "Good", "Good", "Hazardous", None]
-    assert _eval(spark, vals, C.category_rounded) == ["Good", "Hazardous", "Good", "Hazardous", "Hazardous"]
+    assert _eval(spark, vals, C.category_rounded) == ["Good", "Hazardous", "Good", "Hazardous", None]  # no label for null
     assert _eval(spark, vals, C.category_binned) == ["Moderate", None, None, None, None]
 
 

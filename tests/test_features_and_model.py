@@ -80,6 +80,26 @@ def test_since_pushdown_matches_full_build_for_live_profile(spark, synthetic):
     pd.testing.assert_frame_equal(a, b)
 
 
+@pytest.mark.parametrize("profile", ["live", "batch", "archived"])
+def test_since_on_a_gappy_series(spark, synthetic, profile):
+    """Half the hours are missing: the look-back is one of rows, and medians are those of the whole history."""
+    gappy = synthetic.where(F.pmod(F.xxhash64("time"), F.lit(2)) == 0)
+    since = "2023-01-06 00:00:00"
+    full = FE.engineer_features(gappy, profile).where(F.col("time") >= F.lit(since).cast("timestamp_ntz"))
+    part = FE.engineer_features(gappy, profile, since=since, lookback_hours=75)
+    import pandas as pd
+    pd.testing.assert_frame_equal(full.orderBy("time").toPandas(), part.orderBy("time").toPandas()[full.columns])
+
+
+def test_festival_days_follow_the_zone(spark):
+    df = spark.sql("SELECT TIMESTAMP_NTZ'2022-10-23 20:00:00' AS time, 1.0D AS us_aqi, 1.0D AS pm2_5, 1.0D AS relative_humidity_2m")
+    assert FE.static_features(df).first().is_festival == 0
+    assert FE.static_features(df, tz="Asia/Kolkata").first().is_festival == 1
+    from chronoframe.operators.joins import flag_festival, live_festival_dates
+    late = df.withColumn("time", F.lit("2025-10-20 05:00:00").cast("timestamp_ntz"))
+    assert flag_festival(late, live_festival_dates(spark)).first().is_festival == 1
+
+
 def test_model_save_load_and_permutation(spark, feats):
     from tests.conftest import tmpdir_new
     fl = ["aqi_lag_1", "aqi_lag_2", "aqi_roll_mean_3", "hour_sin"]

@@ -80,9 +80,10 @@ def test_describe_exact_and_approx(spark, synthetic, synthetic_pdf):
 
 
 def test_small_helpers(spark, synthetic):
-    from chronoframe.plans.features import engineer_features
+    from chronoframe.plans.features import built_columns, engineer_features
     feats = engineer_features(synthetic, "live")
-    groups = nulls.column_groups(feats)
+    groups = nulls.column_groups(feats, built_columns(feats))
+    assert groups["pollutants"] == ["pm2_5", "pm10"] and "aqi_roll_std_24" in groups["rolling"]
     assert "aqi_lag_1" in groups["aqi_lags"] and "hour_sin" in groups["cyclical"]
     assert "season_winter" in groups["season"] and "ventilation_idx" in groups["interactions"]
     avail, missing = nulls.column_diff(feats, ["aqi_lag_1", "ozone"])
@@ -91,3 +92,35 @@ def test_small_helpers(spark, synthetic):
         nulls.require_rows(feats.where("1 = 0"), "slice")
     df = spark.createDataFrame([(1, None, 1.0), (2, None, 2.0), (3, 3.0, None)], "k int, a double, b double")
     assert nulls.prune_null_columns(df, threshold=0.6).columns == ["k", "b"]  # a is 2/3 null, b 1/3
+
+
+def test_hot_value_is_one_row(spark):
+    """95 % zeros: no level of the refinement ranks the repeated value row by row."""
+    from pyspark.sql import functions as F
+
+    from chronoframe.operators import quantiles as Q
+    df = spark.range(2000).select((F.col("id") % 2).cast("int").alias("g"), F.when(F.col("id") % 20 == 0, F.col("id")).otherwise(0).cast("double").alias("a"))
+    got = {(r.g, r.p): r.value for r in Q.exact_quantiles(df, ["a"], [0.5, 0.99], ["g"], small_group_rows=10, buckets=4).collect()}
+    pdf = df.toPandas()
+    for (g, p), v in got.items():
+        assert v == pytest.approx(pdf[pdf.g == g].a.quantile(p))
+    seen = []
+    ranked = Q._ranked
+    Q._ranked = lambda values, groups, ranks: (seen.append(values.groupBy(*groups).count().agg(F.max("count")).first()[0]), ranked(values, groups, ranks))[1]
+    try:
+        Q.exact_quantiles(df, ["a"], [0.5], ["g"], small_group_rows=10, buckets=4).collect()
+    finally:
+        Q._ranked = ranked
+    assert max(x or 0 for x in seen) <= 10
+
+
+def test_null_keys_are_a_group(spark):
+    from chronoframe.operators.aggregates import box_stats
+    from chronoframe.operators.splits import positional_split
+    rows = [(k, i, float(i)) for k in ("a", None) for i in range(10)]
+    df = spark.createDataFrame(rows, "k string, i int, v double")
+    assert positional_split(df, keys=["k"], order=["i"]).count() == 20
+    assert {r.k for r in box_stats(df, "v", "k").collect()} == {"a", None}
+    holes = df.withColumn("v", df.v * (df.i > 2).cast("int")).replace(0.0, None, subset=["v"])
+    filled = nulls.fill_with_medians(holes, ["v"], keys=["k"])
+    assert filled.count() == 20 and filled.where("v is null").count() == 0

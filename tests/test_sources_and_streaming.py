@@ -128,7 +128,7 @@ def test_partitioned_table_prunes_by_time_bound(spark):
     feeds.write_table(h, f"{d}/t")
     got = feeds.read_table(spark, f"{d}/t", "2024-01-10", "2024-01-12")
     plan = got._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [" in plan and "year" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert "PartitionFilters: [" in plan and "_py" in plan.split("PartitionFilters: [")[1].split("]")[0]
     exp = h.where((F.col("time") >= "2024-01-10") & (F.col("time") < "2024-01-12")).count()
     assert got.count() == exp > 0
 
@@ -169,3 +169,35 @@ def test_markdown_report(spark):
     text = open(glob.glob(f"{d}/md/part-*")[0]).read().splitlines()
     assert text[0] == "# Model Evaluation Results" and text[4].startswith("| train |")
     assert any(t.startswith("| RMSE |") for t in text) and text[-1].startswith("| Test rows |")
+
+
+def test_partition_columns_leave_local_features_alone(spark):
+    d = tmpdir_new()
+    df = spark.sql("SELECT TIMESTAMP_NTZ'2023-12-31 20:00:00' AS time, 2024 AS year, 1 AS month, 1.0D AS us_aqi")
+    feeds.write_table(df, f"{d}/t")
+    assert tuple(feeds.read_table(spark, f"{d}/t").first()[c] for c in ("year", "month")) == (2024, 1)
+
+
+def test_report_fallback_only_when_missing(spark):
+    from pyspark.sql import types as T
+    d = tmpdir_new()
+    schema = T.StructType([T.StructField("mae", T.DoubleType())])
+    assert feeds.read_report(spark, f"{d}/none", schema, {"mae": 9.0}).first().mae == 9.0
+    feeds.write_report(spark.createDataFrame([(1.5,)], schema), f"{d}/r")
+    assert feeds.read_report(spark, f"file://{d}/r", schema, {"mae": 9.0}).first().mae == 1.5
+
+
+def test_nowcast_late_row_and_gaps(spark):
+    """Features of a micro-batch equal those over the whole series, with late rows and half the hours missing."""
+    import random
+
+    from chronoframe.operators import windows as W
+    rng = random.Random(1)
+    hours = sorted(rng.sample(range(600), 300))
+    full = spark.createDataFrame([("a", h, float(h)) for h in hours], "series_id string, h int, us_aqi double").select(
+        "series_id", (F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(hours=F.col("h"))).alias("time"), "us_aqi")
+    late = [hours[-9], hours[-1]]  # a late row and the newest one
+    is_new = F.col("us_aqi").isin([float(h) for h in late])
+    lags = lambda d: W.window_features(d, [W.lag("us_aqi", n, f"l{n}") for n in (1, 9, 72)], keys=["series_id"])
+    got = nowcast.nowcast_batch(full.where(is_new), full.where(~is_new), lags, lambda d: d).first()
+    assert (got.us_aqi, got.l1, got.l9, got.l72) == tuple(float(hours[-1 - n]) for n in (0, 1, 9, 72))
