@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoframe.operators.keyed import join_keyed
-from chronoframe.operators.windows import DEFAULT_CHUNK_ROWS, bucket_width, heavy_keys, with_ordinal
+from chronoframe.operators.windows import DEFAULT_CHUNK_ROWS, RangeBuckets, heavy_keys, with_ordinal
 
 
 def _ts(v: str) -> Column:
@@ -50,14 +50,14 @@ def with_positions(df: DataFrame, keys: Sequence[str] = (), order: Sequence[str]
 
     ``row_number`` per series while every series has at most ``chunk_rows``
     rows (checked on a key-only count); otherwise exact ordinals from
-    bucketed counts, the bucket sized from the series' density, so a hot
-    series never lands in one task.
+    bucketed counts, the buckets cut where the rows of the series are, so a
+    hot or bursty series never lands in one task.
     """
     keys = list(keys)
     if heavy_keys(df, keys, chunk_rows).limit(1).count() == 0:
         o = df.withColumn("pos", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
     else:
-        b = bucket_width(df, keys, order[0], max(1, chunk_rows // 4)) if bucket == "auto" else bucket
+        b = RangeBuckets(max(1, chunk_rows // 4)) if bucket == "auto" else bucket
         o = with_ordinal(df, keys, order, bucket=b, name="pos")
     n = o.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     if keys:

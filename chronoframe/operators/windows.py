@@ -40,6 +40,9 @@ from typing import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronoframe.operators.keyed import join_keyed
+from chronoframe.session import cut_lineage
+
 DEFAULT_CHUNK_ROWS = 1_000_000
 _EPOCH = "timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {c})"
 
@@ -162,6 +165,35 @@ def bucket_width(df: DataFrame, keys: Sequence[str], order_col: str, target_rows
     return max(1, int(w)) if w is not None else 3_600_000_000
 
 
+@dataclass(frozen=True)
+class RangeBuckets:
+    """Buckets of about ``rows`` rows each, cut where the rows of a series are, however unevenly they lie in time."""
+
+    rows: int
+    fan: int = 64
+
+
+def _range_buckets(df: DataFrame, keys: list[str], col: str, cut: RangeBuckets, name: str) -> DataFrame:
+    """Add bucket ``name``, rising with ``col`` inside a series.
+
+    Each level cuts every bucket at approximate quantiles of its own rows, so
+    bursts and gaps make no difference; only equal values stay together.  Edges
+    are written once, as the rows meet them in two places of the plan.
+    """
+    most = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0
+    levels, at = 1, cut.fan
+    while at * cut.rows < most:
+        levels, at = levels + 1, at * cut.fan
+    value = F.col(col) if dict(df.dtypes)[col] in ("bigint", "int", "double") else _epoch_us(col)
+    out = df.withColumn(name, F.lit(0).cast("bigint"))
+    probs = [i / cut.fan for i in range(1, cut.fan)]
+    for _ in range(levels):
+        edges = cut_lineage(out.groupBy(*keys, name).agg(F.percentile_approx(value, probs, cut.fan * 50).alias("_edges")))
+        below = F.coalesce(F.size(F.filter("_edges", lambda e: e < value)), F.lit(0))
+        out = join_keyed(out, edges, [*keys, name]).withColumn(name, F.col(name) * cut.fan + F.greatest(below, F.lit(0))).drop("_edges")
+    return out
+
+
 def with_ordinal(df: DataFrame, keys: Sequence[str], order: Sequence[str],
                  bucket="hour", name: str = "_rn") -> DataFrame:
     """Add the exact 0-based row position of each row inside its series.
@@ -174,7 +206,10 @@ def with_ordinal(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     """
     keys, order = list(keys), list(order)
     tb = "_tb"
-    based = df.withColumn(tb, _bucket(order[0], bucket))
+    if isinstance(bucket, RangeBuckets):
+        based = _range_buckets(df, keys, order[0], bucket, tb)
+    else:
+        based = df.withColumn(tb, _bucket(order[0], bucket))
     counts = based.groupBy(*keys, tb).agg(F.count(F.lit(1)).alias("_cnt"))
     wk = Window.partitionBy(*keys).orderBy(tb).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*[F.col(k).alias(f"_ok_{i}") for i, k in enumerate(keys)],
@@ -208,7 +243,7 @@ def window_features(df: DataFrame, stages, keys: Sequence[str] = ("series_id",),
     """Evaluate window expressions stage by stage; see the module docstring.
 
     ``bucket`` is the ordinal bucket (see :func:`with_ordinal`); ``"auto"``
-    sizes it from the heavy series' density so a bucket holds about
+    cuts heavy series where their rows are, so a bucket holds about
     ``chunk_rows / 4`` rows (``"hour"`` when the halo plan is forced).
     """
     stages = _as_stages(stages)
@@ -220,14 +255,14 @@ def window_features(df: DataFrame, stages, keys: Sequence[str] = ("series_id",),
         if heavy.limit(1).count() == 0:
             return window_features(df, stages, keys, order, "series", chunk_rows, bucket)
         if not keys:
-            hb = bucket_width(df, keys, order[0], max(1, chunk_rows // 4)) if bucket == "auto" else bucket
+            hb = RangeBuckets(max(1, chunk_rows // 4)) if bucket == "auto" else bucket
             return window_features(df, stages, keys, order, "halo", chunk_rows, hb)
         hk = F.broadcast(heavy.select(*[F.col(k).alias(f"_hk_{i}") for i, k in enumerate(keys)]))
         cond = [df[k].eqNullSafe(hk[f"_hk_{i}"]) for i, k in enumerate(keys)]
         light_rows = df.join(hk, on=cond, how="left_anti")
         heavy_rows = df.join(hk, on=cond, how="left_semi")
         light = window_features(light_rows, stages, keys, order, "series", chunk_rows, bucket)
-        hb = bucket_width(heavy_rows, keys, order[0], max(1, chunk_rows // 4)) if bucket == "auto" else bucket
+        hb = RangeBuckets(max(1, chunk_rows // 4)) if bucket == "auto" else bucket
         heavy_out = window_features(heavy_rows, stages, keys, order, "halo", chunk_rows, hb)
         return light.unionByName(heavy_out)
     if strategy == "series":
@@ -304,7 +339,7 @@ def _time_chunks(df: DataFrame, exprs: list[WinExpr], keys: list[str], order: li
 
 def ffill_unbounded(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = ("series_id",),
                     order: Sequence[str] = ("time",), strategy: str = "auto",
-                    chunk_rows: int = DEFAULT_CHUNK_ROWS, bucket="hour") -> DataFrame:
+                    chunk_rows: int = DEFAULT_CHUNK_ROWS, bucket="auto") -> DataFrame:
     """Forward fill without limit.
 
     ``auto`` picks ``series`` unless a series is longer than ``chunk_rows``.
@@ -320,7 +355,7 @@ def ffill_unbounded(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = ("
     if strategy == "series":
         w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in cols})
-    based = with_ordinal(df, keys, order, bucket=bucket)
+    based = with_ordinal(df, keys, order, bucket=RangeBuckets(max(1, chunk_rows // 4)) if bucket == "auto" else bucket)
     based = based.withColumn("_chunk", F.floor(F.col("_rn") / chunk_rows))
     w = Window.partitionBy(*keys, "_chunk").orderBy("_rn").rowsBetween(Window.unboundedPreceding, 0)
     filled = based.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in cols})

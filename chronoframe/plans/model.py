@@ -28,6 +28,7 @@ from chronoframe.operators import ranking as R
 from chronoframe.operators import splits as S
 from chronoframe.operators import windows as W
 from chronoframe.plans.features import EXCLUDE_COLUMNS, TARGET
+from chronoframe.plans.scenario import HISTORY_ROWS
 
 # reference defaults mapped onto MLlib parameters
 DEFAULT_PARAMS = {"maxIter": 500, "maxDepth": 6, "stepSize": 0.05, "subsamplingRate": 0.8,
@@ -226,20 +227,25 @@ def score_latest(model: PipelineModel, feats: DataFrame, feature_list: Sequence[
     """Newest row per series at or before ``now`` -> prediction record (M8).
 
     Fields: current_aqi, forecast_aqi (half-even integer), category,
-    timestamp, forecast_timestamp (+24 h), confidence_lower/upper.  History
-    (last 48 rows) is :func:`chronoframe.operators.ranking.tail_n`.
+    timestamp, forecast_timestamp (+24 h), confidence_lower/upper, and history:
+    the last 48 readings of the series up to it, oldest first.
     """
-    row = R.latest(R.as_of(feats, now), keys)
+    past = R.as_of(feats, now)
+    row = R.latest(past, keys)
+    # 48 rows per series meet here
+    history = R.tail_n(past.select(*keys, "time", target), HISTORY_ROWS, keys).groupBy(*keys).agg(
+        F.sort_array(F.collect_list(F.struct("time", F.col(target).alias(target)))).alias("history"))
     aligned = row.select(*keys, "time", F.col(target).alias("_y"),
                          *[coerce_numeric(F.col(c)).alias(c) if c in row.columns else F.lit(0.0).alias(c)
                            for c in feature_list])
     scored = model.transform(aligned)
     pred = F.bround("prediction", 0).cast("bigint")
     lo, hi = confidence_band(pred, rmse)
-    return scored.select(*keys, F.col("_y").cast("int").alias("current_aqi"), pred.alias("forecast_aqi"),
+    out = scored.select(*keys, F.col("_y").cast("int").alias("current_aqi"), pred.alias("forecast_aqi"),
                          category_continuous(pred).alias("category"), F.col("time").alias("timestamp"),
                          (F.col("time") + F.expr("INTERVAL 24 HOURS")).alias("forecast_timestamp"),
                          lo.alias("confidence_lower"), hi.alias("confidence_upper"))
+    return nulls.attach_group_row(out, history, keys)
 
 
 def direct_horizon_backtest(df: DataFrame, feature_cols: Sequence[str], horizons: Sequence[int] = (6, 12, 24, 48),

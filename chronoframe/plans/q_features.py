@@ -119,7 +119,8 @@ MODEL_PARAMS = {"maxIter": 40, "maxDepth": 4, "stepSize": 0.1}
 
 
 def _feature_table(spark, sf):
-    return FE.engineer_features(hourly(spark, sf), "batch")
+    """Rolling frames that end before the current row: the ``batch`` frames contain the target."""
+    return FE.engineer_features(hourly(spark, sf), "leak_free")
 
 
 def _feature_list(df):
@@ -138,7 +139,7 @@ def q_gbt_test_metrics(spark, sf):
 
 @register("gbt_score_latest")
 def q_gbt_score_latest(spark, sf):
-    """Fit on history up to ``now`` and score the newest row: the 7-field prediction record (M8)."""
+    """Fit on history up to ``now`` and score the newest row: the 8-field prediction record (M8)."""
     feats = _feature_table(spark, sf)
     fl = _feature_list(feats)
     model = M.fit(feats.where(F.col("time") <= F.lit(NOW).cast("timestamp_ntz")), fl, params=MODEL_PARAMS)
@@ -149,5 +150,5 @@ def q_gbt_score_latest(spark, sf):
 def q_gbt_horizon_backtest(spark, sf):
     """Direct multi-horizon backtest, persistence vs model per horizon."""
     feats = _feature_table(spark, sf)
-    fl = [c for c in _feature_list(feats) if c.startswith(("aqi_", "pm25_", "hour_", "dow_"))]
+    fl = _feature_list(feats)
     return _round_all(M.direct_horizon_backtest(feats, fl, params=MODEL_PARAMS))

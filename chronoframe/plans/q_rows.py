@@ -12,7 +12,6 @@ from chronoframe.operators import aggregates as A
 from chronoframe.operators import joins as J
 from chronoframe.operators import ranking as R
 from chronoframe.operators import windows as W
-from chronoframe.operators.quantiles import to_long
 from chronoframe.plans.registry import _round_all, r9, register
 from chronoframe.sources import views as V
 
@@ -302,9 +301,9 @@ def q_topk_importance(spark, sf):
     exprs = [W.lag("value", n, nm) if k == "lag" else
              W.rolling("value", n, k, nm, include_current=False) for nm, k, n in _IMP_FEATURES]
     f = rwin(rows(spark, sf), exprs)
-    long = to_long(f.select("value", *[nm for nm, _, _ in _IMP_FEATURES]).withColumnRenamed("value", "target"),
-                   [nm for nm, _, _ in _IMP_FEATURES], ["target"], name_col="feature")
-    ranked = long.groupBy("feature").agg(F.abs(F.corr("_v", "target")).alias("importance"))
+    names = [nm for nm, _, _ in _IMP_FEATURES]
+    one = f.agg(*[F.abs(F.corr(nm, "value")).alias(nm) for nm in names])  # a single pass, then one row to unpivot
+    ranked = one.unpivot([], names, "feature", "importance")
     top = R.top_k(ranked, 5, "importance", ["feature"])
     from pyspark.sql import Window
     # at most 5 rows reach this window (bounded by k)

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from chronoframe.functions.calendar import day_label
 from chronoframe.functions.categories import category_rounded
 from chronoframe.operators import ranking as R
+from chronoframe.operators.keyed import join_keyed
 
 # ---- fixed values that must match the reference ------------------------------
 ALPHA = 0.6
@@ -45,7 +46,7 @@ def current_and_history(feed: DataFrame, now: str, value_col: str = "us_aqi",
     hist = R.tail_n(past.select(*keys, "time", value_col), HISTORY_ROWS, keys)
     mu = hist.groupBy(*keys).agg(F.avg(value_col).alias("_mu"), F.count(F.lit(1)).alias("_hn"))
     if keys:
-        out = cur.join(mu, on=keys, how="left")
+        out = join_keyed(cur, mu, keys, "left")
     else:
         out = cur.withColumn("_g", F.lit(0)).join(mu.withColumn("_g", F.lit(0)), "_g", "left").drop("_g")
     return out.select(*keys, "current",
@@ -72,34 +73,39 @@ def walk(state: DataFrame, noise: Sequence[float] = NOISE, alpha: float = ALPHA,
 
 
 def daily_max_on_spine(forecast: DataFrame, spine: DataFrame, current: DataFrame,
-                       value_col: str = "us_aqi", time_col: str = "time") -> DataFrame:
+                       value_col: str = "us_aqi", time_col: str = "time", keys: Sequence[str] = ()) -> DataFrame:
     """Daily max of the hourly forecast on the spine dates (A1, J3), left-joined
-    to the spine (J4), forward filled without limit (P13, spine-sized window),
-    then the current value (P14), rounded half-even to an integer (C14)."""
-    days = forecast.select(F.to_date(time_col).alias("date"), F.col(value_col).alias("_v"))
+    to the spine of each series in ``current`` (J4), forward filled without
+    limit (P13, spine-sized window), then the current value (P14), rounded
+    half-even to an integer (C14)."""
+    keys = list(keys)
+    days = forecast.select(*keys, F.to_date(time_col).alias("date"), F.col(value_col).alias("_v"))
     days = days.join(F.broadcast(spine.select("date")), "date", "left_semi")
-    dmax = days.groupBy("date").agg(F.max("_v").alias("_mx"))
-    j = spine.join(dmax, "date", "left")
-    # the spine is a fixed handful of dates, so an unpartitioned window over it is bounded
-    w = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    dmax = days.groupBy(*keys, "date").agg(F.max("_v").alias("_mx"))
+    # every series gets the handful of spine dates as one array: a generator, not a join
+    dates = spine.agg(F.sort_array(F.collect_list(F.struct("day_offset", "date"))).alias("_days"))
+    wide = (current.select(*keys, "current").withColumn("_g", F.lit(0))
+            .join(F.broadcast(dates.withColumn("_g", F.lit(0))), "_g").select(*keys, "current", F.inline("_days")))
+    j = join_keyed(wide, dmax, [*keys, "date"], "left")
+    # the spine is a fixed handful of dates, so a window over the dates of one series is bounded
+    w = Window.partitionBy(*keys).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     j = j.withColumn("_ff", F.last("_mx", ignorenulls=True).over(w))
-    j = j.withColumn("_g", F.lit(0)).join(F.broadcast(current.select("current").withColumn("_g", F.lit(0))), "_g")
     api = F.bround(F.coalesce(F.col("_ff"), F.col("current").cast("double")), 0).cast("bigint")
-    return j.select("date", "day_offset", api.alias("api_aqi"), F.col("_mx").isNull().cast("int").alias("is_filled"))
+    return j.select(*keys, "date", "day_offset", api.alias("api_aqi"), F.col("_mx").isNull().cast("int").alias("is_filled"))
 
 
-def compare(api: DataFrame, model: DataFrame) -> DataFrame:
-    """Join by day offset (J5) and derive categories, delta and label."""
-    j = api.join(model, "day_offset")
-    return j.select("date", "api_aqi", "model_aqi",
+def compare(api: DataFrame, model: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Join by series and day offset (J5) and derive categories, delta and label."""
+    j = join_keyed(api, model, [*keys, "day_offset"])
+    return j.select(*keys, "date", "api_aqi", "model_aqi",
                     category_rounded("api_aqi").alias("api_category"),
                     category_rounded("model_aqi").alias("model_category"),
                     (F.col("model_aqi") - F.col("api_aqi")).alias("delta"),
                     day_label("date").alias("day_label"))
 
 
-def summary(cmp: DataFrame) -> DataFrame:
-    """Average official / model value, max absolute delta, agreement days."""
-    return cmp.agg(F.avg("api_aqi").alias("avg_api"), F.avg("model_aqi").alias("avg_model"),
-                   F.max(F.abs("delta")).alias("max_abs_delta"),
-                   F.count_if(F.col("api_category") == F.col("model_category")).alias("agree_days"))
+def summary(cmp: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Average official / model value, max absolute delta, agreement days, per series."""
+    return cmp.groupBy(*keys).agg(F.avg("api_aqi").alias("avg_api"), F.avg("model_aqi").alias("avg_model"),
+                                  F.max(F.abs("delta")).alias("max_abs_delta"),
+                                  F.count_if(F.col("api_category") == F.col("model_category")).alias("agree_days"))

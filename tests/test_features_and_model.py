@@ -52,8 +52,10 @@ def test_gbt_fit_score_and_latest_record(spark, feats):
     met = M.evaluate(model, feats, fl).first()
     assert met["n"] > 0 and met["rmse"] >= 0
     rec = M.score_latest(model, feats, fl, "2023-01-05 00:00:00").first().asDict()
+    assert len(rec["history"]) == 48 and rec["history"][-1].time == rec["timestamp"]
+    assert [h.time for h in rec["history"]] == sorted(h.time for h in rec["history"])
     assert set(rec) == {"current_aqi", "forecast_aqi", "category", "timestamp", "forecast_timestamp",
-                        "confidence_lower", "confidence_upper"}
+                        "confidence_lower", "confidence_upper", "history"}
     assert 0 <= rec["confidence_lower"] <= rec["forecast_aqi"] <= rec["confidence_upper"]
     imp = M.importance_table(model, fl).collect()
     assert len(imp) == len(fl) and imp[0]["importance"] >= imp[-1]["importance"]

@@ -45,3 +45,23 @@ def test_walk_matches_python_loop(spark, current, mu):
     st = spark.createDataFrame([(current, mu)], "current int, mu double")
     got = [r["model_aqi"] for r in SC.walk(st).orderBy("day_offset").collect()]
     assert got == pytest.approx(_python_walk(current, mu), abs=1e-9)
+
+
+def test_scenario_of_several_series(spark):
+    """Keyed walk, daily maxima, comparison and summary equal those of each series by itself, null key included."""
+    rows = [(k, dt.datetime(2024, 1, 1) + dt.timedelta(hours=i), float(base + 7 * (i % 11)))
+            for k, base in (("a", 40), ("b", 120), (None, 10)) for i in range(24 * 9) if not (k == "b" and 120 < i < 170)]
+    df = spark.createDataFrame(rows, "series_id string, time timestamp_ntz, us_aqi double")
+    now, spine = "2024-01-04 05:30:00", SC.date_spine(spark, "2024-01-04", 7)
+
+    def both(d, keys):
+        state = SC.current_and_history(d, now, keys=keys)
+        cmp = SC.compare(SC.daily_max_on_spine(d, spine, state, keys=keys), SC.walk(state, keys=keys), keys)
+        return cmp, SC.summary(cmp, keys)
+    keyed, total = both(df, ["series_id"])
+    assert keyed.count() == 21 and total.count() == 3
+    for k in ("a", "b", None):
+        cmp, one = both(df.where(F.col("series_id").eqNullSafe(F.lit(k))).drop("series_id"), [])
+        mine = F.col("series_id").eqNullSafe(F.lit(k))
+        assert sorted(map(tuple, keyed.where(mine).drop("series_id").collect())) == sorted(map(tuple, cmp.collect()))
+        assert tuple(total.where(mine).drop("series_id").first()) == tuple(one.first())

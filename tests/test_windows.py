@@ -163,3 +163,16 @@ def test_time_windows_heavy_path_equals_series(spark):
     a = W.window_features(df, exprs, strategy="series", **kw).orderBy("i").toPandas()
     b = W.window_features(df, exprs, strategy="auto", chunk_rows=30, **kw).orderBy("i").toPandas()
     pd.testing.assert_frame_equal(a, b[a.columns])
+
+
+def test_bursty_series_is_split(spark):
+    """1000 rows in 17 minutes and one row a year earlier: buckets follow the rows, not the clock."""
+    rows = [("hot", np.datetime64("2023-01-01T00:00:00"), -1.0)]
+    rows += [("hot", np.datetime64("2024-01-01") + np.timedelta64(i, "s"), float(i)) for i in range(1000)]
+    rows += [(None, np.datetime64("2024-01-01") + np.timedelta64(i, "h"), float(i)) for i in range(40)]
+    df = spark.createDataFrame(pd.DataFrame(rows, columns=["series_id", "time", "v"])).withColumn("time", F.col("time").cast("timestamp_ntz"))
+    cut = W._range_buckets(df, ["series_id"], "time", W.RangeBuckets(25, fan=8), "b")
+    assert cut.groupBy("series_id", "b").count().agg(F.max("count")).first()[0] <= 40
+    got = W.with_ordinal(df, ["series_id"], ["time"], bucket=W.RangeBuckets(25, fan=8)).toPandas()
+    for _, g in got.groupby("series_id", dropna=False):
+        assert g.sort_values("time")["_rn"].tolist() == list(range(len(g)))
