@@ -12,8 +12,8 @@ produced by earlier stages) under one of two physical strategies:
 
 ``auto`` (default)
     One key-only count finds the series longer than ``chunk_rows``.  There
-    are at most ``N / chunk_rows`` of them, so that key set has a proven
-    size bound and is broadcast: light series run the ``series`` plan, heavy
+    are at most ``N / chunk_rows`` of them; the planner broadcasts that key
+    set only if it is small.  Light series run the ``series`` plan, heavy
     ones the ``halo`` plan, and the two results are unioned.  When no series
     is heavy the plan is exactly ``series``.
 
@@ -257,7 +257,7 @@ def window_features(df: DataFrame, stages, keys: Sequence[str] = ("series_id",),
         if not keys:
             hb = RangeBuckets(max(1, chunk_rows // 4)) if bucket == "auto" else bucket
             return window_features(df, stages, keys, order, "halo", chunk_rows, hb)
-        hk = F.broadcast(heavy.select(*[F.col(k).alias(f"_hk_{i}") for i, k in enumerate(keys)]))
+        hk = heavy.select(*[F.col(k).alias(f"_hk_{i}") for i, k in enumerate(keys)])
         cond = [df[k].eqNullSafe(hk[f"_hk_{i}"]) for i, k in enumerate(keys)]
         light_rows = df.join(hk, on=cond, how="left_anti")
         heavy_rows = df.join(hk, on=cond, how="left_semi")
