@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronoframe.llm.common import SPACES, let
+from chronoframe.llm.common import SPACES, let, materialize
 
 RATIO, MIN_PAGES = 0.02, 5
 
@@ -50,7 +50,9 @@ def cut_boilerplate(pages: DataFrame, site: str = "source", text: str = "text",
     an empty table gives no rows.
     """
     packed = pages.select(F.struct("*").alias("_row"), F.col(site).alias("_s"), F.col(text).alias("_t"))
-    joined = packed.join(boilerplate(pages, site, text, ratio, min_pages), F.col("_s").eqNullSafe(F.col("site")), "left")
+    # written first, so that the planner knows its size: small, it is broadcast and no text is shuffled
+    found = materialize(boilerplate(pages, site, text, ratio, min_pages), "boilerplate")
+    joined = packed.join(found, F.col("_s").eqNullSafe(F.col("site")), "left")
     kept = let(F.coalesce(F.col("lines"), F.array().cast("array<long>")), lambda bad: F.filter(
         _lines(F.col("_t")), lambda x: ~F.array_contains(bad, F.xxhash64(_line_key(x))) | (_line_key(x) == "")))
     out = joined.select("_row", F.col("_t").alias("_t"), F.size(_lines(F.col("_t"))).alias("_n"), kept.alias("_k"))
@@ -66,10 +68,15 @@ def line_rows(pages: DataFrame, key: str = "doc_id", site: str = "source", text:
 
 
 def drop_boilerplate(pages: DataFrame, site: str = "source", text: str = "text") -> DataFrame:
-    """The pages with cleaned text and their other columns as they were; pages that had text and lost all of it go."""
-    done = cut_boilerplate(pages, site, text).filter(
-        ~((F.col("n_dropped") > 0) & (F.btrim(F.col("clean"), F.lit(SPACES)) == "")))
-    return done.select(*[F.col("clean").alias(c) if c == text else F.col("_row")[c].alias(c) for c in pages.columns])
+    """The pages with cleaned text and their other columns as they were.
+
+    A page made of nothing but frequent lines is a copy rather than a frame
+    around something; it keeps its text and is left to near-duplicate removal.
+    """
+    done = cut_boilerplate(pages, site, text)
+    blank = (F.col("n_dropped") > 0) & (F.btrim(F.col("clean"), F.lit(SPACES)) == "")
+    cleaned = F.when(blank, F.col("_row")[text]).otherwise(F.col("clean"))
+    return done.select(*[cleaned.alias(c) if c == text else F.col("_row")[c].alias(c) for c in pages.columns])
 
 
 def with_length(docs: DataFrame, text: str = "text", length: str = "n_chars") -> DataFrame:

@@ -410,7 +410,10 @@ def test_lines_by_site(spark):
     assert got[1].text == "story 1 of the day" and got[1].n_dropped == 3
     assert got[100].text == "Menu\nother 0" and got[202].text == "Menu"  # too few pages of their site
     assert got[200].text is None and got[200].n_lines == 0 and got[201].text == "" and got[201].n_lines == 1
-    assert lines.drop_boilerplate(df).columns == df.columns
+    cut = lines.drop_boilerplate(df)
+    assert cut.columns == df.columns and cut.count() == len(rows)
+    copies = odd_docs(spark, [(i, "same\ntext", "a") for i in range(9)] + [(9, "other", "a")])
+    assert {r.text for r in lines.drop_boilerplate(copies).collect()} == {"same\ntext", "other"}
     assert lines.line_rows(odd_docs(spark, [])).count() == 0
 
 
