@@ -12,7 +12,7 @@
 * Only buckets that still hold several components are looked at again.  A
   shingle that no other such class has cannot be shared, which bounds the
   overlap of a class from above; members that cannot reach the threshold with
-  anyone leave, and what remains is paired across components and verified.
+  anyone leave, and what remains is compared block by block on the full sets.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ from chronoframe.llm.tokens import mix
 #: 24 bands of 4 places: a pair at similarity 0.8 shares no band with probability 3e-6.
 PLACES, BANDS = 96, 24
 SLICE_BYTES = 1 << 20
+#: Members of a block; two blocks meet in one task.
+BLOCK = 1024
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -216,10 +218,13 @@ def _bound_fits(c: Column, n: Column, m: Column, percent: int) -> Column:
     return c * (100 + percent) >= (n + m) * percent
 
 
-def _cross_pairs(held: DataFrame, sets: DataFrame, done: DataFrame, percent: int) -> DataFrame:
-    """Pairs of classes that share a bucket, lie in different components and may reach the threshold.
+def _cross_links(held: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between classes that share a bucket and lie in different components.
 
     ``held``: band, key, cid, n, comp of the buckets with several components.
+    Members that cannot reach the threshold with anyone leave first.  The
+    others of a bucket are dealt to blocks, a task compares two blocks by the
+    full sets, and only links leave it.
     """
     ids = held.select("cid").distinct()
 
@@ -238,14 +243,47 @@ def _cross_pairs(held: DataFrame, sets: DataFrame, done: DataFrame, percent: int
     floor = rated.groupBy("band", "key").agg(F.min("n").alias("low"))
     rated = materialize(rated.join(floor, ["band", "key"]).filter(_bound_fits(
         F.col("c"), F.col("n"), F.greatest("low", F.col("n") * percent / 100), percent)).drop("low"), "rated")
-    mixed = rated.groupBy("band", "key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("band", "key")
-    left = rated.join(mixed, ["band", "key"]).alias("p")
-    right = rated.alias("q")
-    x, y = (lambda c: F.col(f"p.{c}")), (lambda c: F.col(f"q.{c}"))
-    found = left.join(right, (x("band") == y("band")) & (x("key") == y("key")) & (x("cid") < y("cid"))
-                      & (x("comp") != y("comp")) & _sizes_fit(x("n"), y("n"), percent)
-                      & _bound_fits(F.least(x("c"), y("c")), x("n"), y("n"), percent))
-    return found.select(x("cid").alias("a"), y("cid").alias("b")).distinct().join(done, ["a", "b"], "left_anti")
+    mixed = rated.groupBy("band", "key").agg(
+        F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).filter("lo != hi")
+    own = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
+    dealt = (rated.join(mixed.select("band", "key", "blocks"), ["band", "key"]).withColumn("own", own)
+             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+             .select("band", "key", "cid", "comp", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y")))
+    full = dealt.join(sets, "cid").select("band", "key", "x", "y", "own", "cid", "comp", "elements")
+
+    def compare(group: pa.Table) -> pa.Table:
+        cid, comp, own = (group.column(c).to_numpy() for c in ("cid", "comp", "own"))
+        both = group.column("x")[0].as_py() == group.column("y")[0].as_py()
+        a, b = linked_pairs([np.frombuffer(e, dtype=np.uint64) for e in group.column("elements").to_pylist()], percent)
+        keep = (comp[a] != comp[b]) & (both | (own[a] != own[b]))  # within one block only its own group compares
+        a, b = cid[a[keep]], cid[b[keep]]
+        return pa.table([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], names=["a", "b"])
+
+    return full.groupBy("band", "key", "x", "y").applyInArrow(compare, "a long, b long").distinct()
+
+
+def linked_pairs(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the pairs of sets whose Jaccard similarity reaches the threshold.
+
+    Overlaps are counted by matrix products over slices of the shared elements,
+    so memory is bounded by the number of sets.
+    """
+    n = len(sets)
+    size = np.array([len(s) for s in sets])
+    found, place, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.cumsum(times > 1) - 1
+    shared = (times > 1)[place]
+    who, column = np.repeat(np.arange(n), size)[shared], rank[place[shared]]
+    order = np.argsort(column, kind="stable")
+    who, column = who[order], column[order]
+    overlap = np.zeros((n, n), dtype=np.float32)
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, 2048):
+        i, j = np.searchsorted(column, [at, at + 2048])
+        part = np.zeros((n, 2048), dtype=np.float32)
+        part[who[i:j], column[i:j] - at] = 1
+        overlap += part @ part.T
+    union = size[:, None] + size[None, :] - overlap
+    return np.nonzero(np.triu(100 * overlap >= percent * union, k=1))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -284,7 +322,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
     placed = materialize(placed, "placed")
     mixed = placed.groupBy("band", "key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("band", "key")
     held = materialize(placed.join(mixed, ["band", "key"]), "held")
-    more = _verified(materialize(_cross_pairs(held, sets, stars, percent), "pairs"), sets, percent)
+    more = materialize(_cross_links(held, sets, percent), "more")
     comp = components(links.unionByName(more)).withColumnRenamed("node", "cid")
     rooted = classes.select("cid", "rep").join(comp, "cid", "left").select("cid", "rep", F.coalesce("root", "cid").alias("root"))
     least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
