@@ -30,7 +30,7 @@ from chronoframe.llm.tokens import mix
 
 #: 24 bands of 4 places: a pair at similarity 0.8 shares no band with probability 3e-6.
 PLACES, BANDS = 96, 24
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 #: Members of a block; two blocks meet in one task.
 BLOCK = 1024
 
@@ -116,7 +116,7 @@ def super_minhash(sets: list[np.ndarray], places: int) -> np.ndarray:
             live = more[owner]
             if perm is None:
                 element, owner, pick = element[live], owner[live], pick[live]
-                perm = np.tile(np.arange(places, dtype=np.int16), (len(element), 1))
+                perm = np.tile(np.arange(places, dtype=np.uint8 if places <= 256 else np.int32), (len(element), 1))
                 perm[np.arange(len(element)), pick] = 0
                 perm[:, 0] = pick
             elif not live.all():
@@ -143,8 +143,8 @@ def digest(elements: np.ndarray) -> tuple[int, int]:
 
 
 def _slices(batch: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Parts of a batch of about SLICE_BYTES of text."""
-    texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(column).to_pylist()]
+    """Parts of a batch of about SLICE_BYTES of text; the texts are views of the batch."""
+    texts = [t.as_buffer() or b"" for t in batch.column(column)]
     at = size = 0
     for i, t in enumerate(texts):
         if size and size + len(t) > SLICE_BYTES:
@@ -198,8 +198,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                p, q = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                p, q = np.frombuffer(x.as_buffer(), dtype=np.uint64), np.frombuffer(y.as_buffer(), dtype=np.uint64)
                 both = len(p) + len(q) - len(np.union1d(p, q))
                 keep.append(100 * both >= percent * (len(p) + len(q) - both))
             yield batch.filter(pa.array(keep, pa.bool_())).select([0, 1])
@@ -254,7 +254,7 @@ def _cross_links(held: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def compare(group: pa.Table) -> pa.Table:
         cid, comp, own = (group.column(c).to_numpy() for c in ("cid", "comp", "own"))
         both = group.column("x")[0].as_py() == group.column("y")[0].as_py()
-        a, b = linked_pairs([np.frombuffer(e, dtype=np.uint64) for e in group.column("elements").to_pylist()], percent)
+        a, b = linked_pairs([np.frombuffer(e.as_buffer(), dtype=np.uint64) for e in group.column("elements")], percent)
         keep = (comp[a] != comp[b]) & (both | (own[a] != own[b]))  # within one block only its own group compares
         a, b = cid[a[keep]], cid[b[keep]]
         return pa.table([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], names=["a", "b"])
