@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +21,8 @@ from chronoframe.llm.common import tokenizer_path
 
 VOCABULARY, END_ID = "word_bpe_49k.json", 2
 CACHE_WORDS = 800_000
+#: Counters with which a task numbers the repeats of a row.
+REPEAT_SLOTS = 1 << 20
 
 PIECE_SCHEMA = "bucket long, doc_id long, start long, length long, doc_tokens long, ids binary"
 
@@ -97,32 +100,41 @@ def token_pieces(docs: DataFrame, size: int, buckets: int, key: str = "doc_id",
 
     A null text counts as empty and still yields its end id; a null key is
     carried as null.  ``bucket`` spreads pieces, not documents, so one very
-    long document is packed by many tasks.
+    long document is packed by many tasks.  It follows the row (key, text, task
+    and the number of the repeat in the task), so rows that share a key, have
+    none or are repeated spread like all others.
     """
     path = tokenizer_path(vocabulary)
     end = np.array([end_id], dtype="<u2").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = word_tokenizer(path)
+        task, repeats = np.uint64(TaskContext.get().partitionId() << 32), [0] * REPEAT_SLOTS
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 keys = part.column(0).to_pylist()
                 rows: list[tuple] = []
-                for k, ids in zip(keys, tok.encode(part.column(1).to_pylist()), strict=True):
+                nth, pieces = [], []
+                for k, h, ids in zip(keys, part.column(2).to_pylist(), tok.encode(part.column(1).to_pylist()), strict=True):
                     ids += end
                     n = len(ids) // 2
                     rows.extend((k, s, min(size, n - s), n, ids[2 * s:2 * (s + size)]) for s in range(0, n, size))
+                    nth.append(repeats[h % REPEAT_SLOTS])
+                    pieces.append(-(-n // size))
+                    repeats[h % REPEAT_SLOTS] += 1
                 k, start, length, n, ids = zip(*rows, strict=True)
                 with np.errstate(over="ignore"):
-                    seed = mix(np.array([x or 0 for x in k], dtype=np.int64).view(np.uint64)) + np.array(start, dtype=np.uint64)
+                    row = mix(part.column(2).to_numpy().view(np.uint64) + mix(task + np.array(nth, dtype=np.uint64)))
+                    seed = np.repeat(row, pieces) + np.array(start, dtype=np.uint64)
                     bucket = (mix(seed) % np.uint64(buckets)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(bucket), pa.array(k, pa.int64()), pa.array(start, pa.int64()), pa.array(length, pa.int64()),
                      pa.array(n, pa.int64()), pa.array(ids, pa.binary())],
                     names=["bucket", "doc_id", "start", "length", "doc_tokens", "ids"])
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, PIECE_SCHEMA)
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"),
+                       F.xxhash64(F.col(key), F.col(text)).alias("row")).mapInArrow(run, PIECE_SCHEMA)
 
 
 def bucket_count(docs: DataFrame, tokens_each: int, text: str = "text", bytes_per_token: float = 2.5) -> int:

@@ -173,6 +173,18 @@ def test_windows_hold_every_id_once(spark, capacity, each):
     assert windows.pack_windows(odd_docs(spark, [])).count() == 0
 
 
+def test_pieces_of_one_key_spread_over_buckets(spark):
+    for third in ([(7, f"text {i} of a key") for i in range(2000)], [(None, f"text {i} without key") for i in range(2000)],
+                  [(7, "the same row")] * 2000, [(None, "the same row")] * 2000):
+        rows = third + [(100 + i, f"text {i} of its own") for i in range(4000)]
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+        pieces = tokens.token_pieces(df, 64, 40)
+        sizes = [r["count"] for r in pieces.groupBy("bucket").count().collect()]
+        assert sum(sizes) == 6000 and len(sizes) == 40 and max(sizes) < 2 * 150
+    packed = windows.window_digest(windows.pack_windows(df, 64, 4)).collect()
+    assert Counter((r.doc_id, r.start) for r in packed) == Counter((k, 0) for k, _ in rows)
+
+
 def test_best_fit_uses_the_tightest_row():
     rng = random.Random(9)
     for _ in range(80):
