@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,6 +69,8 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
     """Sorted distinct 64-bit shingle hashes of every text; fewer words than ``width`` make one shingle."""
+    if not texts:
+        return []
     words, counts = word_hashes(texts)
     out, at = [], 0
     with np.errstate(over="ignore"):
@@ -157,40 +160,52 @@ def _slices(batch: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBatch
 
 def sketch(docs: DataFrame, width: int, key: str = "doc_id", text: str = "text",
            places: int = PLACES, bands: int = BANDS) -> DataFrame:
-    """``doc_id``, ``n`` (set size), ``d1``, ``d2`` (digest) and ``bands`` of every row."""
+    """``doc_id``, ``h`` (hash of the text), ``n`` (set size), ``d1``, ``d2`` (digest) and ``bands`` of every row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in _slices(batch, 1):
+            for part, texts in _slices(batch, 2):
                 sets = shingle_sets(texts, width)
                 keys = band_keys(super_minhash(sets, places), bands)
                 d = [digest(s) for s in sets]
                 flat = pa.array(keys.reshape(-1))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([x for x, _ in d], pa.int64()),
+                    [part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([x for x, _ in d], pa.int64()),
                      pa.array([y for _, y in d], pa.int64()),
                      pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * bands, pa.int32()), flat)],
-                    names=["doc_id", "n", "d1", "d2", "bands"])
+                    names=["doc_id", "h", "n", "d1", "d2", "bands"])
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(
-        run, "doc_id long, n long, d1 long, d2 long, bands array<long>")
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), F.col(text).alias("text")).mapInArrow(
+        run, "doc_id long, h long, n long, d1 long, d2 long, bands array<long>")
+
+
+def _wanted_texts(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
+    """``cid``, ``d1``, ``d2`` and the text of each class in ``wanted``; only repeats of the representative row give more rows."""
+    rows = docs.select(F.col(key).cast("long").alias("k"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
+    return rows.join(wanted, (rows["h"] == wanted["h"]) & (rows["k"] == wanted["rep"])).select("cid", "d1", "d2", "text")
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, width: int, key: str, text: str) -> DataFrame:
-    """``cid`` and its shingles as binary, for the classes in ``wanted`` (cid, rep)."""
+    """``cid`` and its shingles as binary, one row for each class in ``wanted`` (cid, rep, h, d1, d2)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, done = TaskContext.get().partitionId(), set()
         for batch in batches:
             for part, texts in _slices(batch, 3):
-                sets = shingle_sets(texts, width)
-                d1, d2 = part.column(1).to_pylist(), part.column(2).to_pylist()
-                cid = part.column(0).to_pylist()
-                # other texts may carry the representative's id
-                mine = [i for i, s in enumerate(sets) if digest(s) == (d1[i], d2[i])]
+                cid, d1, d2 = (part.column(i).to_pylist() for i in range(3))
+                fresh = [i for i, c in enumerate(cid) if c not in done]
+                mine = {}
+                for i, s in zip(fresh, shingle_sets([texts[i] for i in fresh], width), strict=True):
+                    if digest(s) == (d1[i], d2[i]):  # another text may have the representative's hash
+                        mine.setdefault(cid[i], s.tobytes())
+                done.update(mine)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([cid[i] for i in mine], pa.int64()), pa.array([sets[i].tobytes() for i in mine], pa.binary())],
-                    names=["cid", "elements"])
+                    [pa.array(list(mine), pa.int64()), pa.array([task] * len(mine), pa.int32()), pa.array(list(mine.values()), pa.binary())],
+                    names=["cid", "task", "elements"])
 
-    rows = docs.select(F.col(key).cast("long").alias("rep"), F.col(text).alias("text")).join(wanted, "rep")
-    return rows.select("cid", "d1", "d2", "text").mapInArrow(run, "cid long, elements binary")
+    sets = materialize(_wanted_texts(docs, wanted, key, text).mapInArrow(run, "cid long, task int, elements binary"), "sets")
+    # the representative row may be repeated in several tasks: the first one's set stays
+    seen = sets.groupBy("cid").agg(F.min("task").alias("least"), F.count(F.lit(1)).alias("times")).filter("times > 1")
+    again = materialize(sets.select("cid", "task").join(seen, "cid").filter("task != least").select("cid", "task"), "again")
+    return sets.join(again, ["cid", "task"], "left_anti").select("cid", "elements")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -300,8 +315,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
     rows = materialize(sketch(docs, width, key, text).withColumn("cid", cid), "sketch")
     # one row per class; all of its rows have the same bands
     classes = materialize(rows.filter("n > 0").groupBy("cid").agg(
-        F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("d1").alias("d1"), F.first("d2").alias("d2"),
-        F.first("bands").alias("bands")), "classes")
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("rep"), F.first("n").alias("n"), F.first("d1").alias("d1"), F.first("d2").alias("d2"),
+        F.first("bands").alias("bands")).select(
+            "cid", F.col("rep.doc_id").alias("rep"), F.col("rep.h").alias("h"), "n", "d1", "d2", "bands"), "classes")
     entries = classes.filter("rep is not null").select("cid", "n", F.posexplode("bands").alias("band", "key"))
     shared = entries.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     members = materialize(entries.join(shared, ["band", "key"]), "members")
@@ -313,8 +329,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
     stars = (members.join(hubs, ["band", "key"]).filter((F.col("cid") != F.col("hub")) & _sizes_fit(F.col("n"), F.col("m"), percent))
              .select(F.least("cid", "hub").alias("a"), F.greatest("cid", "hub").alias("b")).distinct())
     stars = materialize(stars, "stars")
-    wanted = members.select("cid").distinct().join(classes.select("cid", "rep", "d1", "d2"), "cid")
-    sets = materialize(_full_sets(docs, wanted, width, key, text), "sets")
+    wanted = members.select("cid").distinct().join(classes.select("cid", "rep", "h", "d1", "d2"), "cid")
+    sets = _full_sets(docs, wanted, width, key, text)
     links = materialize(_verified(stars, sets, percent), "links")
     comp = components(links)
     placed = members.join(comp.withColumnRenamed("node", "cid"), "cid", "left").select(

@@ -290,6 +290,22 @@ def test_near_duplicates_match_brute_force(spark, texts):
         assert all(r.kept == (r.doc_id == r.component_id) for r in got if r.doc_id is not None)
 
 
+def test_hot_key_is_read_once_for_each_class(spark):
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(60)]
+    rows = [(7, " ".join([*base, f"z{i}", f"y{rng.random()}"])) for i in range(300)]
+    rows += [(7, rows[0][1])] * 200 + [(100 + i, f"one {i} two {i} three {i} four {i}") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    wanted = near_dup.sketch(df, 4).filter("doc_id = 7").withColumn("cid", F.xxhash64("d1", "d2", "n")).select(
+        "cid", F.col("doc_id").alias("rep"), "h", "d1", "d2").distinct()
+    texts = near_dup._wanted_texts(df, wanted, "doc_id", "text")
+    assert wanted.count() == 300 and texts.count() == 500
+    sets = near_dup._full_sets(df, wanted, 4, "doc_id", "text")
+    assert sets.count() == 300 == sets.select("cid").distinct().count()
+    got = near_dup.near_duplicates(df, width=4).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_groups(rows, 4)
+
+
 def test_drop_near_duplicates_keeps_one(spark):
     kept = near_dup.drop_near_duplicates(odd_docs(spark))
     assert kept.columns == odd_docs(spark).columns
