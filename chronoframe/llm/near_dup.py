@@ -181,7 +181,7 @@ def sketch(docs: DataFrame, width: int, key: str = "doc_id", text: str = "text",
 def _wanted_texts(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
     """``cid``, ``d1``, ``d2`` and the text of each class in ``wanted``; only repeats of the representative row give more rows."""
     rows = docs.select(F.col(key).cast("long").alias("k"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
-    return rows.join(wanted, (rows["h"] == wanted["h"]) & (rows["k"] == wanted["rep"])).select("cid", "d1", "d2", "text")
+    return rows.join(wanted, (rows["h"] == wanted["h"]) & rows["k"].eqNullSafe(wanted["rep"])).select("cid", "d1", "d2", "text")
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, width: int, key: str, text: str) -> DataFrame:
@@ -305,12 +305,18 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
     """One row per document: ``doc_id``, ``n_shingles``, ``component_id``, ``kept``.
 
     ``component_id`` is the least key reachable over links of at least
-    ``percent`` / 100 Jaccard similarity; ``kept`` marks the row that has it.
+    ``percent`` / 100 Jaccard similarity; ``kept`` marks one text that has it
+    as its key, also if the key stands on several texts of the component.
     Null and blank texts have no shingles and are linked with nothing; repeated
-    rows fall into one class, and each of them carries the same verdict; a null
-    key never names a component while another key does; an empty table gives
-    no rows.
+    rows of one key and text carry the same verdict; rows with a null key are
+    linked like all others, but a null key never names a component while
+    another key does; an empty table gives no rows.
     """
+    return _judged(docs, width, percent, key, text).drop("h")
+
+
+def _judged(docs: DataFrame, width: int, percent: int, key: str, text: str) -> DataFrame:
+    """The rows of :func:`near_duplicates` with ``h``, the hash of their text."""
     cid = F.xxhash64("d1", "d2", "n").alias("cid")
     rows = materialize(sketch(docs, width, key, text).withColumn("cid", cid), "sketch")
     # one row per class; all of its rows have the same bands
@@ -318,7 +324,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("rep"), F.first("n").alias("n"), F.first("d1").alias("d1"), F.first("d2").alias("d2"),
         F.first("bands").alias("bands")).select(
             "cid", F.col("rep.doc_id").alias("rep"), F.col("rep.h").alias("h"), "n", "d1", "d2", "bands"), "classes")
-    entries = classes.filter("rep is not null").select("cid", "n", F.posexplode("bands").alias("band", "key"))
+    entries = classes.select("cid", "n", F.posexplode("bands").alias("band", "key"))
     shared = entries.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     members = materialize(entries.join(shared, ["band", "key"]), "members")
     # the member of most and largest buckets is the likeliest neighbour of the others
@@ -340,18 +346,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
     held = materialize(placed.join(mixed, ["band", "key"]), "held")
     more = materialize(_cross_links(held, sets, percent), "more")
     comp = components(links.unionByName(more)).withColumnRenamed("node", "cid")
-    rooted = classes.select("cid", "rep").join(comp, "cid", "left").select("cid", "rep", F.coalesce("root", "cid").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = rooted.join(least, "root").select("cid", "component_id")
+    rooted = classes.select("cid", "rep", "h").join(comp, "cid", "left").select("cid", "rep", "h", F.coalesce("root", "cid").alias("root"))
+    least = rooted.groupBy("root").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "h")).alias("first"))
+    named = rooted.join(least, "root").select("cid", F.col("first.rep").alias("component_id"), F.col("first.h").alias("chosen"))
+    own = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("h") == F.col("chosen"))
     return rows.join(named, "cid", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
-        F.when(F.col("n") > 0, F.col("doc_id").eqNullSafe(F.col("component_id"))).otherwise(F.lit(True)).alias("kept"))
+        F.when(F.col("n") > 0, own).otherwise(F.lit(True)).alias("kept"), "h")
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, one for each group; repeated rows of one key and text count as one."""
-    kept = near_duplicates(docs, width, percent, key, text).filter("kept").select(F.col("doc_id").alias("_k")).distinct()
+    kept = _judged(docs, width, percent, key, text).filter("kept").select(F.col("doc_id").alias("_a"), F.col("h").alias("_b")).distinct()
     packed = docs.select(F.struct("*").alias("_row"), F.col(key).cast("long").alias("_k"), F.xxhash64(F.col(text)).alias("_h"))
-    once = packed.join(kept, packed["_k"].eqNullSafe(kept["_k"]), "left_semi").withColumn(
+    once = packed.join(kept, packed["_k"].eqNullSafe(kept["_a"]) & (packed["_h"] == kept["_b"]), "left_semi").withColumn(
         "_i", F.row_number().over(Window.partitionBy("_k", "_h").orderBy(F.lit(0))))
     return once.filter("_i = 1").select("_row.*")

@@ -306,6 +306,37 @@ def test_hot_key_is_read_once_for_each_class(spark):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_groups(rows, 4)
 
 
+def test_null_and_repeated_keys_take_part(spark):
+    rng = random.Random(8)
+
+    def near(words, spots):
+        return [f"z{rng.random()}" if i in spots else w for i, w in enumerate(words)]
+    a, b, c, d = ([f"w{rng.random()}" for _ in range(200)] for _ in range(4))
+    middle = near(a, {50})
+    rows = [(1, a), (None, middle), (2, near(middle, {110, 150, 190})), (None, a), (3, near(a, {10, 80, 170}))]
+    rows += [(None, b), (None, near(b, {100})), (None, b)]  # no key at all
+    rows += [(5, c), (5, near(c, {100})), (6, c), (None, c)]  # the kept key stands on a near copy, too
+    rows += [(5, d), (8, near(d, {0, 199})), (4, d), (9, near(d, {100}))]  # and here on a text that goes
+    rows = [(k, " ".join(w)) for k, w in rows]
+    rows += [(None, rows[5][1].upper()), (5, rows[8][1].upper()), (None, None), (None, ""), (11, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = near_dup.near_duplicates(df, width=4).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_groups(rows, 4)
+    sets = [shingle_set(t, 4) for _, t in rows]
+    groups = Counter()
+    for r in near_dup.drop_near_duplicates(df, width=4).collect():
+        mine = shingle_set(r.text, 4)
+        if mine:
+            groups[min(i for i, s in enumerate(sets) if 100 * len(s & mine) >= 40 * len(s | mine))] += 1
+    assert groups == {0: 1, 5: 1, 8: 1, 12: 1}
+    # a row without key between two others links them, and is itself one row of their group
+    keep = [f"v{i}" for i in range(100)]
+    left, right = keep + [f"l{i}" for i in range(16)], [f"r{i}" for i in range(16)] + keep
+    chain = [(1, " ".join(left)), (None, " ".join(keep)), (2, " ".join(right))]
+    got = near_dup.near_duplicates(spark.createDataFrame(chain, "doc_id long, text string"), width=4).collect()
+    assert {(r.doc_id, r.component_id, r.kept) for r in got} == {(1, 1, True), (None, 1, False), (2, 1, False)}
+
+
 def test_drop_near_duplicates_keeps_one(spark):
     kept = near_dup.drop_near_duplicates(odd_docs(spark))
     assert kept.columns == odd_docs(spark).columns
