@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronoframe.llm import ann, fst_count, lines, mixing, near_dup, quality, token_output, toxicity, urls, windows
+from chronoframe.llm import (ann, block_names, fst_count, lines, mixing, near_dup, quality, token_output, toxicity, trie, urls, whitening,
+                             windows)
 from chronoframe.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,3 +72,18 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op5_nearest_neighbours")
 def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
+@register("op11_block_naming", block_names.ORACLE)
+def op11_block_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return block_names.exact_copies(table(spark, sf_dir, "documents")).drop("identity")
+
+
+@register("op12_conversation_trie")
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+@register("op13_whitening")
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
