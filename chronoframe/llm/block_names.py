@@ -140,7 +140,8 @@ def exact_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
     """
     rows = materialize(block_identities(docs, key, text, size, handle), "identities")
     best = F.min(F.struct(-F.col("chars"), F.col("doc_id").isNull(), F.col("doc_id"), F.col("rid").alias("rid")))
-    groups = rows.groupBy("identity").agg(F.count(F.lit(1)).alias("group_size"), best.alias("best"))
+    # written first: the join then starts from plain shuffles, whose hot partitions can be split
+    groups = materialize(rows.groupBy("identity").agg(F.count(F.lit(1)).alias("group_size"), best.alias("best")), "groups")
     return rows.join(groups, "identity").select(
         "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("rid") == F.col("best.rid")).alias("kept"),
         F.col("sha").alias("text_sha256"), "identity")

@@ -32,4 +32,4 @@ def test_pipeline_stages(spark):
 def test_registered():
     import __spark_entry__ as e
     names = e.queries()
-    assert "pipeline" in names and sum(n.startswith("op") and n[2].isdigit() for n in names) == 10
+    assert "pipeline" in names and sum(n.startswith("op") and n[2].isdigit() for n in names) == 13
