@@ -88,6 +88,8 @@ def pack_matrix(docs: DataFrame, capacity: int = CAPACITY, rows_each: int = ROWS
     A null or empty text gives one piece with the end id; repeated rows give a
     piece each; an empty table gives no rows.
     """
+    if not 0 < capacity <= 1 << 16:
+        raise ValueError("positions have 16 bits: the capacity must be 1 to 65536")
     pieces = token_pieces(docs, capacity, bucket_count(docs, capacity * rows_each, text), key, text, vocabulary, end_id)
 
     def pack(group: pa.Table) -> pa.Table:

@@ -26,38 +26,41 @@ WINDOW_SCHEMA = ("sequence_id long, n_tokens long, segments array<struct<doc_id:
 
 
 def differencing(loads: np.ndarray, parts: int) -> list[list[int]]:
-    """Indices of ``loads`` in each of ``parts`` near-equal parts."""
+    """Indices of ``loads`` in each of ``parts`` near-equal parts.
+
+    A partial partition holds its non-empty parts alone, heaviest first, so all
+    of them together never hold more numbers than there are loads.
+    """
     n = len(loads)
     if n == 0:
         return [[] for _ in range(parts)]
     left, right = list(range(n)), [-1] * n  # bags: leaves first, then pairs of bags
-    first = np.full(parts, -1, dtype=np.int64)
-    heap = []
-    for i in np.argsort(-loads, kind="stable"):
-        bags = first.copy()
-        bags[0] = i
-        sums = np.zeros(parts, dtype=np.int64)
-        sums[0] = loads[i]
-        heap.append((-int(loads[i]), len(heap), sums, bags))
+    heap = [(-int(loads[i]) if parts > 1 else 0, at, [int(loads[i])], [int(i)]) for at, i in enumerate(np.argsort(-loads, kind="stable"))]
     heapq.heapify(heap)
     serial = n
     while len(heap) > 1:
         _, _, a, abags = heapq.heappop(heap)
         _, _, b, bbags = heapq.heappop(heap)
-        sums, other = a + b[::-1], bbags[::-1]  # kept in falling order: heaviest meets lightest
-        bags = np.maximum(abags, other)
-        both = np.flatnonzero((abags >= 0) & (other >= 0))
-        if len(both):
-            bags[both] = np.arange(len(left), len(left) + len(both))
-            left.extend(abags[both].tolist())
-            right.extend(other[both].tolist())
-        order = np.argsort(-sums, kind="stable")
-        sums = sums[order]
-        heapq.heappush(heap, (-int(sums[0] - sums[-1]), serial, sums, bags[order]))
+        over = len(a) + len(b) - parts  # so many parts of one meet a part of the other
+        if over > 0:
+            # heaviest meets lightest: the last parts of a with the last ones of b, in opposite order
+            sums, bags = a[:len(a) - over], abags[:len(a) - over]
+            for x in range(over):
+                i, j = len(a) - over + x, len(b) - 1 - x
+                bags.append(len(left))
+                left.append(abags[i])
+                right.append(bbags[j])
+                sums.append(a[i] + b[j])
+            sums, bags = sums + b[:len(b) - over][::-1], bags + bbags[:len(b) - over][::-1]
+        else:
+            sums, bags = a + b[::-1], abags + bbags[::-1]
+        order = sorted(range(len(sums)), key=sums.__getitem__, reverse=True)
+        sums, bags = [sums[i] for i in order], [bags[i] for i in order]
+        heapq.heappush(heap, (-(sums[0] - (sums[-1] if len(sums) == parts else 0)), serial, sums, bags))
         serial += 1
-    out = []
-    for bag in heap[0][3].tolist():
-        items, todo = [], [bag] if bag >= 0 else []
+    out: list[list[int]] = []
+    for bag in heap[0][3]:
+        items, todo = [], [bag]
         while todo:
             x = todo.pop()
             if x < n:
@@ -65,7 +68,7 @@ def differencing(loads: np.ndarray, parts: int) -> list[list[int]]:
             else:
                 todo += [left[x], right[x]]
         out.append(sorted(items))
-    return out
+    return out + [[] for _ in range(parts - len(out))]
 
 
 def balance(loads: np.ndarray, capacity: int) -> list[list[int]]:

@@ -1,5 +1,6 @@
 """The training-data operators against brute force on small tables, and on odd rows."""
 
+import functools
 import random
 import re
 import zlib
@@ -105,20 +106,53 @@ def test_quality_separates_junk(spark):
 
 # ---------------------------------------------------------------- tokens and packing
 
-def reference_ids(text):
+@functools.cache
+def reference_tokenizer():
     from tokenizers import Tokenizer
-    return Tokenizer.from_file(tokenizer_path(tokens.VOCABULARY)).encode(text or "", add_special_tokens=False).ids + [2]
+    return Tokenizer.from_file(tokenizer_path(tokens.VOCABULARY))
+
+
+def reference_ids(text):
+    return reference_tokenizer().encode(text or "", add_special_tokens=False).ids + [2]
 
 
 def test_word_tokenizer_equals_library(texts):
     odd = ["A'S it's I'LL Élé é ẛ̣ İstanbul ΣΣ \x1c a\x1cb \x85 x y <|endoftext|>z <|startoftext|> 12.5 ,,. .. a., É., ͅ ́ a ́b ﬁ", "", " \n",
-           "a" * 5000, "你好 \U0001f600.\U0001f468‍\U0001f469", *texts.values()]
+           "a" * 5000, "你好 \U0001f600.\U0001f468‍\U0001f469", "ab,%%% Ab,%%% ÀÉ$$$ ßẞ÷× aª ab's' x''s don't' éa\u0301 a\u0301.. \xa0ab\xa0 <|ENDOFTEXT|>", "\x1f a\x1f.", *texts.values()]
     tok = tokens.WordTokenizer(tokenizer_path(tokens.VOCABULARY), cache_words=500)
     for _ in range(2):
         for one, ids in zip(odd, tok.encode(odd), strict=True):
             assert [*np.frombuffer(ids, "<u2").tolist(), 2] == reference_ids(one)
 
 
+def test_vocabularies_of_other_rules_are_refused():
+    with pytest.raises(ValueError):
+        tokens.WordTokenizer(tokenizer_path("byte_bpe_50k.json"))
+
+
+def dense_differencing(loads, parts):
+    """The same by whole lists of parts: the heaviest part of one on the lightest of the other."""
+    order = sorted(range(len(loads)), key=lambda i: -loads[i])
+    heap = [(-loads[j] if parts > 1 else 0, i, [loads[j]] + [0] * (parts - 1), [[j]] + [[]] * (parts - 1)) for i, j in enumerate(order)]
+    serial = len(loads)
+    while len(heap) > 1:
+        heap.sort()
+        (_, _, a, x), (_, _, b, y) = heap.pop(0), heap.pop(0)
+        both = sorted(((m + n, p + q) for m, n, p, q in zip(a, b[::-1], x, y[::-1])), key=lambda z: -z[0])
+        heap.append((both[-1][0] - both[0][0], serial, [s for s, _ in both], [p for _, p in both]))
+        serial += 1
+    return [sorted(p) for p in heap[0][3]]
+
+
+def test_differencing_matches_plain_lists():
+    rng = random.Random(6)
+    for _ in range(150):
+        loads = [rng.randint(1, 50) for _ in range(rng.randint(1, 40))]
+        parts = rng.randint(1, 9)
+        assert windows.differencing(np.array(loads), parts) == dense_differencing(loads, parts)
+    assert windows.differencing(np.array([], dtype=np.int64), 3) == [[], [], []]
+
+
 def test_differencing_is_balanced_and_complete():
     rng = random.Random(5)
     for _ in range(60):
@@ -185,6 +219,21 @@ def test_pieces_of_one_key_spread_over_buckets(spark):
     assert Counter((r.doc_id, r.start) for r in packed) == Counter((k, 0) for k, _ in rows)
 
 
+def test_null_and_short_texts_fill_buckets_like_others(spark):
+    df = spark.createDataFrame([(i, None) for i in range(3000)], "doc_id long, text string")
+    empty = df.fillna("", ["text"])
+    assert tokens.bucket_count(df, 10) == tokens.bucket_count(empty, 10) == 300
+    assert tokens.bucket_count(df, 1 << 30, pieces_each=100) == 30 and tokens.bucket_count(df.limit(0), 10) == 1
+    packed = windows.window_digest(windows.pack_windows(df, 16, 4)).collect()
+    assert sorted(r.doc_id for r in packed) == list(range(3000)) and {r.length for r in packed} == {1}
+    assert len({r.sequence_id for r in packed}) <= 1.2 * 3000 / 16
+
+
+def test_positions_need_a_small_capacity(spark):
+    with pytest.raises(ValueError):
+        token_output.pack_matrix(odd_docs(spark), capacity=70_000)
+
+
 def test_best_fit_uses_the_tightest_row():
     rng = random.Random(9)
     for _ in range(80):
