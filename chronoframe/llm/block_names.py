@@ -148,13 +148,13 @@ def exact_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
 
 
 def drop_exact_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; of rows equal in key and text the first by their JSON form."""
+    """The rows of ``docs`` that stay, with all their columns; of rows equal in key and text the one of least row hash."""
     flat = F.sha2(F.translate(F.coalesce(F.col(text).cast("string"), F.lit("")), SPACES, ""), 256)
     marked = docs.select(F.struct(*docs.columns).alias("row"), F.col(key).cast("long").alias("doc_id"), flat.alias("text_sha256"),
                          F.coalesce(F.char_length(F.col(text).cast("string")), F.lit(0)).alias("chars"))
     stay = exact_copies(docs, key, text).filter("kept").select("doc_id", "text_sha256")
-    # one key may hold several rows of a group: the longest text, then the first in JSON order
-    first = Window.partitionBy("text_sha256").orderBy(F.desc("chars"), F.to_json("row"))
+    # one key may hold several rows of a group: the longest text, then the least row hash
+    first = Window.partitionBy("text_sha256").orderBy(F.desc("chars"), F.xxhash64("row"))
     return (join_keyed(marked, stay, ["doc_id", "text_sha256"], "left_semi")
             .withColumn("nth", F.row_number().over(first)).filter("nth = 1").select("row.*"))
 

@@ -305,18 +305,18 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
     """One row per document: ``doc_id``, ``n_shingles``, ``component_id``, ``kept``.
 
     ``component_id`` is the least key reachable over links of at least
-    ``percent`` / 100 Jaccard similarity; ``kept`` marks one text that has it
-    as its key, also if the key stands on several texts of the component.
+    ``percent`` / 100 Jaccard similarity; ``kept`` marks the rows whose key it
+    is (:func:`drop_near_duplicates` chooses one row of these).
     Null and blank texts have no shingles and are linked with nothing; repeated
     rows of one key and text carry the same verdict; rows with a null key are
     linked like all others, but a null key never names a component while
     another key does; an empty table gives no rows.
     """
-    return _judged(docs, width, percent, key, text).drop("h")
+    return _judged(docs, width, percent, key, text).drop("h", "chosen")
 
 
 def _judged(docs: DataFrame, width: int, percent: int, key: str, text: str) -> DataFrame:
-    """The rows of :func:`near_duplicates` with ``h``, the hash of their text."""
+    """The rows of :func:`near_duplicates` with ``h``, the hash of their text, and ``chosen``, whether it is the text that stays."""
     cid = F.xxhash64("d1", "d2", "n").alias("cid")
     rows = materialize(sketch(docs, width, key, text).withColumn("cid", cid), "sketch")
     # one row per class; all of its rows have the same bands
@@ -349,16 +349,16 @@ def _judged(docs: DataFrame, width: int, percent: int, key: str, text: str) -> D
     rooted = classes.select("cid", "rep", "h").join(comp, "cid", "left").select("cid", "rep", "h", F.coalesce("root", "cid").alias("root"))
     least = rooted.groupBy("root").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "h")).alias("first"))
     named = rooted.join(least, "root").select("cid", F.col("first.rep").alias("component_id"), F.col("first.h").alias("chosen"))
-    own = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("h") == F.col("chosen"))
-    return rows.join(named, "cid", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
-        F.when(F.col("n") > 0, own).otherwise(F.lit(True)).alias("kept"), "h")
+    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    return rows.join(named, "cid", "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), "h", "chosen").select(
+        "doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "h",
+        F.coalesce(F.col("h") == F.col("chosen"), F.lit(True)).alias("chosen"))
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, one for each group; repeated rows of one key and text count as one."""
-    kept = _judged(docs, width, percent, key, text).filter("kept").select(F.col("doc_id").alias("_a"), F.col("h").alias("_b")).distinct()
+    """The rows of ``docs`` that stay, one for each group; of rows equal in key and text the one of least row hash."""
+    kept = _judged(docs, width, percent, key, text).filter("kept and chosen").select(F.col("doc_id").alias("_a"), F.col("h").alias("_b")).distinct()
     packed = docs.select(F.struct("*").alias("_row"), F.col(key).cast("long").alias("_k"), F.xxhash64(F.col(text)).alias("_h"))
     once = packed.join(kept, packed["_k"].eqNullSafe(kept["_a"]) & (packed["_h"] == kept["_b"]), "left_semi").withColumn(
-        "_i", F.row_number().over(Window.partitionBy("_k", "_h").orderBy(F.lit(0))))
+        "_i", F.row_number().over(Window.partitionBy("_k", "_h").orderBy(F.xxhash64("_row"))))
     return once.filter("_i = 1").select("_row.*")

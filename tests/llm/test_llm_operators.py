@@ -371,6 +371,7 @@ def test_null_and_repeated_keys_take_part(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = near_dup.near_duplicates(df, width=4).collect()
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_groups(rows, 4)
+    assert all(r.kept == (r.doc_id == r.component_id) for r in got)
     sets = [shingle_set(t, 4) for _, t in rows]
     groups = Counter()
     for r in near_dup.drop_near_duplicates(df, width=4).collect():
