@@ -74,6 +74,20 @@ def positional_split(df: DataFrame, frac: float = 0.8, keys: Sequence[str] = (),
     return p.withColumn(name, F.when(F.col("pos") < cut, "train").otherwise("test")).drop("pos", "n")
 
 
+def fold_columns(n_splits: int = 5, gap: int = 24, pos: str = "pos", n: str = "n") -> tuple[Column, Column]:
+    """First fold that trains on a row, and the fold that tests it (null if none), in closed form.
+
+    A row that enters the training set stays in it for all later folds, so
+    these two numbers say all that :func:`expanding_folds` says in up to
+    ``n_splits`` rows.
+    """
+    k, p, m = n_splits, F.col(pos), F.col(n)
+    ts = F.floor(m / (k + 1))
+    since = F.when(ts > 0, F.greatest(F.lit(0), k + 1 - F.ceil((m - gap - p) / ts)))
+    test = F.when((ts > 0) & (p >= m - k * ts), F.floor((p - (m - k * ts)) / ts))
+    return since.cast("int"), test.cast("int")
+
+
 def expanding_folds(df: DataFrame, n_splits: int = 5, gap: int = 24, keys: Sequence[str] = (),
                     order: Sequence[str] = ("time",), chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
     """Expanding-window folds with a gap (W12), one output row per (row, fold, role).

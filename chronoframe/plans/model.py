@@ -17,7 +17,7 @@ from typing import Sequence
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoframe.functions.categories import MODEL_RMSE, category_continuous, confidence_band
@@ -201,23 +201,9 @@ def permutation_importance(model: PipelineModel, df: DataFrame, feature_cols: Se
                            target: str = TARGET, sample_rows: int = 2000, seed: int = 42,
                            key_col: str = "time") -> DataFrame:
     """Mean-attribution re-aim (M9): RMSE increase when one feature is shuffled
-    inside a seeded sample.  The shuffle is a join of the sample with itself
-    re-ranked by a seeded hash, so it runs as Spark jobs."""
-    base = R.seeded_sample(nulls.complete_cases(df, [*feature_cols, target]), sample_rows, key_col, seed)
-    # the sample is bounded by ``sample_rows``, so ranking it in one window is bounded too
-    base = base.withColumn("_i", F.row_number().over(
-        Window.orderBy(R.sample_key(seed, key_col), key_col))).cache()
-    ref = A.regression_metrics(model.transform(base), target, "prediction").first()["rmse"]
-    out = []
-    for c in feature_cols:
-        perm = base.select("_i", F.col(c).alias("_pv")).withColumn(
-            "_j", F.row_number().over(Window.orderBy(R.sample_key(seed + 1, "_i"))))
-        shuffled = base.drop(c).join(perm.select(F.col("_j").alias("_i"), F.col("_pv").alias(c)), "_i")
-        rmse = A.regression_metrics(model.transform(shuffled), target, "prediction").first()["rmse"]
-        out.append((c, float(rmse - ref)))
-    base.unpersist()
-    s = df.sparkSession
-    return s.createDataFrame(out, "feature string, rmse_increase double").orderBy(F.desc("rmse_increase"))
+    inside a seeded sample, all features in one scoring job."""
+    from chronoframe.operators.linear import permutation_importance as permuted
+    return permuted(model.transform, df, feature_cols, target, key_col, sample_rows, seed).orderBy(F.desc("rmse_increase"), "feature")
 
 
 # --------------------------------------------------------------------------- live scoring
