@@ -1,25 +1,39 @@
 """Live nowcast job (T1): a stream of new readings scored per micro-batch.
 
-``lag().over()`` is not allowed on a stream, so each micro-batch is handled
-with ``foreachBatch``: the new rows plus the stored rows of the *same series*
-that they can depend on (the last ``history_rows`` before the batch and all
-later ones) go through the batch feature function, the newest row per series
-is scored, and predictions are appended.  The
-batch id makes the append idempotent on replay.
+``lag().over()`` is not allowed on a stream, so every series keeps its last
+``history_rows`` + 1 rows in keyed state (:func:`series_frames`): new rows are
+merged into that buffer by time, a late row takes its place between older ones,
+a row that comes again replaces the stored one, and the buffer is all that a
+batch's features can depend on.  Each micro-batch's buffers go through the batch
+feature function, the newest row per series is scored, and predictions go to
+the history table of :mod:`chronoframe.sources.history`.
+
+Nothing is read back from storage.  The state is versioned with the stream's
+checkpoint, so a replayed batch starts from the state it had, and its
+predictions replace those it wrote before.  A timer drops the buffer of a
+series that the stream's clock has left behind by ``idle``.
+
+:func:`nowcast_batch` gives the same rows for one batch from a stored history.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import Callable, Sequence
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from chronoframe.functions.categories import category_continuous, confidence_band
 from chronoframe.operators import ranking as R
 from chronoframe.operators.keyed import join_keyed
-from chronoframe.session import path_exists
+from chronoframe.sources.history import write_batch
+from chronoframe.streaming.rollup import ntz_to_instant
 
 # rows of look-back: the longest lag (72) and 3 rows of forward fill on top of it
 HISTORY_ROWS = 75
@@ -78,27 +92,70 @@ def persistence_predictor(target: str = "us_aqi") -> Callable[[DataFrame], DataF
     return predict
 
 
-def start_nowcast(spark: SparkSession, stream: DataFrame, history_path: str, sink_path: str,
-                  checkpoint: str, features: Callable[[DataFrame], DataFrame],
-                  predict: Callable[[DataFrame], DataFrame], keys: Sequence[str] = ("series_id",),
-                  available_now: bool = True) -> StreamingQuery:
-    """Wire the stream: append each batch to history, score, append predictions."""
+def _merged(rows: pa.Table, time_col: str, keep: int) -> pa.Table:
+    """The last ``keep`` rows by time, one per instant; of equal instants the last one in the table stays."""
+    rows = rows.filter(rows.column(time_col).is_valid())
+    order = rows.append_column("_at", pa.array(range(rows.num_rows), pa.int64()))
+    last = order.select([time_col, "_at"]).group_by(time_col).aggregate([("_at", "max")]).sort_by(time_col)
+    return rows.take(last.slice(max(0, last.num_rows - keep)).column("_at_max"))
+
+
+def series_frames(stream: DataFrame, keys: Sequence[str] = ("series_id",), time_col: str = "time", history_rows: int = HISTORY_ROWS,
+                  idle: str | None = None) -> DataFrame:
+    """For every series of a micro-batch, its last ``history_rows`` + 1 rows with the new ones merged in.
 
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        if batch.isEmpty():
+    ``stream`` holds one row per series and instant; rows of several sources
+    (a backfill and a live feed, say) may be united before.  A group's rows
+    come in chunks, and only the buffer is held between them.  With ``idle``
+    (an interval of event time, also the stream's watermark) a buffer whose
+    newest row falls behind by more is dropped, and so are rows that come later
+    than that; without it buffers stay and no row is too late.
+    """
+    keys, schema, keep = list(keys), stream.schema, history_rows + 1
+    arrow = to_arrow_schema(schema)
+
+    def update(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
             return
-        batch = batch.persist()  # several jobs read the micro-batch
-        history = (spark.read.parquet(history_path).drop("batch_id") if path_exists(spark, history_path)
-                   else batch.limit(0))
-        scored = nowcast_batch(batch, history, features, predict, keys)
-        # dynamic partition overwrite keyed by batch id: a replayed batch replaces itself
-        (scored.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(sink_path))
-        (batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(history_path))
-        batch.unpersist()
-
-    w = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
+        rows = pa.ipc.open_stream(state.get[0]).read_all() if state.exists else arrow.empty_table()
+        for chunk in chunks:
+            # rows of equal instants in a chunk: the greatest in all columns stays
+            new = pa.Table.from_pandas(chunk[arrow.names], schema=arrow, preserve_index=False)
+            new = new.sort_by([(c, "ascending") for c in [time_col, *[n for n in arrow.names if n != time_col]]])
+            rows = _merged(pa.concat_tables([rows, new]), time_col, keep)
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, arrow) as writer:
+            writer.write_table(rows)
+        state.update((sink.getvalue().to_pybytes(),))
+        if idle is not None and rows.num_rows:
+            newest = pd.Timestamp(rows.column(time_col)[-1].as_py())
+            state.setTimeoutTimestamp(max(int(newest.value // 1_000_000), state.getCurrentWatermarkMs()) + 1)
+        yield rows.to_pandas()
+
+    wait = GroupStateTimeout.NoTimeout
+    if idle is not None:
+        wait = GroupStateTimeout.EventTimeTimeout
+        stream = stream.withColumn("_et", ntz_to_instant(time_col)).withWatermark("_et", idle)
+    return stream.groupBy(*keys).applyInPandasWithState(update, schema, "buffer binary", "append", wait)
+
+
+def start_nowcast(spark: SparkSession, stream: DataFrame, sink_path: str, checkpoint: str, features: Callable[[DataFrame], DataFrame],
+                  predict: Callable[[DataFrame], DataFrame], keys: Sequence[str] = ("series_id",), time_col: str = "time",
+                  history_rows: int = HISTORY_ROWS, idle: str | None = None, predicted_time: str = "timestamp",
+                  available_now: bool = True) -> StreamingQuery:
+    """Wire the stream: buffers in keyed state, features and prediction per micro-batch, predictions into the history at ``sink_path``."""
+
+    def handle(frames: DataFrame, batch_id: int) -> None:
+        frames = frames.persist()  # the state is read once, whatever the features do
+        try:
+            if not frames.isEmpty():
+                newest = R.latest(features(frames), keys, [time_col])
+                write_batch(predict(newest), sink_path, batch_id, predicted_time)
+        finally:
+            frames.unpersist()
+
+    frames = series_frames(stream, keys, time_col, history_rows, idle)
+    w = frames.writeStream.foreachBatch(handle).outputMode("append").option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
     return w.start()
-

@@ -65,29 +65,116 @@ def test_nowcast_batch(spark):
         assert 0 <= r.confidence_lower <= r.forecast_aqi <= r.confidence_upper
 
 
-def test_start_nowcast_end_to_end(spark):
-    """File stream of hourly readings -> foreachBatch scoring -> partitioned sinks; a
-    re-run over the same checkpoint adds nothing (replays replace their own batch)."""
-    from chronoframe.plans.features import engineer_features
-    from chronoframe.sources import views as V
-    src, hist, sink, ck = tmpdir_new(), tmpdir_new(), tmpdir_new(), tmpdir_new()
-    h = V.hourly(spark, SF001).withColumn("series_id", F.lit("city"))
-    h.where(F.col("time") < "2024-01-10").write.mode("overwrite").parquet(f"{hist}/h")
-    h.where((F.col("time") >= "2024-01-10") & (F.col("time") < "2024-01-12")).coalesce(1) \
-        .write.mode("overwrite").parquet(f"{src}/in")
-    stream = spark.readStream.schema(h.schema).parquet(f"{src}/in")
-
-    def start():
-        return nowcast.start_nowcast(spark, stream, f"{hist}/h", f"{sink}/out", ck,
-                                     lambda d: engineer_features(d, "live", keys=["series_id"]),
-                                     nowcast.persistence_predictor())
-    q = start()
-    q.awaitTermination(180)
-    out = spark.read.parquet(f"{sink}/out")
-    assert out.count() == 1 and "forecast_aqi" in out.columns
-    q2 = start()
-    q2.awaitTermination(180)
-    assert spark.read.parquet(f"{sink}/out").count() == 1
+def _hourly_feed(n=170):
+    """Two interleaved series with gaps; the null key is one of them."""
+    import datetime as dt
+    import random
+    rng = random.Random(4)
+    base = dt.datetime(2024, 1, 1)
+    return [(s, base + dt.timedelta(hours=h), float(rng.randint(0, 300))) for s in ("a", None) for h in sorted(rng.sample(range(3 * n), n))]
+
+
+def _write_file(path, name, rows):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    import time as _time
+    t = pa.table({"series_id": pa.array([r[0] for r in rows], pa.string()), "time": pa.array([r[1] for r in rows], pa.timestamp("us")),
+                  "us_aqi": pa.array([r[2] for r in rows], pa.float64())})
+    pq.write_table(t, f"{path}/{name}.parquet")
+    _time.sleep(1.1)  # files are taken in the order of their times
+
+
+def _lag_features(d):
+    from chronoframe.operators import windows as W
+    return W.window_features(d, [W.lag("us_aqi", n, f"l{n}") for n in (1, 9, 72)], keys=["series_id"])
+
+
+def _plain(d):
+    return d.select("series_id", F.col("time").alias("timestamp"), "us_aqi", "l1", "l9", "l72")
+
+
+def test_nowcast_stream_equals_batch_through_late_rows_replay_and_restart(spark):
+    from chronoframe.operators import ranking as R
+    from chronoframe.sources import history
+    rows = _hourly_feed()
+    a, b = [r for r in rows if r[0] == "a"], [r for r in rows if r[0] is None]
+    late, again = [a[150], b[160]], (a[-1][0], a[-1][1], 7.0)
+    files = [("f1", a[:120] + b[:100]), ("f2", b[100:160] + a[120:150] + a[151:160]), ("f3", late + b[161:]), ("f4", a[160:]), ("f5", [again])]
+    src, sink, ck = tmpdir_new(), tmpdir_new() + "/out", tmpdir_new()
+
+    def run():
+        stream = spark.readStream.schema("series_id string, time timestamp_ntz, us_aqi double").option("maxFilesPerTrigger", 1).parquet(src)
+        q = nowcast.start_nowcast(spark, stream, sink, ck, _lag_features, _plain, idle="400 days")
+        assert q.awaitTermination(60)
+
+    seen = {}
+    for name, part in files:  # a restart for every file: the buffers come from the checkpoint alone
+        _write_file(src, name, part)
+        run()
+        seen.update({(r[0], r[1]): r for r in part})
+        whole = spark.createDataFrame(list(seen.values()), "series_id string, time timestamp_ntz, us_aqi double")
+        want = {tuple(r) for r in _plain(R.latest(_lag_features(whole), ["series_id"])).collect() if r.series_id in {p[0] for p in part}}
+        got = {tuple(r) for r in history.read_history(spark, sink, time_col="timestamp").collect()}
+        assert want <= got, name
+    before = sorted(map(str, history.read_history(spark, sink, time_col="timestamp").collect()))
+    # the last batch is replayed when its commit is lost
+    import glob
+    import os
+    commits = sorted(glob.glob(f"{ck}/commits/[0-9]*"), key=lambda f: int(os.path.basename(f)))
+    for f in (commits[-1], os.path.join(os.path.dirname(commits[-1]), f".{os.path.basename(commits[-1])}.crc")):
+        if os.path.exists(f):
+            os.remove(f)
+    run()
+    assert sorted(map(str, history.read_history(spark, sink, time_col="timestamp").collect())) == before
+
+
+def test_silent_series_lose_their_buffer(spark):
+    import datetime as dt
+    from chronoframe.sources import history
+    src, sink, ck, t0 = tmpdir_new(), tmpdir_new() + "/out", tmpdir_new(), dt.datetime(2024, 1, 1)
+    day = lambda s, d, v: (s, t0 + dt.timedelta(days=d), v)
+    for i, part in enumerate([[day("a", 0, 1.0), day("b", 0, 2.0)], [day("b", 10, 3.0)], [day("b", 11, 4.0)], [day("a", 12, 5.0)]]):
+        _write_file(src, f"f{i}", part)
+    stream = spark.readStream.schema("series_id string, time timestamp_ntz, us_aqi double").option("maxFilesPerTrigger", 1).parquet(src)
+    q = nowcast.start_nowcast(spark, stream, sink, ck, _lag_features, _plain, idle="3 days")
+    assert q.awaitTermination(60)
+    got = {(r.series_id, r.us_aqi): r.l1 for r in history.read_history(spark, sink, time_col="timestamp").collect()}
+    assert got["b", 4.0] == 3.0 and got["a", 5.0] is None  # a was silent for 12 days
+
+
+def test_buffers_keep_the_last_rows_of_each_instant():
+    import pyarrow as pa
+    t = pa.table({"time": pa.array([3, 1, None, 2, 1], pa.int64()), "v": [1, 2, 3, 4, 5]})
+    assert nowcast._merged(t, "time", 2).to_pydict() == {"time": [2, 3], "v": [4, 1]}
+    assert nowcast._merged(t, "time", 9).to_pydict() == {"time": [1, 2, 3], "v": [5, 4, 1]}
+
+
+def test_history_replay_and_compaction(spark):
+    import glob
+    from chronoframe.sources import history
+    path = tmpdir_new() + "/h"
+    assert history.read_history(spark, path) is None and history.compact(spark, path, "2030-01-01") == []
+
+    def batch(i, rows):
+        df = spark.createDataFrame([(s, t, v) for s, t, v in rows], "series_id string, t string, v double")
+        history.write_batch(df.select("series_id", F.to_timestamp_ntz("t").alias("time"), "v"), path, i)
+
+    def read(*bounds):
+        return sorted(((r.series_id or "", str(r.time), r.v) for r in history.read_history(spark, path, *bounds).collect()))
+
+    batch(0, [("a", "2024-01-01 01:00:00", 1.0), (None, "2024-01-01 01:00:00", 2.0), ("a", "2024-01-02 05:00:00", 3.0)])
+    batch(1, [("a", "2024-01-01 01:00:00", 10.0), ("a", None, 5.0)])  # a late row replaces a stored one
+    batch(2, [("a", "2024-01-02 06:00:00", 4.0), ("b", "2024-01-03 00:00:00", 6.0)])
+    want = [("", "2024-01-01 01:00:00", 2.0), ("a", "2024-01-01 01:00:00", 10.0), ("a", "2024-01-02 05:00:00", 3.0),
+            ("a", "2024-01-02 06:00:00", 4.0), ("a", "None", 5.0), ("b", "2024-01-03 00:00:00", 6.0)]
+    assert read() == want
+    batch(2, [("a", "2024-01-02 06:00:00", 4.0), ("b", "2024-01-03 00:00:00", 6.0)])  # replay
+    assert read() == want and read("2024-01-02", "2024-01-03") == [w for w in want if w[1].startswith("2024-01-02")]
+    assert history.compact(spark, path, "2024-01-03") == ["2024-01-01", "2024-01-02"]
+    assert len(glob.glob(f"{path}/_day=2024-01-0[12]/_part=*")) == 2 and read() == want
+    assert history.compact(spark, path, "2024-01-03") == []
+    batch(0, [("a", "2024-01-01 01:00:00", 1.0)])  # an old batch comes again: the later one still wins
+    assert read() == want and history.compact(spark, path, "2024-01-03") == ["2024-01-01"] and read() == want
 
 
 def test_rollup_drops_rows_behind_the_watermark(spark):
