@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from chronoframe.functions.calendar import weekday0
 from chronoframe.operators.keyed import join_keyed
-from chronoframe.operators.quantiles import exact_quantiles, quantiles_long
+from chronoframe.operators.quantiles import quantiles_from_counts, quantiles_long, to_long, value_counts
+from chronoframe.session import cut_lineage
 
 
 def metric_columns(actual: str, pred: str) -> list[Column]:
@@ -53,6 +54,17 @@ def metrics_by_group(df: DataFrame, actual: str, pred: str, group: str, min_n: i
     return out
 
 
+def evaluation_report(df: DataFrame, actual: str, pred: str, group: str, start: str, end: str, min_n: int = 5) -> DataFrame:
+    """One nested row: the period, overall metrics and metrics by category, rounded half-even."""
+    overall = regression_metrics(df, actual, pred).select(F.struct(
+        F.bround("mae", 3).alias("mae"), F.bround("rmse", 3).alias("rmse"), F.bround("r2", 4).alias("r2"), "n").alias("overall"))
+    # a handful of categories
+    by = metrics_by_group(df, actual, pred, group, min_n).agg(F.sort_array(F.collect_list(
+        F.struct(F.col(group).alias("category"), "n", "mae", "rmse"))).alias("by_category"))
+    period = F.struct(F.lit(start).alias("start"), F.lit(end).alias("end")).alias("period")
+    return overall.join(F.broadcast(by)).select(period, "overall", "by_category")
+
+
 def fold_summary(per_fold: DataFrame, metrics: Sequence[str] = ("mae", "rmse", "r2"),
                  digits: dict | None = None) -> DataFrame:
     """Mean and *population* std over folds, rounded half-even."""
@@ -72,7 +84,7 @@ def describe(df: DataFrame, cols: Sequence[str], probs: Sequence[float] = (0.25,
     Quantiles are exact by default; ``accuracy`` switches to the bounded
     ``percentile_approx`` sketch (relative rank error about 1/accuracy).
     """
-    from chronoframe.operators.quantiles import approx_quantiles, to_long
+    from chronoframe.operators.quantiles import approx_quantiles
     long = to_long(df, cols, keys)
     moments = long.groupBy(*keys, "column").agg(
         F.count(F.lit(1)).alias("count"), F.avg("_v").alias("mean"), F.stddev_samp("_v").alias("std"),
@@ -84,7 +96,7 @@ def describe(df: DataFrame, cols: Sequence[str], probs: Sequence[float] = (0.25,
     names = {p: f"p{int(round(p * 100)):02d}" for p in probs}
     wide = q.groupBy(*keys, "column").pivot("p", [float(p) for p in probs]).agg(F.first("value"))
     wide = wide.select(*keys, "column", *[F.col(f"`{float(p)}`").alias(names[p]) for p in probs])
-    return moments.join(wide, on=[*keys, "column"], how="left")
+    return join_keyed(moments, wide, [*keys, "column"], "left")
 
 
 def confusion_counts(df: DataFrame, actual: str, pred: str, labels: Sequence[str],
@@ -124,23 +136,53 @@ def histogram(df: DataFrame, col: str, bins: int = 20) -> DataFrame:
 
 def box_stats(df: DataFrame, col: str, group: str) -> DataFrame:
     """Quartiles, 1.5 IQR whiskers (most extreme values inside the fences) and
-    outlier count per group (A6)."""
-    q = exact_quantiles(df, [col], [0.25, 0.5, 0.75], [group])
-    wide = (q.groupBy(group).pivot("p", [0.25, 0.5, 0.75]).agg(F.first("value"))
-            .select(group, F.col("`0.25`").alias("q1"), F.col("`0.5`").alias("median"),
-                    F.col("`0.75`").alias("q3")))
+    outlier count per group (A6).
+
+    The rows are read once, into a table of distinct values with their counts;
+    quartiles, fences, whiskers and outliers all come from that table.
+    """
+    counts = cut_lineage(value_counts(df.select(group, F.col(col).cast("double").alias("_v")), [group]))
+    q = quantiles_from_counts(counts, [group], [0.25, 0.5, 0.75])
+    wide = q.groupBy(group).agg(*[F.max(F.when(F.col("p") == p, F.col("value"))).alias(n)
+                                  for p, n in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))])
     wide = wide.withColumn("iqr", F.col("q3") - F.col("q1"))
     # one row per group; null is a group of its own
-    j = join_keyed(df.where(F.col(col).isNotNull()).select(group, col), wide, [group])
-    lo_f = F.col("q1") - 1.5 * F.col("iqr")
-    hi_f = F.col("q3") + 1.5 * F.col("iqr")
-    inside = (F.col(col) >= lo_f) & (F.col(col) <= hi_f)
-    agg = j.groupBy(group).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min(F.when(inside, F.col(col))).alias("whisker_lo"),
-        F.max(F.when(inside, F.col(col))).alias("whisker_hi"),
-        F.count_if(~inside).alias("n_outliers"))
-    return join_keyed(wide, agg, [group])
+    j = join_keyed(counts, wide, [group])
+    inside = (F.col("_v") >= F.col("q1") - 1.5 * F.col("iqr")) & (F.col("_v") <= F.col("q3") + 1.5 * F.col("iqr"))
+    return j.groupBy(group, "q1", "median", "q3", "iqr").agg(
+        F.sum("_c").alias("n"), F.min(F.when(inside, F.col("_v"))).alias("whisker_lo"),
+        F.max(F.when(inside, F.col("_v"))).alias("whisker_hi"), F.sum(F.when(inside, 0).otherwise(F.col("_c"))).alias("n_outliers"))
+
+
+def daily_value_counts(df: DataFrame, cols: Sequence[str], time_col: str = "time", keys: Sequence[str] = ()) -> DataFrame:
+    """``keys``, ``day``, ``column``, ``_v``, ``_c``: how often each column has each value on each day.
+
+    A table to be stored: days are independent, so a new day is added without
+    reading others, and any range of days is described from it
+    (:func:`describe_range`) as exactly as from the rows.
+    """
+    long = to_long(df.withColumn("day", F.to_date(time_col)), cols, [*keys, "day"])
+    return value_counts(long, [*keys, "day", "column"])
+
+
+def describe_range(stored: DataFrame, start: str, end: str, probs: Sequence[float] = (0.25, 0.5, 0.75, 0.9, 0.95, 0.99),
+                   keys: Sequence[str] = ()) -> DataFrame:
+    """:func:`describe` over the days ``[start, end)`` from a table of :func:`daily_value_counts`.
+
+    The counts of the days are added up, so the work follows the number of
+    distinct values, not of rows; quantiles are exact.
+    """
+    group = [*keys, "column"]
+    days = stored.where((F.col("day") >= F.lit(start).cast("date")) & (F.col("day") < F.lit(end).cast("date")))
+    counts = cut_lineage(days.groupBy(*group, "_v").agg(F.sum("_c").alias("_c")))
+    sums = counts.groupBy(*group).agg(F.sum("_c").alias("count"), (F.sum(F.col("_v") * F.col("_c")) / F.sum("_c")).alias("mean"),
+                                      F.min("_v").alias("min"), F.max("_v").alias("max"))
+    square = (F.col("_v") - F.col("mean")) * (F.col("_v") - F.col("mean")) * F.col("_c")
+    spread = join_keyed(counts, sums, group).groupBy(*group).agg(F.sum(square).alias("_sq"))
+    q = quantiles_from_counts(counts, group, probs).groupBy(*group).agg(
+        *[F.max(F.when(F.col("p") == float(p), F.col("value"))).alias(f"p{int(round(p * 100)):02d}") for p in probs])
+    out = join_keyed(join_keyed(sums, spread, group), q, group)
+    return out.withColumn("std", F.when(F.col("count") > 1, F.sqrt(F.col("_sq") / (F.col("count") - 1)))).drop("_sq")
 
 
 def hour_profile(df: DataFrame, value_col: str, time_col: str = "time") -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chronoframe.operators.keyed import join_keyed
 from chronoframe.functions.calendar import to_local
 
 # ---- fixed values that must match the reference ------------------------------
@@ -90,7 +91,9 @@ ADVICE_HEADER = "*⚠️ AI advisor unavailable — showing standard guidance fo
 def merge_feeds(air: DataFrame, weather: DataFrame, keys: Sequence[str] = ("series_id", "time")) -> DataFrame:
     """Inner equi-join of the two feeds (J1); feeds of several series join on the series as well.  Both sides are data-sized, so the
     planner picks sort-merge (or AQE a broadcast when one side turns out small)."""
-    return air.join(weather, on=list(keys), how="inner")
+    times = [k for k in keys if k == "time"]
+    out = join_keyed(air, weather, keys)  # a null series is a series; a reading without a time has no partner
+    return out.where(F.col("time").isNotNull()) if times else out
 
 
 def festival_dates(spark: SparkSession, dates: Sequence[str] | None = None,

@@ -98,6 +98,20 @@ def quantiles_long(long: DataFrame, groups: Sequence[str], probs: Sequence[float
         agg = long.groupBy(*groups).agg(F.percentile("_v", F.array(*[F.lit(p) for p in pl])).alias("_q"))
         return agg.select(*groups, F.posexplode("_q").alias("_i", "value")).select(
             *groups, F.element_at(F.array(*[F.lit(p) for p in pl]), F.col("_i") + 1).alias("p"), "value")
+    return quantiles_from_counts(value_counts(long, groups), groups, probs, small_group_rows, buckets)
+
+
+def value_counts(long: DataFrame, groups: Sequence[str], value_col: str = "_v") -> DataFrame:
+    """Distinct values of each group with their counts (``_v``, ``_c``); nulls and NaN are left out."""
+    rows = long.where(F.col(value_col).isNotNull() & ~F.isnan(value_col))
+    return rows.groupBy(*groups, F.col(value_col).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+
+
+def quantiles_from_counts(values: DataFrame, groups: Sequence[str], probs: Sequence[float],
+                          small_group_rows: int = 2_000_000, buckets: int = 1024) -> DataFrame:
+    """Exact quantiles per ``groups`` from their distinct values ``_v`` and counts ``_c`` -> ``(groups, p, value)``."""
+    groups = list(groups)
+    cnt = values.groupBy(*groups).agg(F.sum("_c").alias("_n"))
     pa = F.array(*[F.lit(float(p)) for p in probs])
     tg = (cnt.select(*groups, "_n", F.explode(pa).alias("p"))
           .withColumn("_pos", F.col("p") * (F.col("_n") - 1))
@@ -105,7 +119,6 @@ def quantiles_long(long: DataFrame, groups: Sequence[str], probs: Sequence[float
           .withColumn("_rhi", F.ceil("_pos").cast("bigint"))
           .withColumn("_frac", F.col("_pos") - F.col("_rlo")))
     ranks = (tg.select(*groups, F.explode(F.array("_rlo", "_rhi")).alias("_r")).distinct())
-    values = long.groupBy(*groups, "_v").agg(F.count(F.lit(1)).alias("_c"))
     vals = _values_at_ranks(values, groups, ranks, small_group_rows, buckets, 0)
     lo = vals.withColumnRenamed("_r", "_rlo").withColumnRenamed("_val", "_vlo")
     hi = vals.withColumnRenamed("_r", "_rhi").withColumnRenamed("_val", "_vhi")

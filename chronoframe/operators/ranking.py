@@ -73,3 +73,28 @@ def seeded_sample(df: DataFrame, n: int, key_col: str, seed: int = 42) -> DataFr
     smallest hash of ``(seed, key)``.  Deterministic and engine independent;
     not the same rows numpy would draw."""
     return df.orderBy(sample_key(seed, key_col), key_col).limit(n)
+
+
+def asof_many(rows: DataFrame, instants: DataFrame, keys: Sequence[str] = ("series_id",), time_col: str = "time",
+              tie: Sequence[str] = (), strategy: str = "auto", chunk_rows: int | None = None) -> DataFrame:
+    """For every row of ``instants`` the newest row of its series at or before it (P19, L2 at many instants).
+
+    Rows and instants are merged in the order of time and the last row is
+    carried forward, one sort per series for all instants; a hot series is cut
+    into chunks and only the last row of each chunk is handed on.  Columns of
+    ``rows`` come as the struct ``row`` (null where there is none yet); of rows
+    at the same time the last by ``tie`` counts.  Null keys are keys, and an
+    instant without a time has no row.
+    """
+    from chronoframe.operators.windows import DEFAULT_CHUNK_ROWS, ffill_unbounded
+    keys = list(keys)
+    tied = [f"_tie_{i}" for i in range(len(tie))]
+    own = rows.where(F.col(time_col).isNotNull()).select(
+        *keys, F.col(time_col).alias("_t"), F.lit(0).alias("_kind"), *[F.col(c).alias(n) for c, n in zip(tie, tied)],
+        F.struct(*rows.columns).alias("row"))
+    asked = instants.select(*keys, F.col(time_col).alias("_t"), F.lit(1).alias("_kind"), F.struct(*instants.columns).alias("_asked"))
+    both = own.unionByName(asked.where(F.col("_t").isNotNull()), allowMissingColumns=True)
+    carried = ffill_unbounded(both, ["row"], keys, ["_t", "_kind", *tied], strategy, chunk_rows or DEFAULT_CHUNK_ROWS)
+    found = carried.where(F.col("_kind") == 1).select("_asked.*", "row")
+    untimed = instants.where(F.col(time_col).isNull()).withColumn("row", F.lit(None).cast(found.schema["row"].dataType))
+    return found.unionByName(untimed)

@@ -117,11 +117,17 @@ def built_columns(df: DataFrame) -> dict[str, list[str]]:
 LOOKBACK_ROWS = max(AQI_LAGS) + FFILL_LIMIT
 
 
-def _recent(df: DataFrame, keys: list[str], time_col: str, bound, lookback_hours: int) -> DataFrame:
-    """``df`` from ``lookback_hours`` before ``bound`` on, if every series has rows enough there; else ``df``."""
+def _recent(df: DataFrame, keys: list[str], time_col: str, bound, lookback_hours: int, needed: Sequence[str] = ()) -> DataFrame:
+    """``df`` from ``lookback_hours`` before ``bound`` on, if every series has rows enough there; else ``df``.
+
+    Only rows that the profile keeps count (``needed`` columns present): of
+    ``LOOKBACK_ROWS`` of them the last ones are all that a fill can reach, and
+    the others all that a lag of those can.
+    """
+    usable = nulls.complete_flag(list(needed)) if needed else F.lit(True)
     near = df.where(F.col(time_col) >= bound - F.expr(f"INTERVAL {lookback_hours} HOURS"))
     late, before = F.col(time_col) >= bound, F.col(time_col) < bound
-    short = near.groupBy(*keys).agg(F.count_if(late).alias("_late"), F.count_if(before).alias("_n")).where(
+    short = near.groupBy(*keys).agg(F.count_if(late).alias("_late"), F.count_if(before & usable).alias("_n")).where(
         (F.col("_late") > 0) & (F.col("_n") < LOOKBACK_ROWS))
     return near if short.isEmpty() else df
 
@@ -138,7 +144,7 @@ def engineer_features(df: DataFrame, profile: str = "batch", keys: Sequence[str]
     full build filtered to them.  Lags count rows, so the input may be cut only
     where the rows that a feature can reach are surely there: it is read from
     ``since - lookback_hours`` on (the bound reaches the file scan) if every
-    series has ``LOOKBACK_ROWS`` rows between, else whole.  Profiles that fill
+    series has ``LOOKBACK_ROWS`` rows between that the profile keeps, else whole.  Profiles that fill
     with medians need the whole history for them, so they are cut only when
     ``medians`` passes a stored table.
 
@@ -150,7 +156,8 @@ def engineer_features(df: DataFrame, profile: str = "batch", keys: Sequence[str]
     if since is not None:
         bound = F.lit(since).cast("timestamp_ntz")
         if profile in ("live", "archived") or medians is not None:
-            df = _recent(df, keys, order[0], bound, lookback_hours)
+            needed = {"batch": [target], "leak_free": [target], "notebook": [target, *KEY_COLUMNS]}.get(profile, [])
+            df = _recent(df, keys, order[0], bound, lookback_hours, [c for c in dict.fromkeys(needed) if c in df.columns])
         full = engineer_features(df, profile, keys, order, strategy, tz, festivals, target, median_keys,
                                  materialize=materialize, medians=medians)
         return full.where(F.col(order[0]) >= bound)

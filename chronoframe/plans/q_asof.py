@@ -10,7 +10,7 @@ from chronoframe.functions import categories as C
 from chronoframe.operators import aggregates as A
 from chronoframe.operators import joins as J
 from chronoframe.operators import ranking as R
-from chronoframe.plans.registry import HOURLY_CTE, NOW, _round_all, hourly, r9, register
+from chronoframe.plans.registry import HOURLY_CTE, NOW, _round_all, hourly, hourly_asof, r9, register
 from chronoframe.sources import payload, spine
 from chronoframe.sources import views as V
 
@@ -25,7 +25,7 @@ SELECT time, round(us_aqi, 9) AS us_aqi, round(pm2_5, 9) AS pm2_5,
 FROM hourly WHERE time <= TIMESTAMP '{NOW}' ORDER BY time DESC LIMIT 1
 """)
 def q_latest_asof(spark, sf):
-    row = R.latest(R.as_of(hourly(spark, sf), NOW))
+    row = R.latest(R.as_of(hourly_asof(spark, sf), NOW))
     return row.select("time", r9("us_aqi"), r9("pm2_5"), F.col("us_aqi").cast("int").alias("current_aqi"),
                       cal.plus_hours("time", 24).alias("forecast_timestamp"))
 
@@ -35,7 +35,7 @@ WITH {HOURLY_CTE}
 SELECT {R1_SELECT} FROM hourly WHERE time <= TIMESTAMP '{NOW}' ORDER BY time DESC LIMIT 48
 """)
 def q_tail48(spark, sf):
-    return _round_all(R.tail_n(R.as_of(hourly(spark, sf), NOW), 48))
+    return _round_all(R.tail_n(R.as_of(hourly_asof(spark, sf), NOW), 48))
 
 
 @register("recent_window", f"""
@@ -46,7 +46,7 @@ WHERE time >= TIMESTAMP '{NOW}' - INTERVAL 7 DAY AND time <= TIMESTAMP '{NOW}'
 def q_recent_window(spark, sf):
     """Live scan: the last 7 days up to ``now`` (S7); both bounds reach the parquet scan."""
     lo = F.lit(NOW).cast("timestamp_ntz") - F.expr("INTERVAL 7 DAYS")
-    h = hourly(spark, sf)
+    h = hourly_asof(spark, sf, start="2024-01-18 13:00:00")  # the first full hour of the seven days
     return _round_all(R.as_of(h, NOW).where(F.col("time") >= lo))
 
 
@@ -69,7 +69,7 @@ FROM l
 """)
 def q_current_conditions(spark, sf):
     """Snapshot of the newest row, one decimal, dash when a reading is absent."""
-    row = R.latest(R.as_of(hourly(spark, sf), NOW))
+    row = R.latest(R.as_of(hourly_asof(spark, sf), NOW))
     # format_string renders a null argument as text, so absent readings are guarded
     pm = F.when(F.col("pm2_5").isNotNull(), F.format_string("%.1f", F.bround("pm2_5", 1)))
     out = [F.col("time"), F.coalesce(pm, F.lit(_DASH)).alias("pm25_now")]

@@ -58,7 +58,7 @@ WHERE time >= TIMESTAMP '2024-01-26' AND time < TIMESTAMP '2024-01-31'
 """)
 def q_time_slice(spark, sf):
     """Both end conventions of the closed slice."""
-    h = hourly(spark, sf).select("time")
+    h = hourly(spark, sf, "2024-01-26", "2024-01-31").select("time")
     a = S.time_slice(h, "2024-01-26", "2024-01-30", "instant").select(F.lit("instant").alias("mode"), "time")
     b = S.time_slice(h, "2024-01-26", "2024-01-30", "day").select(F.lit("day").alias("mode"), "time")
     return a.unionByName(b)
@@ -241,8 +241,9 @@ def q_cv_summary(spark, sf):
     from chronoframe.operators.nulls import drop_null_target
     h = hourly(spark, sf)
     pred = _win(h, [W.lag("us_aqi", 1, "pred")]).select("time", "pred")
-    folds = S.expanding_folds(drop_null_target(h).select("time", "us_aqi"), 5, 24)
-    test = folds.where(F.col("role") == "test").join(pred, on="time").where(F.col("pred").isNotNull())
+    # a row is tested in one fold at most, which its position gives
+    rows = S.with_positions(drop_null_target(h).select("time", "us_aqi"))
+    test = rows.withColumn("fold", S.fold_columns(5, 24)[1]).where(F.col("fold").isNotNull()).join(pred, on="time").where(F.col("pred").isNotNull())
     per_fold = A.regression_metrics(test, "us_aqi", "pred", keys=["fold"])
     return A.fold_summary(per_fold)
 

@@ -8,10 +8,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from chronoframe.plans import scenario as SC
-from chronoframe.plans.registry import HOURLY_CTE, NOW, _round_all, hourly, register
+from chronoframe.plans.registry import HOURLY_CTE, NOW, _round_all, hourly, hourly_asof, register
 
 SPINE_START = "2024-01-26"
-SPINE_DAYS = 7
+SPINE_DAYS, SPINE_END = 7, "2024-02-02"
 
 _NOISE_VALUES = ", ".join(f"({i + 1}, {e!r})" for i, e in enumerate(SC.NOISE))
 
@@ -61,14 +61,14 @@ def _state(h):
     return SC.current_and_history(h, NOW)
 
 
-def _api(spark, h):
+def _api(spark, sf):
+    """The days of the spine and the state at NOW, each with its own bound on the scan."""
     spine = SC.date_spine(spark, SPINE_START, SPINE_DAYS)
-    return SC.daily_max_on_spine(h, spine, _state(h))
+    return SC.daily_max_on_spine(hourly(spark, sf, SPINE_START, SPINE_END), spine, _state(hourly_asof(spark, sf)))
 
 
 def _cmp(spark, sf):
-    h = hourly(spark, sf)
-    return SC.compare(_api(spark, h), SC.walk(_state(h)))
+    return SC.compare(_api(spark, sf), SC.walk(_state(hourly_asof(spark, sf))))
 
 
 @register("forecast_daily_max", f"""
@@ -78,7 +78,7 @@ SELECT date, api_aqi, is_filled FROM api
 """)
 def q_forecast_daily_max(spark, sf):
     """Daily max on a 7-day spine, unbounded forward fill, current-value fallback."""
-    return _api(spark, hourly(spark, sf)).select("date", "api_aqi", "is_filled")
+    return _api(spark, sf).select("date", "api_aqi", "is_filled")
 
 
 @register("scenario_walk", f"""
@@ -87,7 +87,7 @@ SELECT day_offset, round(model_aqi, 9) AS model_aqi FROM model
 """)
 def q_scenario_walk(spark, sf):
     """Seven-step mean-reversion walk from the current value."""
-    return _round_all(SC.walk(_state(hourly(spark, sf))))
+    return _round_all(SC.walk(_state(hourly_asof(spark, sf))))
 
 
 @register("scenario_compare", f"""

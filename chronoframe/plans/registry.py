@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoframe.operators import windows as W
-from chronoframe.session import cut_lineage
 from chronoframe.sources import views as V
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,16 +90,18 @@ def hourly(spark: SparkSession, sf: str, start: str | None = None, end: str | No
 
     Catalyst drops the measures a query doesn't ask for, so most queries read
     two or three columns and never parse ``props``; ``start`` / ``end`` reach the
-    scan.  A query that reads the view in several actions asks for
-    :func:`hourly_once`.
+    scan.
     """
     return V.hourly(spark, sf, start, end)
 
 
-def hourly_once(spark: SparkSession, sf: str, columns: list[str] | None = None) -> DataFrame:
-    """R1 (or some of its columns), written once to the shared folder for queries that read it again and again."""
-    h = V.hourly(spark, sf)
-    return cut_lineage(h.select(*columns) if columns else h)
+#: First instant after the hour of NOW: readings of hours up to NOW lie before it.
+NOW_END = "2024-01-25 13:00:00"
+
+
+def hourly_asof(spark: SparkSession, sf: str, start: str | None = None) -> DataFrame:
+    """R1 up to the hour of NOW; the bound is one of ``ts`` and reaches the scan."""
+    return hourly(spark, sf, start, NOW_END)
 
 
 def _win(df: DataFrame, exprs) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -74,6 +75,14 @@ def cut_lineage(df, eager: bool = True):
     return df.checkpoint(eager=eager)
 
 
+def scratch_path(spark: SparkSession, tag: str) -> str:
+    """A new folder name below the shared checkpoint folder, removed when the driver's JVM ends."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+    return path
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether a path is there, on whatever file system it names (the cluster's default one if none)."""
     jvm = spark.sparkContext._jvm

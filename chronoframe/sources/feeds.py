@@ -7,7 +7,6 @@ scan by date so the predicate reaches the file source.
 
 from __future__ import annotations
 
-import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,15 +72,12 @@ def read_recent(spark, path, schema, now: str, days: int = 7, fmt="parquet") ->
 
 
 def read_forecast(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """External forecast scan; a missing or unreadable source yields an empty
-    typed frame instead of an error (S8)."""
-    try:
+    """External forecast scan; a missing source yields an empty typed frame (S8), other faults are errors."""
+    if path_exists(spark, path):
         df = read_feed(spark, path, FORECAST_SCHEMA, fmt=fmt)
-        df.schema  # resolve now so a missing path is caught here
-        return df.withColumn("date", F.to_date("time"))
-    except Exception:  # noqa: BLE001 - the reference degrades to an empty frame on any failure
-        empty = spark.createDataFrame([], FORECAST_SCHEMA)
-        return empty.withColumn("date", F.to_date("time"))
+    else:
+        df = spark.createDataFrame([], FORECAST_SCHEMA)
+    return df.withColumn("date", F.to_date("time"))
 
 
 #: Partition columns of a written table: year and month of the stored (UTC) time.
@@ -153,6 +149,16 @@ def write_report(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").json(path)
 
 
+#: Layout of a stored evaluation report, a fixed value of its format.
+REPORT_SCHEMA = ("period struct<start:string,end:string>, overall struct<mae:double,rmse:double,r2:double,n:bigint>, "
+                 "by_category array<struct<category:string,n:bigint,mae:double,rmse:double>>")
+
+
+def read_evaluation_report(spark: SparkSession, path: str) -> DataFrame:
+    """Scan of a report that :func:`write_report` stored from an evaluation."""
+    return spark.read.schema(REPORT_SCHEMA).json(path)
+
+
 def read_report(spark: SparkSession, path: str, schema: T.StructType, default: dict) -> DataFrame:
     """Report scan with a literal fallback row when the report is missing."""
     if path_exists(spark, path):
@@ -162,14 +168,6 @@ def read_report(spark: SparkSession, path: str, schema: T.StructType, default: d
     return spark.createDataFrame([tuple(default.get(f.name) for f in schema.fields)], schema)
 
 
-def render_markdown(metrics: dict) -> str:
-    """Markdown metrics summary (S14); split sizes are counted, not estimated."""
-    lines = ["# Model Evaluation Results", "", "| Metric | Value |", "|--------|-------|"]
-    for k, v in metrics.items():
-        lines.append(f"| {k} | {v} |")
-    return "\n".join(lines) + "\n"
-
-
 def _line(k: int, value) -> F.Column:
     v = F.lit(value) if isinstance(value, str) else value
     return F.struct(F.lit(k).alias("k"), v.alias("value"))
@@ -202,8 +200,3 @@ def markdown_lines(split_report: DataFrame, cv_summary: DataFrame, test_metrics:
 def write_markdown(lines: DataFrame, path: str) -> None:
     """One ordered text file (the report is a few dozen lines)."""
     lines.orderBy("k").coalesce(1).select("value").write.mode("overwrite").text(path)
-
-
-def write_json_file(obj: dict, path: str) -> None:
-    with open(path, "w") as f:
-        json.dump(obj, f, indent=2, default=str)
