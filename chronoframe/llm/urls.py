@@ -56,27 +56,63 @@ def best_rule(host: Column, path: Column, rules: tuple[Rule, ...]) -> Column:
     return F.greatest(*fits, F.lit(None), F.lit(None))
 
 
+def _plain_path(path: Column) -> Column:
+    """A path without ``.`` and ``..`` segments; those that lead above the root are dropped."""
+    steps = F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), lambda done, x: (
+        F.when(x == ".", done).when(x == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(1)))).otherwise(F.concat(done, F.array(x)))))
+    return F.when(path.contains("/."), F.concat(F.array_join(steps, "/"), F.when(path.rlike(r"/\.\.?$"), "/").otherwise(""))).otherwise(path)
+
+
 def url_key(url: Column) -> Column:
-    """A url without scheme, fragment and final slash; the host in lower case."""
+    """A url without scheme, fragment, dot segments and final slash; the host in lower case."""
     query = F.regexp_extract(url, r"(?s)^[^#]*?(\?[^#]*)", 1)
-    return F.when(url.contains("://"), F.concat(host_of(url), F.regexp_replace(path_of(url), "/+$", ""), query))
+    return F.when(url.contains("://"), F.concat(host_of(url), F.regexp_replace(_plain_path(path_of(url)), "/+$", ""), query))
+
+
+#: Character references that stand in attribute values; ``&amp;`` goes last.
+ENTITIES = (("&#38;", "&amp;"), ("&#x26;", "&amp;"), ("&quot;", '"'), ("&#34;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&lt;", "<"), ("&gt;", ">"),
+            ("&#47;", "/"), ("&#x2f;", "/"), ("&amp;", "&"))
+_VALUE = r"""\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+
+
+def _attribute(tag: Column, name: str) -> Column:
+    """Value of an attribute, without quotes, decoded and trimmed."""
+    value = F.regexp_replace(F.regexp_extract(tag, rf"(?is)[\s\"'/]{name}{_VALUE}", 1), r"(?s)^[\"'](.*)[\"']$", "$1")
+    for code, char in ENTITIES:
+        value = F.regexp_replace(value, f"(?i){code}", char)
+    return F.trim(value)
+
+
+def resolve(base: Column, target: Column) -> Column:
+    """The absolute url of a link, or null if it is none (another scheme, or nothing but a fragment)."""
+    site = F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*)", 1)
+    path, t = path_of(base), target
+    folder = F.when(path.contains("/"), F.regexp_extract(path, r"(?s)^(.*/)", 1)).otherwise(F.lit("/"))
+    return (F.when((t == "") | t.startswith("#"), F.lit(None)).when(t.rlike(r"(?s)^[A-Za-z][A-Za-z0-9+.-]*://"), t)
+            .when(t.rlike(r"(?s)^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None)).when(t.startswith("//"), F.concat(F.lit("http:"), t))
+            .when(site == "", F.lit(None)).when(t.startswith("/"), F.concat(site, t)).when(t.startswith("?"), F.concat(site, path, t))
+            .otherwise(F.concat(site, folder, t)))
 
 
 def link_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """``a``, ``b``: url keys joined by a canonical link or a refresh redirect."""
-    text, base = F.col("h"), F.col("u")
-    tag = F.regexp_extract(text, r"(?is)(<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>)", 1)
-    canonical = F.regexp_extract(tag, r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)
-    meta = F.regexp_extract(text, r"(?is)(<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>)", 1)
-    redirect = F.regexp_extract(meta, r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1)
-    low = F.lower(text)
-    targets = F.array(F.when(low.contains("canonical"), canonical), F.when(low.contains("refresh"), redirect))
-    rows = pages.select(F.col(url).alias("u"), F.col(html).alias("h")).select("u", F.explode(targets).alias("t"))
-    t, site = F.col("t"), F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*)", 1)
-    absolute = (F.when(t.contains("://"), t).when(t.startswith("//"), F.concat(F.lit("http:"), t))
-                .when(t.startswith("/"), F.concat(site, t))
-                .otherwise(F.concat(site, F.regexp_extract(path_of(base), r"(?s)^(.*/)", 1), t)))
-    return rows.filter(F.col("t") != "").select(url_key(base).alias("a"), url_key(absolute).alias("b")).filter(
+    """``a``, ``b``: url keys joined by a canonical link or a refresh redirect.
+
+    All such tags of a page count, but not those inside comments; targets are
+    decoded and resolved against the page's url or its ``<base href>``.
+    """
+    low = F.lower("h")
+    some = pages.select(F.col(url).alias("u"), F.col(html).cast("string").alias("h")).filter(low.contains("canonical") | low.contains("refresh"))
+    text = F.regexp_replace("h", r"(?s)<!--.*?(-->|$)", " ")
+    tags = some.select("u", F.regexp_extract_all(text, F.lit(r"(?is)<(?:link|meta|base)\b[^>]*>"), F.lit(0)).alias("tags"))
+    base = F.element_at(F.concat(F.filter(F.transform(F.filter("tags", lambda t: t.rlike(r"(?is)^<base")), lambda t: _attribute(t, "href")),
+                                          lambda t: t != ""), F.array(F.lit(""))), 1)
+    own = F.when(base == "", F.col("u")).otherwise(F.coalesce(resolve(F.col("u"), base), F.col("u")))
+    rows = tags.select("u", own.alias("base"), F.explode("tags").alias("t"))
+    link = F.col("t").rlike(r"(?is)^<link") & F.array_contains(F.split(F.lower(_attribute(F.col("t"), "rel")), r"\s+"), "canonical")
+    fresh = F.col("t").rlike(r"(?is)^<meta") & (F.lower(_attribute(F.col("t"), "http-equiv")) == "refresh")
+    redirect = F.regexp_replace(F.regexp_extract(_attribute(F.col("t"), "content"), r"(?is)\burl\s*=\s*(.*)$", 1), r"(?s)^[\"']([^\"']*).*$", "$1")
+    found = rows.select("u", "base", F.when(link, _attribute(F.col("t"), "href")).when(fresh, F.trim(redirect)).alias("t")).filter("t != ''")
+    return found.select(url_key(F.col("u")).alias("a"), url_key(resolve(F.col("base"), F.col("t"))).alias("b")).filter(
         "a IS NOT NULL AND b IS NOT NULL AND a != b")
 
 
