@@ -1,10 +1,14 @@
 """The training-data operators against brute force on small tables, and on odd rows."""
 
 import functools
+import itertools
 import random
 import re
+import time
 import zlib
 from collections import Counter
+from html.parser import HTMLParser
+from urllib.parse import urljoin, urlsplit
 
 import numpy as np
 import pytest
@@ -485,6 +489,68 @@ def test_route_prefers_first_copies():
     assert more == {"a": 150}
 
 
+def brute_route(patterns, quotas, copies):
+    """Most words met, then least cost, over all ways to send whole words from patterns to sources."""
+    arcs = [(p, s) for p, (members, _) in sorted(patterns.items()) for s in members]
+    best = None
+    for flow in itertools.product(*[range(min(quotas[s], patterns[p][1] * copies) + 1) for p, s in arcs]):
+        sent, met = Counter(), Counter()
+        for (p, s), f in zip(arcs, flow):
+            sent[p] += f
+            met[s] += f
+        if all(met[s] <= quotas[s] for s in met) and all(sent[p] <= copies * patterns[p][1] for p in sent):
+            cost = sum(sum(range(f // w)) * w + f // w * (f % w) for p, f in sent.items() if (w := patterns[p][1]))
+            best = min(best or (1, 0), (-sum(flow), cost))
+    return best or (0, 0)
+
+
+def test_route_is_a_cheapest_flow():
+    rng = random.Random(11)
+    for _ in range(60):
+        quotas = {s: rng.randint(0, 5) for s in "abc"}
+        patterns = {str(i): (rng.sample("abc", rng.randint(1, 2)), rng.randint(0, 3)) for i in range(3)}
+        taken = mixing.route(patterns, quotas, 2)
+        cost = sum(sum(range(f // w)) * w + f // w * (f % w) for p, f in taken.items() if (w := patterns[p][1]))
+        assert (-sum(taken.values()), cost) == brute_route(patterns, quotas, 2), (patterns, quotas, taken)
+        for k in range(1, 4):  # every set of sources can be served what its patterns were asked to give
+            for some in itertools.combinations("abc", k):
+                assert sum(f for p, f in taken.items() if set(patterns[p][0]) <= set(some)) <= sum(quotas[s] for s in some)
+
+
+def test_route_of_many_patterns_is_fast():
+    t0 = time.process_time()
+    single = {f"p{i}": ([f"s{i % 50_000}"], 10 + i % 7) for i in range(100_000)}
+    taken = mixing.route(single, {f"s{i}": 25 for i in range(50_000)})
+    assert sum(taken.values()) == 50_000 * 25 and time.process_time() - t0 < 10
+    rng = random.Random(3)
+    t0 = time.process_time()
+    mixed = {f"p{i}": (rng.sample([f"s{j}" for j in range(200)], 2), rng.randint(1, 50)) for i in range(4000)}
+    taken = mixing.route(mixed, {f"s{j}": 700 for j in range(200)})
+    assert all(f <= 2 * mixed[p][1] for p, f in taken.items()) and time.process_time() - t0 < 20
+
+
+def test_mix_of_many_equal_rows(spark):
+    rows = [(7, "six words are in this text", "a")] * 900 + [(100 + i, f"w{i} " * (1 + i % 9), "a") for i in range(900)] + [
+        (5000 + i, "b c d", "b") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = None
+    for parts in (1, 9):
+        got = mixing.mix_rows(df.repartition(parts)).collect()
+        assert len(got) == len(rows)
+        target, taken = {r.source_size: r.target for r in got}, Counter()
+        for r in got:
+            assert 0 <= r.taken <= 2 * r.size
+            taken[r.source_size] += r.taken
+        assert all(abs(taken[n] - t) <= 1 for n, t in target.items())
+        want = want or sorted((r.doc_id, r.taken) for r in got)
+        assert sorted((r.doc_id, r.taken) for r in got) == want
+    whole = Counter(r.doc_id for r in mixing.take_mix(df).collect())
+    by_row = Counter()
+    for k, t in want:
+        by_row[k] += -(-t // next(len(x[1].split()) for x in rows if x[0] == k))
+    assert whole.keys() == {k for k, c in by_row.items() if c}
+
+
 def test_mix_meets_targets_and_repeats(spark, docs, texts):
     rows = mixing.mix_rows(docs).collect()
     again = {r.doc_id: r.taken for r in mixing.mix_rows(docs.repartition(7)).collect()}
@@ -554,6 +620,72 @@ def test_url_verdicts(spark):
     assert urls.judge_urls(df.filter("page_id < 0")).count() == 0
 
 
+class LinkTags(HTMLParser):
+    """Base, canonical and refresh targets by a parser."""
+
+    def __init__(self):
+        super().__init__()
+        self.base, self.links = None, []
+
+    def handle_starttag(self, tag, attrs):
+        a = {k: v or "" for k, v in attrs}
+        if tag == "base" and self.base is None and a.get("href"):
+            self.base = a["href"].strip()
+        if tag == "link" and "canonical" in a.get("rel", "").lower().split():
+            self.links.append(a.get("href", "").strip())
+        if tag == "meta" and a.get("http-equiv", "").lower() == "refresh":
+            m = re.search(r"(?i)url\s*=\s*(.*)$", a.get("content", ""))
+            self.links.append(m[1].strip().strip("'\"") if m else "")
+
+
+def brute_edges(rows):
+    def key(u):
+        x = urlsplit(u)
+        return (x.netloc.lower() + re.sub("/+$", "", x.path) + ("?" + x.query if x.query else ""))
+    found = set()
+    for u, html in rows:
+        parser = LinkTags()
+        parser.feed(re.sub(r"(?s)<!--.*?(-->|$)", "", html))
+        base = urljoin(u, parser.base) if parser.base else u
+        for t in parser.links:
+            if t and not t.startswith("#") and not re.match(r"[a-z]+:(?!//)", t):
+                a, b = key(u), key(urljoin(base, t))
+                if a != b:
+                    found.add((a, b))
+    return found
+
+
+def test_link_edges_match_a_parser(spark):
+    rng = random.Random(4)
+    targets = ["http://b.com/x", "HTTPS://B.com/y/", "//c.com/z?q=1&amp;r=2", "/root", "rel", "../up", "../../n", "./same/./k", "?only=1", "#frag", "",
+               "mailto:me@x.com", "a/../b#f", "http://d.com", "sub/"]
+    bases = ["http://a.com", "http://a.com/", "https://a.com/p/q/r", "http://A.com/p/q/?s=1", "http://a.com/f?x=/y"]
+    rows = []
+    for i in range(400):
+        parts = []
+        for _ in range(rng.randint(1, 3)):
+            t, q = rng.choice(targets), rng.choice("\"'")
+            parts.append(rng.choice([
+                f"<link rel={q}canonical{q} href={q}{t}{q}>", f"<LINK href={q}{t}{q} REL='nofollow canonical' />", f"<link rel=stylesheet href={q}{t}{q}>",
+                f"<meta http-equiv={q}Refresh{q} content={q}0; URL={t}{q}>", f"<!-- <link rel=canonical href={t}> -->", f"<a href={q}{t}{q} rel=canonical>x</a>",
+                f"<!-- open\n <link rel=canonical href={t}>\n--><p>canonical</p>", f"<link data-href=/no rel=canonical href={q}{t}{q}>"]))
+        if rng.random() < 0.2:
+            parts.insert(0, "<base href='/other/dir/'>")
+        rows.append((rng.choice(bases), "<html>" + " ".join(parts) + "</html>"))
+    df = spark.createDataFrame(rows, "url string, html string")
+    got = {tuple(r) for r in urls.link_edges(df).distinct().collect()}
+    assert got == brute_edges(rows)
+
+
+def test_block_reaches_all_aliases(spark):
+    rows = [(1, "http://safe.com/a", "<link rel=canonical href='http://other.com/z'><link rel=canonical href='http://x.net/bad?a=1&amp;b=2'>"),
+            (2, "http://x.net/bad?a=1&b=2", ""), (3, "http://safe.com/d/e/f", "<meta http-equiv=refresh content='0;url=../../a'>"),
+            (4, "http://lone.com", "<link rel=canonical href=k>"), (5, "http://lone.com/k", "<!-- <link rel=canonical href='http://y.net/'> -->"),
+            (6, "http://other.com/z", "x" * 200_000)]
+    got = {r.page_id: r.verdict for r in urls.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: "block", 2: "block", 3: "block", 4: "allow", 5: "allow", 6: "block"}
+
+
 # ---------------------------------------------------------------- toxicity
 
 def test_grammar_emits_patterns():
