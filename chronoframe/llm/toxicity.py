@@ -4,15 +4,19 @@ Small transducers read the word classes of a clause: insult, threat, target,
 negation and reported speech.  :func:`compose` builds their product, one table
 of transitions, and every insult or threat that it reads emits the state of
 the other transducers, that is the pattern it was matched in: aimed at
-someone, negated, reported.  A clause scores the weight of the lexicon entry
-times the factor of the pattern; words outside such patterns count nothing.
+someone, negated, reported.  A second transducer reads the clause from its end
+and turns a match into one that is aimed at someone if a target follows, so
+"i will kill you" matches like "you kill".  Each pattern sums the weights of the
+lexicon entries that were matched in it; words outside such patterns count
+nothing.
 
 The lexicon begins with fixed words and is extended by stems learned from
 labels: beginnings of words that stand in toxic documents behind many
 different words, so that copies of one document do not make stems, and hardly
 ever in clean ones.  A stem costs one prefix entry in the lexicon automaton.
-The sum of clause scores is calibrated to a probability on training rows that
-were scored with the stems of the other half of the training rows.
+The weights of the patterns are learned by logistic regression on the sums of the
+patterns, over training rows that were scored with the stems of the other half of
+the training rows; a pattern that the rows hardly show keeps its prior weight.
 """
 
 from __future__ import annotations
@@ -29,6 +33,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chronoframe.llm.common import materialize
+
 #: Fixed words by class; all lower case.
 INSULTS = ("idiot", "moron", "stupid", "scum", "loser", "trash", "worthless", "pathetic", "disgusting", "clown", "dumb",
            "imbecile", "idioten", "dummkopf", "trottel", "abschaum", "idiote", "imbécile", "débile", "ordure", "idiota",
@@ -41,9 +47,11 @@ NEGATIONS = ("not", "no", "never", "nobody", "isn't", "aren't", "don't", "nicht"
 REPORTS = ("said", "says", "wrote", "writes", "called", "claimed", "quoted", "reported", "sagte", "schrieb", "dit", "écrit",
            "dijo", "escribió")
 
-#: Weight of an entry that was not learned, and factors of the patterns.
+#: Weight of an entry that was not learned, and prior weights of the patterns.
 BASE_WEIGHT = 4.0
-FACTORS = {"plain": 1.0, "target": 1.25, "negated": 0.6, "reported": 0.7, "threat": 0.25, "threat_target": 1.25}
+PRIORS = {"plain": 3.0, "target": 4.0, "negated": 1.5, "reported": 1.5, "threat": 0.5, "threat_target": 4.0}
+PATTERNS = tuple(PRIORS)
+PRIOR_BIAS, PRIOR_PRECISION = -4.0, 0.05
 
 #: Training rows that are read at most, and the lengths and number of stems.
 SAMPLE_ROWS, STEM_LENGTHS, MAX_STEMS = 12_000, (4, 5, 6, 7), 2_000
@@ -70,17 +78,25 @@ class Grammar:
     """Product transducer: next state and emitted pattern for (state, class); state 0 begins a clause."""
 
     step: dict[tuple[int, str], tuple[int, str | None]] = field(default_factory=dict)
+    #: From the end of the clause: next state for (state, class), and the pattern that (state, pattern) becomes.
+    back: dict[tuple[int, str], int] = field(default_factory=dict)
+    aimed: dict[tuple[int, str], str] = field(default_factory=dict)
 
     def patterns(self, classes: list[str]) -> list[str | None]:
         state, out = 0, []
         for c in classes:
             state, emitted = self.step[state, c]
             out.append(emitted)
+        state = 0
+        for i in range(len(classes) - 1, -1, -1):
+            if out[i]:
+                out[i] = self.aimed.get((state, out[i]), out[i])
+            state = self.back[state, classes[i]]
         return out
 
 
 def compose() -> Grammar:
-    """Target, negation (three words) and report flags under the insult and threat emitters."""
+    """Target, negation (three words) and report flags under the insult and threat emitters, and the target flag from behind."""
     parts = [flag("target"), flag("negation", reach=3), flag("report")]
     states = list(itertools.product(*[range(n) for n, _ in parts]))
     index = {s: i for i, s in enumerate(states)}
@@ -95,16 +111,24 @@ def compose() -> Grammar:
             elif c == "threat":
                 out = "negated" if negated else "reported" if reported else "threat_target" if target else "threat"
             table[index[s], c] = index[after], out
-    return Grammar(table)
+    _, behind = flag("target")
+    return Grammar(table, behind, {(1, "plain"): "target", (1, "threat"): "threat_target"})
 
 
 @dataclass(frozen=True)
 class Model:
-    """Learned stems with their weights, and the calibration of the summed clause scores."""
+    """Learned stems with their weights, and the weights of the patterns."""
 
     stems: dict[str, float]
-    bias: float = -4.0
-    slope: float = 1.0
+    bias: float = PRIOR_BIAS
+    weights: dict[str, float] = field(default_factory=lambda: dict(PRIORS))
+
+    def score(self, sums: Column) -> Column:
+        """Probability from the sums of :data:`PATTERNS`."""
+        odds = F.lit(self.bias)
+        for i, p in enumerate(PATTERNS):
+            odds = odds + F.lit(self.weights[p]) * F.log1p(F.get(sums, F.lit(i)))
+        return 1 / (1 + F.exp(-odds))
 
 
 class Scorer:
@@ -128,22 +152,29 @@ class Scorer:
             return self.exact[w], max(best, BASE_WEIGHT)
         return ("insult", best) if best else (self.classes.get(w, "other"), 0.0)
 
-    def score(self, text: str) -> tuple[float, int]:
-        """Summed clause scores, and the number of clauses that matched."""
-        low, total, n, done = text.lower(), 0.0, 0, -1
+    def score(self, text: str) -> tuple[list[float], int]:
+        """Summed weights of the matches by pattern, and the number of clauses that matched."""
+        low, total, n, done = text.lower(), [0.0] * len(PATTERNS), 0, 0
         for end, size in self.finder.iter(low):
             begin = end - size + 1
-            if begin <= done or (begin and low[begin - 1].isalpha()):
+            if begin < done or (begin and low[begin - 1].isalpha()):
                 continue
-            left = max(low.rfind(c, 0, begin) for c in ".!?;:\n") + 1
+            left = max(low.rfind(c, done, begin) for c in ".!?;:\n") + 1 or done
             stop = _CLAUSE_END.search(low, end)
             right = stop.start() if stop else len(low)
             words = [self.word(w) for w in _WORD.findall(low, left, right)]
-            got = sum(x * FACTORS[p] for (_, x), p in zip(words, self.grammar.patterns([c for c, _ in words]), strict=True) if p)
-            total, n, done = total + got, n + (got > 0), right
+            got = 0.0
+            for (_, x), p in zip(words, self.grammar.patterns([c for c, _ in words]), strict=True):
+                if p:
+                    total[_PLACE[p]] += x
+                    got += x
+            n, done = n + (got > 0), right
         return total, n
 
 
+_PLACE = {p: i for i, p in enumerate(PATTERNS)}
+
+
 def held_out(key: Column) -> Column:
     return F.crc32(key.cast("string")) % 4 == 2
 
@@ -204,48 +235,58 @@ def hash_word(w: str) -> int:
 
 
 def _scored(docs: DataFrame, stems: dict[str, float], schema: str) -> DataFrame:
-    """First column: text; the others are passed on, followed by ``raw`` and ``clauses``."""
+    """First column: text; the others are passed on, followed by ``sums`` (of :data:`PATTERNS`) and ``clauses``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(stems)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 got = [scorer.score(t or "") for t in part.column(0).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array([x for x, _ in got], pa.float64()),
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array([x for x, _ in got], pa.list_(pa.float64())),
                                                   pa.array([n for _, n in got], pa.int64())],
-                                                 names=[*part.schema.names[1:], "raw", "clauses"])
-
-    return docs.mapInArrow(run, f"{schema}, raw double, clauses long")
-
-
-def calibrate(rows: list[tuple[float, int, int]]) -> tuple[float, float]:
-    """Logistic bias and slope from (score, rows, toxic rows); a small penalty keeps separable data finite."""
-    x = np.array([math.log1p(r[0]) for r in rows])
-    n, y = np.array([r[1] for r in rows], dtype=float), np.array([r[2] for r in rows], dtype=float)
-    w = np.array([-3.0, 2.0])
-    if not len(rows) or y.sum() == 0 or y.sum() == n.sum():
-        return -4.0, 3.0
-    a = np.stack([np.ones_like(x), x], axis=1)
-    prior, center = np.array([0.02, 0.02]), np.array([-4.0, 4.0])
-    for _ in range(60):
-        p = 1 / (1 + np.exp(-a @ w))
-        grad = a.T @ (y - n * p) - prior * (w - center)
-        hess = (a * (n * p * (1 - p))[:, None]).T @ a + np.diag(prior)
-        move = np.linalg.solve(hess, grad)
-        w = w + move * min(1.0, 2.0 / max(np.abs(move).max(), 1e-9))
-        if np.abs(move).max() < 1e-9:
-            break
-    return float(w[0]), max(float(w[1]), 0.1)
+                                                 names=[*part.schema.names[1:], "sums", "clauses"])
+
+    return docs.mapInArrow(run, f"{schema}, sums array<double>, clauses long")
+
+
+def pattern_weights(sums: np.ndarray, toxic: np.ndarray) -> tuple[float, dict[str, float]]:
+    """Bias and weight of each pattern by logistic regression on ``log1p`` of the sums; no weight is below 0.
+
+    The prior pulls weights to :data:`PRIORS`; it decides where the rows show
+    too little, and alone where they hold one class only.
+    """
+    center = np.array([PRIOR_BIAS, *PRIORS.values()])
+    w, free = center.copy(), np.ones(len(center), dtype=bool)
+    if len(toxic) and 0 < toxic.sum() < len(toxic):
+        a = np.column_stack([np.ones(len(sums)), np.log1p(sums)])
+        for _ in range(200):
+            p = 1 / (1 + np.exp(-np.clip(a @ w, -500, 500)))
+            grad = a.T @ (toxic - p) - PRIOR_PRECISION * (w - center)
+            free = (w > 0) | (grad > 0)
+            free[0] = True
+            hess = (a * (p * (1 - p))[:, None]).T @ a + PRIOR_PRECISION * np.eye(len(w))
+            move = np.zeros(len(w))
+            move[free] = np.linalg.solve(hess[np.ix_(free, free)], grad[free])
+            new = w + move * min(1.0, 2.0 / max(np.abs(move).max(), 1e-9))
+            new[1:] = np.maximum(new[1:], 0.0)
+            done = np.abs(new - w).max() < 1e-9
+            w = new
+            if done:
+                break
+    return float(w[0]), {p: float(x) for p, x in zip(PATTERNS, w[1:], strict=True)}
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
-    train = _train_rows(docs, labels, key, text, label)
+    """Stems and pattern weights from at most :data:`SAMPLE_ROWS` labelled rows, which are written once."""
+    train = materialize(_train_rows(docs, labels, key, text, label), "train")
     halves = [_scored(train.filter(f"half = {1 - h}").select("t", "y"), learn_stems(train.filter(f"half = {h}")), "y int")
               for h in (0, 1)]
-    # rounded scores: a table of bounded size
-    table = halves[0].unionByName(halves[1]).groupBy(F.round(F.least("raw", F.lit(200.0)), 1).alias("raw")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum((F.col("y") > 0).cast("int")).alias("bad")).collect()
-    return Model(learn_stems(train), *calibrate([(r["raw"], r["n"], r["bad"]) for r in table]))
+    # equal sums are one row
+    rows = halves[0].unionByName(halves[1]).groupBy("sums", (F.col("y") > 0).alias("y")).agg(F.count(F.lit(1)).alias("n")).collect()
+    sums = np.array([r["sums"] for r in rows]).reshape(len(rows), len(PATTERNS))
+    n = np.array([r["n"] for r in rows], dtype=np.int64)
+    bias, weights = pattern_weights(np.repeat(sums, n, axis=0), np.repeat(np.array([r["y"] for r in rows], dtype=float), n))
+    return Model(learn_stems(train), bias, weights)
 
 
 def score_documents(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", threshold: float = 0.3) -> DataFrame:
@@ -256,7 +297,6 @@ def score_documents(docs: DataFrame, model: Model, key: str = "doc_id", text: st
     """
     kind = docs.schema[key].dataType.simpleString()
     raw = _scored(docs.select(F.col(text).alias("t"), F.col(key).alias("k")), model.stems, f"k {kind}")
-    score = 1 / (1 + F.exp(-(F.lit(model.bias) + F.lit(model.slope) * F.log1p("raw"))))
-    out = raw.select("k", "clauses", score.alias("score"))
+    out = raw.select("k", "clauses", model.score(F.col("sums")).alias("score"))
     return out.select(F.col("k").alias(key), F.coalesce(held_out(F.col("k")), F.lit(False)).alias("held_out"), "score",
                       (F.col("score") >= threshold).cast("int").alias("predicted"), "clauses")

@@ -699,15 +699,68 @@ def test_grammar_emits_patterns():
     assert g.patterns(["threat"]) == ["threat"]
 
 
+def test_targets_may_follow():
+    g = toxicity.compose()
+    assert g.patterns(["other", "threat", "target"]) == [None, "threat_target", None]
+    assert g.patterns(["insult", "other", "target", "insult"]) == ["target", None, None, "target"]
+    assert g.patterns(["negation", "insult", "target"])[1] == "negated" and g.patterns(["report", "threat", "target"])[1] == "reported"
+
+
+def brute_patterns(classes):
+    """Each match by looking at the whole clause around it."""
+    out = []
+    for i, c in enumerate(classes):
+        before, behind = classes[:i], classes[i + 1:]
+        negated, reported, aimed = "negation" in before[-3:], "report" in before, "target" in before + behind
+        insult = "reported" if reported else "negated" if negated else "target" if aimed else "plain"
+        threat = "negated" if negated else "reported" if reported else "threat_target" if aimed else "threat"
+        out.append({"insult": insult, "threat": threat}.get(c))
+    return out
+
+
+def test_grammar_equals_a_search():
+    rng, g = random.Random(1), toxicity.compose()
+    for _ in range(2000):
+        classes = [rng.choice(toxicity._CLASSES) for _ in range(rng.randint(0, 9))]
+        assert g.patterns(classes) == brute_patterns(classes)
+
+
 def test_scores_matched_clauses_only():
     s = toxicity.Scorer({"lowei": 5.0})
-    plain, n = s.score("He is a Loweischaft.")
-    assert n == 1 and plain == 5.0 * toxicity.FACTORS["target"]
-    assert s.score("slowei trashy idiots unkilled")[0] == 0 and s.score("")[0] == 0
-    assert s.score("not stupid. stupid")[1] == 2
-    # a target counts only in its own clause
-    assert s.score("you. kill")[0] == toxicity.BASE_WEIGHT * toxicity.FACTORS["threat"] < s.score("you kill")[0]
-    assert s.score("you will not be idiot")[0] < s.score("you idiot")[0]
+
+    def sums(text):
+        total, n = s.score(text)
+        return {p: x for p, x in zip(toxicity.PATTERNS, total) if x}, n
+    assert sums("He is a Loweischaft.") == ({"target": 5.0}, 1)
+    assert sums("slowei trashy idiots unkilled") == sums("") == ({}, 0)
+    base = toxicity.BASE_WEIGHT
+    assert sums("not stupid. stupid") == ({"negated": base, "plain": base}, 2)
+    # a target counts only in its own clause, before the word or behind it
+    assert sums("you. kill") == ({"threat": base}, 1)
+    assert sums("you kill") == sums("i will kill you") == ({"threat_target": base}, 1)
+    assert sums("x! idiot, you; kill. he said kill") == ({"target": base, "threat": base, "reported": base}, 3)
+
+
+def test_pattern_weights_follow_the_rows():
+    rng = np.random.default_rng(5)
+    sums = np.zeros((4000, len(toxicity.PATTERNS)))
+    for i in range(4000):
+        if i % 2:
+            sums[i, rng.integers(0, 3)] = 4.0  # plain, target or negated
+    toxic = ((sums[:, 1] > 0) | (rng.random(4000) < 0.01)).astype(float)
+    bias, w = toxicity.pattern_weights(sums, toxic)
+    assert w["target"] > 3 and w["plain"] < 0.5 and w["negated"] < 0.5 and bias < -3
+    assert w["reported"] == pytest.approx(toxicity.PRIORS["reported"])  # never seen
+    assert toxicity.pattern_weights(sums[:5], np.zeros(5)) == (toxicity.PRIOR_BIAS, toxicity.PRIORS)
+
+
+def test_verdicts_depend_on_the_patterns(spark):
+    flat = toxicity.Model({}, -4.0, dict.fromkeys(toxicity.PATTERNS, 2.0))
+    rows = spark.createDataFrame([(1, "they kill the lights"), (2, "the lights kill"), (3, "he said idiot"), (4, "you idiot"), (5, "never stupid"), (6, None)],
+                                 "doc_id long, text string")
+    got = {r.doc_id: r.predicted for r in toxicity.score_documents(rows, toxicity.Model({})).collect()}
+    assert got == {1: 1, 2: 0, 3: 0, 4: 1, 5: 0, 6: 0}
+    assert len({r.score for r in toxicity.score_documents(rows, flat).collect()}) == 2  # without weights a match is a match
 
 
 def test_toxicity_held_out(spark):
