@@ -104,16 +104,18 @@ def link_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     some = pages.select(F.col(url).alias("u"), F.col(html).cast("string").alias("h")).filter(low.contains("canonical") | low.contains("refresh"))
     text = F.regexp_replace("h", r"(?s)<!--.*?(-->|$)", " ")
     tags = some.select("u", F.regexp_extract_all(text, F.lit(r"(?is)<(?:link|meta|base)\b[^>]*>"), F.lit(0)).alias("tags"))
-    base = F.element_at(F.concat(F.filter(F.transform(F.filter("tags", lambda t: t.rlike(r"(?is)^<base")), lambda t: _attribute(t, "href")),
-                                          lambda t: t != ""), F.array(F.lit(""))), 1)
-    own = F.when(base == "", F.col("u")).otherwise(F.coalesce(resolve(F.col("u"), base), F.col("u")))
-    rows = tags.select("u", own.alias("base"), F.explode("tags").alias("t"))
-    link = F.col("t").rlike(r"(?is)^<link") & F.array_contains(F.split(F.lower(_attribute(F.col("t"), "rel")), r"\s+"), "canonical")
-    fresh = F.col("t").rlike(r"(?is)^<meta") & (F.lower(_attribute(F.col("t"), "http-equiv")) == "refresh")
-    redirect = F.regexp_replace(F.regexp_extract(_attribute(F.col("t"), "content"), r"(?is)\burl\s*=\s*(.*)$", 1), r"(?s)^[\"']([^\"']*).*$", "$1")
-    found = rows.select("u", "base", F.when(link, _attribute(F.col("t"), "href")).when(fresh, F.trim(redirect)).alias("t")).filter("t != ''")
-    return found.select(url_key(F.col("u")).alias("a"), url_key(resolve(F.col("base"), F.col("t"))).alias("b")).filter(
-        "a IS NOT NULL AND b IS NOT NULL AND a != b")
+    bases = F.filter("tags", lambda t: t.rlike(r"(?is)^<base"))
+    based = tags.withColumn("first", F.get(bases, F.lit(0))).withColumn("href", F.when(F.col("first").isNotNull(), _attribute(F.col("first"), "href")))
+    own = F.when(F.coalesce("href", F.lit("")) == "", F.col("u")).otherwise(F.coalesce(resolve(F.col("u"), F.col("href")), F.col("u")))
+    rows = based.select("u", own.alias("base"), F.explode("tags").alias("t"))
+    # a step at a time, so that no value is worked out again for each of its uses
+    kinds = rows.select("u", "base", F.when(F.col("t").rlike(r"(?is)^<link"), F.lower(_attribute(F.col("t"), "rel"))).alias("rel"),
+                        F.when(F.col("t").rlike(r"(?is)^<meta"), F.lower(_attribute(F.col("t"), "http-equiv"))).alias("equiv"), "t")
+    link, fresh = F.array_contains(F.split("rel", r"\s+"), "canonical"), F.col("equiv") == "refresh"
+    wanted = kinds.filter(link | fresh).select("u", "base", F.when(link, _attribute(F.col("t"), "href")).otherwise(F.trim(F.regexp_replace(
+        F.regexp_extract(_attribute(F.col("t"), "content"), r"(?is)\burl\s*=\s*(.*)$", 1), r"(?s)^[\"']([^\"']*).*$", "$1"))).alias("t"))
+    found = wanted.filter("t != ''").select("u", resolve(F.col("base"), F.col("t")).alias("t"))
+    return found.select(url_key(F.col("u")).alias("a"), url_key(F.col("t")).alias("b")).filter("a IS NOT NULL AND b IS NOT NULL AND a != b")
 
 
 def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "page_id", url: str = "url",
