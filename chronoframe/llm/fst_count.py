@@ -16,8 +16,12 @@ position.  A chunk is a state map: after white space that follows a non-space
 the state no longer depends on what came before, so what lies behind that
 point is a constant map, evaluated at once for all chunks; what lies before it
 is evaluated at the exit state of the chunks to the left, which a prefix scan
-over the maps supplies.  Chunks without such a point pass their entry on and
-take further rounds.
+over the maps supplies.  Chunks without such a point are maps as well, worked out
+for the entry states that can reach them: all at once, first from a guess, then
+from the exits that their left neighbours' maps have so far.  Entry states forget
+what lies far behind, so two rounds settle almost every chunk; equal chunks share
+a map, so a run of one character needs as many rounds as it has states.  The scan
+then composes the maps from left to right.
 """
 
 from __future__ import annotations
@@ -111,6 +115,42 @@ class BpeMachine:
         return state, total
 
 
+class Sparse:
+    """Transitions by (state, character) for the characters without a column: open addressing in arrays."""
+
+    def __init__(self, bits: int = 17):
+        self.keys, self.values, self.n = np.full(1 << bits, -1, dtype=np.int64), np.zeros(1 << bits, dtype=np.int64), 0
+
+    def _spots(self, keys: np.ndarray) -> np.ndarray:
+        """Place of each key, or the free place for it."""
+        mask = np.int64(len(self.keys) - 1)
+        with np.errstate(over="ignore"):
+            at = ((keys * np.int64(-7046029254386353131)) >> np.int64(20)) & mask
+        todo = np.arange(len(keys))
+        while len(todo):
+            there = self.keys[at[todo]]
+            todo = todo[(there != -1) & (there != keys[todo])]
+            at[todo] = (at[todo] + 1) & mask
+        return at
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """Values, 0 where unknown."""
+        at = self._spots(keys)
+        return np.where(self.keys[at] == keys, self.values[at], 0)
+
+    def put(self, key: int, value: int) -> None:
+        if 2 * self.n >= len(self.keys):
+            old = self.keys != -1
+            keys, values = self.keys[old], self.values[old]
+            self.__init__(len(self.keys).bit_length())
+            for k, v in zip(keys, values, strict=True):
+                self.put(k, v)
+        one = np.array([key], dtype=np.int64)
+        at = self._spots(one)[0]
+        self.n += self.keys[at] != key
+        self.keys[at], self.values[at] = key, value
+
+
 class TextMachine:
     """The whole transducer: split pattern around :class:`BpeMachine`."""
 
@@ -129,7 +169,7 @@ class TextMachine:
         self.bpe = BpeMachine(self.spec["model"]["vocab"], self.spec["model"]["merges"])
         self.numbers: dict[bytes, int] = {}
         self.states: list[bytes] = [b""]  # serialised, as they are many; numbers begin at 1
-        self.rare: dict[tuple[int, int], int] = {}
+        self.rare = Sparse()
         self.table = np.zeros((MAX_STATES, COLUMNS), dtype=np.int32)  # pages are taken when first written
         self.column = np.full(0x110000, -1, dtype=np.int16)
         self.space = np.zeros(0x110000, dtype=bool)
@@ -218,8 +258,11 @@ class TextMachine:
             spot = at[:n] + t
             col = codes[spot]
             got = self.table[now[:n], col]
-            miss = np.flatnonzero((got == 0) | (col == COLUMNS - 1))
-            for i in miss.tolist():
+            far = np.flatnonzero(col == COLUMNS - 1)
+            if len(far):
+                got = got.astype(np.int64)
+                got[far] = self.rare.get((now[far] << 21) | points[spot[far]])
+            for i in np.flatnonzero(got == 0).tolist():
                 s, p, c = int(now[i]), int(points[spot[i]]), int(col[i])
                 if c < COLUMNS - 1:
                     if not self.table[s, c]:
@@ -227,18 +270,60 @@ class TextMachine:
                         self.table[s, c] = found
                     got[i] = self.table[s, c]
                 else:
-                    if (s, p) not in self.rare:
-                        self.rare[s, p] = self._fill(s, p)
-                    got[i] = self.rare[s, p]
+                    found = int(self.rare.get(np.array([s << 21 | p]))[0])
+                    if not found:
+                        found = self._fill(s, p)
+                        self.rare.put(s << 21 | p, found)
+                    got[i] = found
             now[:n] = got >> 8
             total[:n] += (got & 255) - _ZERO
         exits, sums = np.empty_like(now), np.empty_like(total)
         exits[order], sums[order] = now, total
         return exits, sums
 
+    def _compose(self, points: np.ndarray, codes: np.ndarray, begin: np.ndarray, end: np.ndarray, number: np.ndarray, free: np.ndarray,
+                 entry: np.ndarray, exits: np.ndarray, sums: np.ndarray) -> None:
+        """Exits and sums of the chunks ``free``, whose maps depend on their entry.
+
+        ``maps`` holds exit and sum by (content, entry state).  Each round works
+        out, in one run of all lanes, the pairs that the chunks would need if
+        their left neighbours left as their maps say so far; the pass from left
+        to right is done when every pair it meets is known.  The first unknown
+        chunk of a pass always has its true entry, so a round settles one more
+        chunk at least.
+        """
+        content: dict[bytes, int] = {}
+        kinds = [content.setdefault(points[a:b].tobytes(), len(content)) for a, b in zip(begin[free].tolist(), end[free].tolist(), strict=True)]
+        maps: dict[tuple[int, int], tuple[int, int]] = {}
+        guess: dict[int, int] = {}  # content -> an exit it has had
+        while True:
+            need: dict[tuple[int, int], int] = {}
+            left_of: dict[int, int] = {}  # chunk -> exit assumed so far
+            for i, kind in zip(free.tolist(), kinds, strict=True):
+                if number[i]:
+                    at = left_of[i - 1] if i - 1 in left_of else int(exits[i - 1])
+                else:
+                    at = self.start
+                entry[i] = at
+                known = maps.get((kind, at))
+                if known is None:
+                    need.setdefault((kind, at), i)
+                    left_of[i] = guess.get(kind, self.start)
+                else:
+                    left_of[i] = known[0]
+            if not need:
+                break
+            lanes = np.array(list(need.values()))
+            after, more = self.run(points, codes, begin[lanes], (end - begin)[lanes], np.array([at for _, at in need]))
+            for (kind, at), x, y in zip(need, after.tolist(), more.tolist(), strict=True):
+                maps[kind, at] = (x, y)
+                guess[kind] = x
+        for i, kind in zip(free.tolist(), kinds, strict=True):
+            exits[i], sums[i] = maps[kind, int(entry[i])]
+
     def count(self, texts: list[str], chunk: int = CHUNK_CHARS) -> np.ndarray:
         """Number of tokens of every text."""
-        if len(self.states) > MAX_STATES * 9 // 10 or len(self.rare) > MAX_STATES or len(self.bpe.pairs) > 4 * MAX_STATES:
+        if len(self.states) > MAX_STATES * 9 // 10 or self.rare.n > MAX_STATES or len(self.bpe.pairs) > 4 * MAX_STATES:
             self.reset()
         parts, owner = [], []
         out = np.zeros(len(texts), dtype=np.int64)
@@ -268,17 +353,14 @@ class TextMachine:
         exits = np.full(len(begin), self.start, dtype=np.int64)
         sums = np.zeros(len(begin), dtype=np.int64)
         exits[fixed], sums[fixed] = self.run(points, codes, sync[fixed], (end - sync)[fixed], exits[fixed])
-        # scan: entry of a chunk is the exit of its left neighbour, once that is known
-        known, todo = fixed.copy(), number > 0
-        while todo.any():
-            ready = np.flatnonzero(todo & np.concatenate([[False], known[:-1]]))
-            head = np.where(fixed, sync, end)[ready] - begin[ready]
-            after, more = self.run(points, codes, begin[ready], head, exits[ready - 1])
-            sums[ready] += more
-            passing = ~fixed[ready]
-            exits[ready[passing]] = after[passing]
-            known[ready] = True
-            todo[ready] = False
+        entry = np.full(len(begin), self.start, dtype=np.int64)
+        free = np.flatnonzero(~fixed)
+        if len(free):
+            self._compose(points, codes, begin, end, number, free, entry, exits, sums)
+        # every exit is known now: what lies before the points where the state is known
+        head = np.flatnonzero(fixed & (number > 0))
+        _, more = self.run(points, codes, begin[head], (sync - begin)[head], exits[head - 1])
+        sums[head] += more
         np.add.at(out, np.repeat(np.array(owner), chunks), sums)
         return out
 

@@ -285,6 +285,35 @@ def test_transducer_counts_like_the_library(texts):
         assert machine.count(odd, chunk).tolist() == want
 
 
+def test_maps_of_chunks_compose():
+    from tokenizers import Tokenizer
+    library = Tokenizer.from_file(tokenizer_path(fst_count.VOCABULARY))
+    rng = random.Random(2)
+    odd = ["".join(rng.choice("etaoin") for _ in range(3000)), "a" * 2500 + "ab" * 900, "=" * 2000, " " * 1500 + "x", "\n \t" * 500,
+           "".join(chr(rng.randint(0x4E00, 0x5200)) for _ in range(900)), "ab1" * 700 + " tail of words", "word " + "z" * 1100 + " word " * 50]
+    want = [len(e.ids) for e in library.encode_batch(odd, add_special_tokens=False)]
+    machine = fst_count.TextMachine(tokenizer_path(fst_count.VOCABULARY))
+    for chunk in (1, 7, 100):
+        assert machine.count(odd, chunk).tolist() == want
+    # a run of letters takes a few rounds over all chunks at once, not one for each chunk
+    rounds = []
+    run = machine.run
+    machine.run = lambda points, codes, begin, length, state: rounds.append(len(begin)) or run(points, codes, begin, length, state)
+    assert machine.count(["".join(rng.choice("etaoin") for _ in range(40_000))], 100).tolist()[0] > 0
+    assert len(rounds) < 12 and max(rounds) >= 399
+
+
+def test_sparse_transitions():
+    table, want = fst_count.Sparse(bits=3), {}
+    rng = random.Random(3)
+    for _ in range(2000):
+        k = rng.randint(0, 900) << 21 | rng.randint(0, 40)
+        want[k] = rng.randint(1, 1 << 40)
+        table.put(k, want[k])
+    keys = np.array(list(want) + [5 << 40])
+    assert table.get(keys).tolist() == [*want.values(), 0] and table.n == len(want)
+
+
 def test_token_counts_odd_rows(spark):
     from tokenizers import Tokenizer
     library = Tokenizer.from_file(tokenizer_path(fst_count.VOCABULARY))
