@@ -1,16 +1,20 @@
 """Approximate nearest neighbours by cross-polytope hashing.
 
-Every table turns unit vectors by its own pseudo-rotation (three rounds of
+Every table turns unit vectors by its own pseudo-rotations (three rounds of
 random signs and a fast Hadamard transform) and assigns them to the nearest
-signed axis; a second rotation over fewer axes refines the bucket.  Queries
-probe, in each table, the buckets whose axes they miss by least.  Candidates
-are scored exactly, in double precision, where their bucket lies, and only the
-best of each bucket leave it.
+signed axis of each; the axes together are the bucket.  The number of rotations
+follows the number of vectors, so a bucket keeps about one to two of them at
+any size.  Queries probe, in each table, the buckets whose axes they miss by
+least; the vectors looked at grow with the 0.4th power of the table, so the
+share of it that is scored falls as it grows.  Candidates are scored exactly, in
+double precision, where their bucket lies, and only the best of each group of
+buckets leave it.
 
 Equal vectors are one class in the index, so a vector with any number of
 copies costs one entry; a class keeps its smallest keys, as ties go to those.
-Buckets and their queries are split by salt above a bound.  The second
-rotation grows with the number of classes, which holds buckets at a like size.
+Groups of buckets and their queries are split by salt above a bound.  Vectors
+of all lengths go through one plan: length and number of its vectors travel
+with each row, and the settings are worked out from them where they are needed.
 """
 
 from __future__ import annotations
@@ -18,35 +22,50 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoframe.llm.common import materialize
 
-TABLES, GROUP_ROWS = 24, 4096
+#: Tables, rows of a group of buckets, classes to a bucket, and classes to look at in one table of 10,000.
+TABLES, GROUP_ROWS, BUCKET_ROWS, LOOK = 40, 4096, 1, 32
 
 
 @dataclass(frozen=True)
 class Settings:
-    dim: int      # padded to a power of two
-    fine: int     # axes of the second rotation
+    width: int                # padded to a power of two
+    axes: tuple[int, ...]     # signed axes of each rotation
     probes: int
-    tables: int = TABLES
+    inner: int                # buckets of a group
 
-
-def settings(classes: int, dim: int, tables: int = TABLES) -> Settings:
-    """About eight classes to a bucket; finer buckets need more probes for the same recall."""
-    width = 1 << max(dim - 1, 1).bit_length()
-    fine = 1
-    while fine < width and 2 * width * 2 * fine * 8 < classes:
-        fine *= 2
-    return Settings(width, fine, round(20 * fine ** 0.25 + fine), tables)
+    @property
+    def buckets(self) -> int:
+        return math.prod(self.axes)
 
 
-def _rotate(x: np.ndarray, seed: int) -> np.ndarray:
+@lru_cache(maxsize=1024)
+def settings(classes: int, dim: int) -> Settings:
+    """Rotations until a bucket holds ``BUCKET_ROWS`` to twice as many classes, and the probes for them."""
+    width = 1 << max(dim - 1, 1).bit_length()
+    left, axes = max(2.0, classes / BUCKET_ROWS), []
+    while left >= 2:
+        axes.append(min(2 * width, 1 << int(math.log2(left))))
+        left /= axes[-1]
+    buckets, inner = math.prod(axes), 1
+    for n in reversed(axes[1:]):
+        if inner * n * classes > GROUP_ROWS * buckets:
+            break
+        inner *= n
+    look = LOOK * (classes / 10_000) ** 0.4
+    return Settings(width, tuple(axes), min(buckets, math.ceil(max(look, 8.0) * buckets / classes)), inner)
+
+
+def _rotate(x: np.ndarray, seed: list[int]) -> np.ndarray:
     rng = np.random.default_rng(seed)
     n, d = x.shape
     for _ in range(3):
@@ -65,35 +84,52 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return np.stack([x, -x], axis=2).reshape(len(x), -1)
 
 
-def _unit(vectors: list[list[float]], width: int) -> np.ndarray:
-    x = np.array(vectors, dtype=np.float64)
+def _unit(x: np.ndarray, width: int) -> np.ndarray:
     # scaled first, so that neither huge nor tiny components overflow the norm
     x = x / np.abs(x).max(axis=1, keepdims=True)
     x = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
     return np.pad(x, ((0, 0), (0, width - x.shape[1])))
 
 
-def axes(x: np.ndarray, s: Settings, table: int) -> tuple[np.ndarray, np.ndarray]:
-    """Scores of all signed axes under both rotations of a table."""
-    return _signed(_rotate(x, 2 * table + 1)), _signed(_rotate(x, 2 * table + 2)[:, : s.fine])
+def _axes(x: np.ndarray, s: Settings, table: int) -> Iterator[np.ndarray]:
+    """Scores of the signed axes under each rotation of a table."""
+    for j, n in enumerate(s.axes):
+        yield _signed(_rotate(x, [table, j])[:, : n // 2])
 
 
-def probe(x: np.ndarray, s: Settings, table: int) -> np.ndarray:
-    """For every row the buckets ``axis * 2 * fine + fine axis`` to look into, nearest first."""
-    a, b = axes(x, s, table)
-    miss = ((a.max(axis=1, keepdims=True) - a) ** 2)[:, :, None] + ((b.max(axis=1, keepdims=True) - b) ** 2)[:, None, :]
-    miss = miss.reshape(len(x), -1)
-    n = min(s.probes, miss.shape[1])
-    near = np.argpartition(miss, n - 1, axis=1)[:, :n]
-    return np.take_along_axis(near, np.argsort(np.take_along_axis(miss, near, axis=1), axis=1, kind="stable"), axis=1)
+def bucket(x: np.ndarray, s: Settings, table: int) -> np.ndarray:
+    """Bucket of every row: its nearest signed axes, read as the digits of a number."""
+    code = np.zeros(len(x), np.int64)
+    for a in _axes(x, s, table):
+        code = code * a.shape[1] + a.argmax(axis=1)
+    return code
 
 
-def cosines(q: np.ndarray, members: np.ndarray) -> np.ndarray:
-    """Cosine of one vector with each row; a row's value doesn't depend on the other rows."""
-    top = np.abs(q).max()
-    q, tops = q / top, np.abs(members).max(axis=1, keepdims=True)
-    m = members / tops
-    return (m * q).sum(axis=1) / (np.sqrt((q * q).sum()) * np.sqrt((m * m).sum(axis=1)))
+def _least(cost: np.ndarray, n: int) -> np.ndarray:
+    return np.argpartition(cost, n - 1, axis=1)[:, :n] if n < cost.shape[1] else np.broadcast_to(np.arange(cost.shape[1]), cost.shape)
+
+
+def probe(x: np.ndarray, s: Settings, table: int) -> np.ndarray:
+    """For every row the ``s.probes`` buckets that it misses by least, in no order.
+
+    The best sums over some rotations begin with best sums over fewer of them,
+    so each rotation extends the best beginnings only.
+    """
+    cost, code = np.zeros((len(x), 1)), np.zeros((len(x), 1), np.int64)
+    for a in _axes(x, s, table):
+        miss = (a.max(axis=1, keepdims=True) - a) ** 2
+        axis = _least(miss, min(s.probes, a.shape[1]))
+        total = (cost[:, :, None] + np.take_along_axis(miss, axis, 1)[:, None, :]).reshape(len(x), -1)
+        codes = (code[:, :, None] * a.shape[1] + axis[:, None, :]).reshape(len(x), -1)
+        near = _least(total, min(s.probes, total.shape[1]))
+        cost, code = np.take_along_axis(total, near, 1), np.take_along_axis(codes, near, 1)
+    return code
+
+
+def _scaled(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows with largest component 1, and their norms."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x, np.sqrt((x * x).sum(axis=1))
 
 
 def valid_vectors(rows: DataFrame, key: str, vector: str) -> DataFrame:
@@ -105,80 +141,106 @@ def valid_vectors(rows: DataFrame, key: str, vector: str) -> DataFrame:
         F.col("id").isNotNull() & F.coalesce(fine, F.lit(False))).distinct()
 
 
-def _index(classes: DataFrame, s: Settings, kind: str) -> DataFrame:
+def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Vectors of one length as rows of doubles."""
+    flat = pc.list_flatten(column).to_numpy(zero_copy_only=False) if isinstance(column, pa.Array) else pc.list_flatten(column).to_numpy()
+    return flat.astype(np.float64).reshape(len(column), -1)
+
+
+def _by_length(batches: Iterator[pa.RecordBatch], cells: int) -> Iterator[tuple[pa.RecordBatch, Settings]]:
+    """Parts of the batches with vectors of one length, of at most about ``cells`` numbers, and their settings."""
+    for batch in batches:
+        for d in pc.unique(batch.column("d")).to_pylist():
+            own = batch.filter(pc.equal(batch.column("d"), d))
+            s = settings(own.column("n")[0].as_py(), d)
+            step = max(1, cells // max(s.width, s.probes * min(s.probes, 2 * s.width)))
+            for at in range(0, own.num_rows, step):
+                yield own.slice(at, step), s
+
+
+_CELLS = 1 << 20
+
+
+def _index(classes: DataFrame, tables: int, kind: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                x = _unit(part.column(2).to_pylist(), s.dim)
-                for t in range(s.tables):
-                    a, b = axes(x, s, t)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(x), t, np.int32)), pa.array(a.argmax(axis=1).astype(np.int32)),
-                         pa.array(b.argmax(axis=1).astype(np.int32)), *part.columns],
-                        names=["table", "axis", "fine", "cid", "low", "vec"])
+        for part, s in _by_length(batches, _CELLS):
+            x = _unit(_matrix(part.column("vec")), s.width)
+            for t in range(tables):
+                code = bucket(x, s, t)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("d"), pa.array(np.full(len(x), t, np.int32)), pa.array(code // s.inner), pa.array(code % s.inner),
+                     part.column("cid"), part.column("low"), part.column("vec")],
+                    names=["d", "table", "area", "fine", "cid", "low", "vec"])
 
-    return classes.select("cid", "low", "vec").mapInArrow(run, f"table int, axis int, fine int, cid long, low long, vec {kind}")
+    return classes.select("d", "n", "cid", "low", "vec").mapInArrow(
+        run, f"d int, table int, area long, fine long, cid long, low long, vec {kind}")
 
 
-def _probes(queries: DataFrame, s: Settings, kind: str) -> DataFrame:
+def _probes(queries: DataFrame, tables: int, kind: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                part = batch.slice(at, 128)
-                x = _unit(part.column(1).to_pylist(), s.dim)
-                for t in range(s.tables):
-                    found = probe(x, s, t)
-                    rows = []
-                    for i, buckets in enumerate(found):
-                        for axis in np.unique(buckets // (2 * s.fine)).tolist():
-                            rows.append((i, axis, (buckets[buckets // (2 * s.fine) == axis] % (2 * s.fine)).tolist()))
-                    who = pa.array([r[0] for r in rows], pa.int64())
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(rows), t, np.int32)), pa.array([r[1] for r in rows], pa.int32()),
-                         pa.array([r[2] for r in rows], pa.list_(pa.int32())), part.column(0).take(who), part.column(1).take(who)],
-                        names=["table", "axis", "fines", "qid", "vec"])
-
-    return queries.select("cid", "vec").mapInArrow(run, f"table int, axis int, fines array<int>, qid long, vec {kind}")
+        for part, s in _by_length(batches, _CELLS):
+            x = _unit(_matrix(part.column("vec")), s.width)
+            for t in range(tables):
+                code = np.sort(probe(x, s, t), axis=1)
+                area, who = (code // s.inner).ravel(), np.repeat(np.arange(len(x)), code.shape[1])
+                first = np.flatnonzero(np.r_[True, (area[1:] != area[:-1]) | (who[1:] != who[:-1])])
+                fines = pa.ListArray.from_arrays(pa.array(np.r_[first, len(area)].astype(np.int32)), pa.array((code % s.inner).ravel()))
+                at = pa.array(who[first])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("d").take(at), pa.array(np.full(len(first), t, np.int32)), pa.array(area[first]), fines,
+                     part.column("cid").take(at), part.column("vec").take(at)],
+                    names=["d", "table", "area", "fines", "qid", "vec"])
+
+    return queries.select("d", "n", "cid", "vec").mapInArrow(
+        run, f"d int, table int, area long, fines array<long>, qid long, vec {kind}")
 
 
 def _rerank(members: DataFrame, probes: DataFrame, keep: int) -> DataFrame:
-    """``qid``, ``cid``, ``low``, ``score``: the best ``keep`` classes of each query in each group."""
-    size = lambda df, n: df.groupBy("table", "axis").agg(
-        F.ceil(F.count(F.lit(1)) / GROUP_ROWS).cast("int").alias(n))
-    # at most tables x signed axes rows
-    ms, qs = F.broadcast(size(members, "ms")), F.broadcast(size(probes, "qs"))
-    left = (members.join(qs, ["table", "axis"]).join(ms, ["table", "axis"])
-            .withColumn("mi", F.pmod(F.xxhash64("cid"), "ms").cast("int")).withColumn("qi", F.explode(F.sequence(F.lit(0), F.col("qs") - 1)))
-            .select("table", "axis", "mi", "qi", "fine", "cid", "low", "vec"))
-    right = (probes.join(ms, ["table", "axis"]).join(qs, ["table", "axis"])
-             .withColumn("qi", F.pmod(F.xxhash64("qid"), "qs").cast("int")).withColumn("mi", F.explode(F.sequence(F.lit(0), F.col("ms") - 1)))
-             .select("table", "axis", "mi", "qi", "fines", "qid", "vec"))
+    """``qid``, ``cid``, ``low``, ``score``: the best ``keep`` classes of each query in each group of buckets."""
+    place = ["d", "table", "area"]
+    size = lambda df, n: df.groupBy(*place).agg(F.ceil(F.count(F.lit(1)) / GROUP_ROWS).cast("int").alias(n))
+    # only groups to be split are listed; a place that isn't has one part
+    ms, qs = size(members, "ms").filter("ms > 1"), size(probes, "qs").filter("qs > 1")
+    one = lambda c: F.coalesce(F.col(c), F.lit(1))
+    both = lambda df: df.join(qs, place, "left").join(ms, place, "left").withColumns({"ms": one("ms"), "qs": one("qs")})
+    left = (both(members).withColumn("mi", F.pmod(F.xxhash64("cid"), "ms").cast("int"))
+            .withColumn("qi", F.explode(F.sequence(F.lit(0), F.col("qs") - 1)))
+            .select(*place, "mi", "qi", "fine", "cid", "low", "vec"))
+    right = (both(probes).withColumn("qi", F.pmod(F.xxhash64("qid"), "qs").cast("int"))
+             .withColumn("mi", F.explode(F.sequence(F.lit(0), F.col("ms") - 1)))
+             .select(*place, "mi", "qi", "fines", "qid", "vec"))
 
     def best(a: pa.Table, b: pa.Table) -> pa.Table:
-        out: list[list] = [[], [], [], []]
+        found: list[tuple] = []
         if a.num_rows and b.num_rows:
+            a = a.sort_by("fine")
             fine, cid, low = (a.column(c).to_numpy() for c in ("fine", "cid", "low"))
-            x = np.array(a.column("vec").to_pylist(), dtype=np.float64)
-            order = np.argsort(fine, kind="stable")
-            fine, cid, low, x = fine[order], cid[order], low[order], x[order]
-            for qid, fines, q in zip(b.column("qid").to_pylist(), b.column("fines").to_pylist(), b.column("vec").to_pylist(), strict=True):
-                if fines is None:
-                    spots = np.arange(len(fine))
+            x, norm = _scaled(_matrix(a.column("vec")))
+            # as many queries at once as keep their pairs within bounds
+            step = max(1, _CELLS * 4 // (a.num_rows * x.shape[1]))
+            for at in range(0, b.num_rows, step):
+                part = b.slice(at, step)
+                q, qnorm = _scaled(_matrix(part.column("vec")))
+                lists = part.column("fines")
+                if lists.null_count:  # queries for all members
+                    spots, who = np.tile(np.arange(len(fine)), len(q)), np.repeat(np.arange(len(q)), len(fine))
                 else:
-                    wanted = np.array(fines)
+                    wanted, owner = pc.list_flatten(lists).to_numpy(), pc.list_parent_indices(lists).to_numpy()
                     begin, end = np.searchsorted(fine, wanted, "left"), np.searchsorted(fine, wanted, "right")
-                    spots = np.concatenate([np.arange(i, j) for i, j in zip(begin, end, strict=True)])
+                    n = end - begin
+                    spots = np.repeat(begin - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+                    who = np.repeat(owner, n)
                 if not len(spots):
                     continue
-                score = cosines(np.array(q, dtype=np.float64), x[spots])
-                top = np.lexsort((low[spots], -score))[:keep]
-                for column, values in zip(out, ([qid] * len(top), cid[spots[top]], low[spots[top]], score[top]), strict=True):
-                    column.extend(values)
-        return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()),
-                         pa.array(out[3], pa.float64())], names=["qid", "cid", "low", "score"])
-
-    keys = ["table", "axis", "mi", "qi"]
+                score = (x[spots] * q[who]).sum(axis=1) / (qnorm[who] * norm[spots])
+                order = np.lexsort((low[spots], -score, who))
+                who, spots, score = who[order], spots[order], score[order]
+                top = np.arange(len(who)) - np.searchsorted(who, who, "left") < keep
+                found.append((part.column("qid").to_numpy()[who[top]], cid[spots[top]], low[spots[top]], score[top]))
+        columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 3 + [np.zeros(0)]
+        return pa.table(columns, names=["qid", "cid", "low", "score"])
+
+    keys = [*place, "mi", "qi"]
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(best, "qid long, cid long, low long, score double")
 
 
@@ -195,37 +257,30 @@ def nearest(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", eve
     valid = materialize(valid_vectors(rows, key, vector), "vectors")
     kind = valid.schema["vec"].dataType.simpleString()
     few = Window.partitionBy("vec").orderBy("id")
-    classes = materialize(
-        valid.withColumn("i", F.row_number().over(few)).filter(F.col("i") <= k + 1)  # bounded copies, before they meet
-        .groupBy("vec").agg(F.min("id").alias("low"), F.sort_array(F.collect_list("id")).alias("ids"))
-        .withColumn("cid", F.xxhash64("vec")).withColumn("d", F.size("vec")), "classes")
+    sets = (valid.withColumn("i", F.row_number().over(few)).filter(F.col("i") <= k + 1)  # bounded copies, before they meet
+            .groupBy("vec").agg(F.min("id").alias("low"), F.sort_array(F.collect_list("id")).alias("ids"))
+            .withColumn("cid", F.xxhash64("vec")).withColumn("d", F.size("vec")))
+    alone = materialize(sets, "sets")
+    lengths = materialize(alone.groupBy("d").agg(F.count(F.lit(1)).alias("n")), "lengths")
+    classes = alone.join(lengths, "d")
     asked = materialize(valid.filter(F.col("id") % every == 0).withColumn("cid", F.xxhash64("vec")), "queries")
-    distinct = asked.select("cid", "vec").distinct().withColumn("d", F.size("vec"))
-    parts = []
-    counts = {r["d"]: r["n"] for r in classes.groupBy("d").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per length
-    for d, n in sorted(counts.items()):
-        s = settings(n, d, tables)
-        own, ask = classes.filter(F.col("d") == d), distinct.filter(F.col("d") == d)
-        found = materialize(_rerank(_index(own, s, kind), _probes(ask, s, kind), k + 1), "found")
-        # the query's own class may hold nothing but the query
-        seen = found.join(own.select("cid", F.size("ids").alias("copies")), "cid").groupBy("qid", "cid").agg(
-            F.max("copies").alias("copies")).groupBy("qid").agg(F.sum("copies").alias("rows"))
-        rare = materialize(ask.join(seen.filter(F.col("rows") > k), ask["cid"] == seen["qid"], "left_anti"), "rare")
-        blocks = max(1, math.ceil(n / GROUP_ROWS))
-        flat = own.select(F.lit(0).alias("table"), F.pmod(F.xxhash64("cid"), F.lit(blocks)).cast("int").alias("axis"),
-                          F.lit(0).alias("fine"), "cid", "low", "vec")
-        all_ = rare.select(F.lit(0).alias("table"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("axis"),
-                           F.lit(None).cast("array<int>").alias("fines"), F.col("cid").alias("qid"), "vec")
-        parts.append(found if rare.isEmpty() else found.unionByName(_rerank(flat, all_, k + 1)))
-    if not parts:
-        return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
+    distinct = asked.select("cid", "vec").distinct().withColumn("d", F.size("vec")).join(lengths, "d")
+    found = materialize(_rerank(_index(classes, tables, kind), _probes(distinct, tables, kind), k + 1), "found")
+    # the query's own class may hold nothing but the query
+    seen = found.select("qid", "cid").distinct().join(alone.select("cid", F.size("ids").alias("copies")), "cid").groupBy("qid").agg(
+        F.sum("copies").alias("rows"))
+    rare = materialize(distinct.join(seen.filter(F.col("rows") > k), distinct["cid"] == seen["qid"], "left_anti"), "rare")
+    if not rare.isEmpty():
+        blocks = F.ceil(F.col("n") / GROUP_ROWS).cast("long")
+        flat = classes.join(rare.select("d").distinct(), "d", "left_semi").select(
+            "d", F.lit(0).alias("table"), F.pmod(F.xxhash64("cid"), blocks).alias("area"), F.lit(0).cast("long").alias("fine"), "cid", "low", "vec")
+        all_ = rare.select("d", F.lit(0).alias("table"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("area"),
+                           F.lit(None).cast("array<long>").alias("fines"), F.col("cid").alias("qid"), "vec")
+        found = found.unionByName(_rerank(flat, all_, k + 1))
     ranked = Window.partitionBy("qid").orderBy(F.desc("score"), "low")
     best = (found.groupBy("qid", "cid").agg(F.max("score").alias("score"), F.min("low").alias("low"))
             .withColumn("i", F.row_number().over(ranked)).filter(F.col("i") <= k + 1))
-    wide = (best.join(classes.select("cid", "ids"), "cid").select("qid", "score", F.explode("ids").alias("vec_id"))
+    wide = (best.join(alone.select("cid", "ids"), "cid").select("qid", "score", F.explode("ids").alias("vec_id"))
             .join(asked.select(F.col("id").alias("query_id"), F.col("cid").alias("qid")), "qid").filter("vec_id != query_id"))
     final = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return wide.withColumn("rank", F.row_number().over(final)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

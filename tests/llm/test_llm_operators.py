@@ -500,6 +500,54 @@ def test_nearest_few_rows(spark):
     assert ann.nearest(df.filter("vec_id < 0")).count() == 0
 
 
+def test_nearest_many_lengths(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=1 + i % 40).tolist()) for i in range(600)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in sorted(ann.nearest(df, every=10, k=3).collect(), key=lambda r: (r.query_id, r.rank)):
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    same = {q: brute_nearest([x for x in rows if len(x[1]) == len(rows[q][1])], 10, 3)[q] for q in range(0, 600, 10)}
+    assert got.keys() == same.keys() and all(len(v) == 3 for v in got.values())
+    hits = sum(len({i for i, _ in got[q]} & set(same[q])) for q in same)
+    assert hits >= 0.9 * 3 * len(same)
+    for q, found in got.items():
+        for i, score in found:
+            v, w = np.array(rows[q][1]), np.array(rows[i][1])
+            assert len(v) == len(w) and abs(score - v @ w / np.sqrt((v @ v) * (w @ w))) < 1e-12
+
+
+@pytest.mark.parametrize(("n", "share"), [(2000, 0.5), (8000, 0.3), (32000, 0.15)])
+def test_hashing_recall_and_falling_share(n, share):
+    x = ann._unit(np.random.default_rng(n).normal(size=(n, 64)), 64)
+    s = ann.settings(n, 64)
+    queries = np.arange(0, n, n // 40)
+    exact = x[queries] @ x.T
+    exact[np.arange(len(queries)), queries] = -2
+    want = np.argsort(-exact, axis=1)[:, :5]
+    seen, scored = np.zeros((len(queries), n), bool), 0
+    for t in range(ann.TABLES):
+        code, probes = ann.bucket(x, s, t), ann.probe(x[queries], s, t)
+        assert code.max() < s.buckets and probes.shape[1] == s.probes
+        for i, own in enumerate(probes):
+            assert len(set(own.tolist())) == s.probes
+            hit = np.isin(code, own)
+            seen[i] |= hit
+            scored += hit.sum()
+    assert np.take_along_axis(seen, want, 1).mean() >= 0.9
+    assert scored / (n * len(queries)) < share
+
+
+def test_probes_are_the_least_misses():
+    x = ann._unit(np.random.default_rng(1).normal(size=(20, 8)), 8)
+    s = ann.Settings(8, (16, 16, 4), 30, 4)
+    parts = list(ann._axes(x, s, 3))
+    miss = [(a.max(axis=1, keepdims=True) - a) ** 2 for a in parts]
+    total = (miss[0][:, :, None, None] + miss[1][:, None, :, None] + miss[2][:, None, None, :]).reshape(20, -1)
+    for row, got in zip(total, ann.probe(x, s, 3), strict=True):
+        assert set(got.tolist()) == set(np.argsort(row)[:30].tolist())
+
+
 # ---------------------------------------------------------------- mixing
 
 def test_targets_reshare_the_excess():
