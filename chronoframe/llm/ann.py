@@ -162,21 +162,26 @@ _CELLS = 1 << 20
 
 
 def _index(classes: DataFrame, tables: int, kind: str) -> DataFrame:
+    """Bucket of every class in every table, as one row for each pair of them."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, s in _by_length(batches, _CELLS):
             x = _unit(_matrix(part.column("vec")), s.width)
-            for t in range(tables):
-                code = bucket(x, s, t)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("d"), pa.array(np.full(len(x), t, np.int32)), pa.array(code // s.inner), pa.array(code % s.inner),
-                     part.column("cid"), part.column("low"), part.column("vec")],
-                    names=["d", "table", "area", "fine", "cid", "low", "vec"])
+            code = np.stack([bucket(x, s, t) for t in range(tables)], axis=1).ravel()
+            ends = pa.array(np.arange(len(x) + 1, dtype=np.int32) * tables)
+            yield pa.RecordBatch.from_arrays(
+                [part.column("d"), part.column("cid"), part.column("low"), part.column("vec"),
+                 pa.ListArray.from_arrays(ends, pa.array(code // s.inner)), pa.ListArray.from_arrays(ends, pa.array(code % s.inner))],
+                names=["d", "cid", "low", "vec", "areas", "fines"])
 
-    return classes.select("d", "n", "cid", "low", "vec").mapInArrow(
-        run, f"d int, table int, area long, fine long, cid long, low long, vec {kind}")
+    # written once, as sizes and rows of the groups are both read from it; hashes travel without copies of the vectors
+    codes = materialize(classes.select("d", "n", "cid", "low", "vec").mapInArrow(
+        run, f"d int, cid long, low long, vec {kind}, areas array<long>, fines array<long>"), "codes")
+    return codes.select("d", "cid", "low", "vec", F.posexplode(F.arrays_zip("areas", "fines")).alias("table", "at")).select(
+        "d", "table", F.col("at.areas").alias("area"), F.col("at.fines").alias("fine"), "cid", "low", "vec")
 
 
 def _probes(queries: DataFrame, tables: int, kind: str) -> DataFrame:
+    """Groups of buckets that a query looks into in a table, with its buckets there, as one row for each group."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, s in _by_length(batches, _CELLS):
             x = _unit(_matrix(part.column("vec")), s.width)
@@ -185,22 +190,25 @@ def _probes(queries: DataFrame, tables: int, kind: str) -> DataFrame:
                 area, who = (code // s.inner).ravel(), np.repeat(np.arange(len(x)), code.shape[1])
                 first = np.flatnonzero(np.r_[True, (area[1:] != area[:-1]) | (who[1:] != who[:-1])])
                 fines = pa.ListArray.from_arrays(pa.array(np.r_[first, len(area)].astype(np.int32)), pa.array((code % s.inner).ravel()))
-                at = pa.array(who[first])
+                ends = pa.array(np.searchsorted(who[first], np.arange(len(x) + 1)).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("d").take(at), pa.array(np.full(len(first), t, np.int32)), pa.array(area[first]), fines,
-                     part.column("cid").take(at), part.column("vec").take(at)],
-                    names=["d", "table", "area", "fines", "qid", "vec"])
+                    [part.column("d"), pa.array(np.full(len(x), t, np.int32)), part.column("cid"), part.column("vec"),
+                     pa.ListArray.from_arrays(ends, pa.array(area[first])), pa.ListArray.from_arrays(ends, fines)],
+                    names=["d", "table", "qid", "vec", "areas", "fines"])
 
-    return queries.select("d", "n", "cid", "vec").mapInArrow(
-        run, f"d int, table int, area long, fines array<long>, qid long, vec {kind}")
+    looks = materialize(queries.select("d", "n", "cid", "vec").mapInArrow(
+        run, f"d int, table int, qid long, vec {kind}, areas array<long>, fines array<array<long>>"), "looks")
+    return looks.select("d", "table", "qid", "vec", F.explode(F.arrays_zip("areas", "fines")).alias("at")).select(
+        "d", "table", F.col("at.areas").alias("area"), F.col("at.fines").alias("fines"), "qid", "vec")
 
 
 def _rerank(members: DataFrame, probes: DataFrame, keep: int) -> DataFrame:
     """``qid``, ``cid``, ``low``, ``score``: the best ``keep`` classes of each query in each group of buckets."""
     place = ["d", "table", "area"]
     size = lambda df, n: df.groupBy(*place).agg(F.ceil(F.count(F.lit(1)) / GROUP_ROWS).cast("int").alias(n))
-    # only groups to be split are listed; a place that isn't has one part
-    ms, qs = size(members, "ms").filter("ms > 1"), size(probes, "qs").filter("qs > 1")
+    # only groups to be split are listed, a place that isn't has one part; written, so that the planner knows their size
+    ms = materialize(size(members, "ms").filter("ms > 1"), "member-parts")
+    qs = materialize(size(probes, "qs").filter("qs > 1"), "query-parts")
     one = lambda c: F.coalesce(F.col(c), F.lit(1))
     both = lambda df: df.join(qs, place, "left").join(ms, place, "left").withColumns({"ms": one("ms"), "qs": one("qs")})
     left = (both(members).withColumn("mi", F.pmod(F.xxhash64("cid"), "ms").cast("int"))
