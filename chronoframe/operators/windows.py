@@ -285,7 +285,7 @@ def window_features(df: DataFrame, stages, keys: Sequence[str] = ("series_id",),
             timed = [e for e in st if e.seconds]
             named = [WinExpr(f"_timed_{i}", e.build, seconds=e.seconds) for i, e in enumerate(timed)]
             if named:
-                out = _time_chunks(out, named, keys, order, chunk_rows)
+                out = _time_features(out, named, keys, order, chunk_rows)
             if len(timed) < len(st):
                 out = window_features(out, [[e for e in st if not e.seconds]], keys, order, "halo", chunk_rows, bucket)
             out = out.withColumns({e.name: F.col(n.name) for e, n in zip(timed, named)}).drop(*[n.name for n in named])
@@ -314,19 +314,32 @@ def window_features(df: DataFrame, stages, keys: Sequence[str] = ("series_id",),
     return out.where(F.col("_part") == F.col("_home")).drop("_rn", "_home", "_part")
 
 
-def _time_chunks(df: DataFrame, exprs: list[WinExpr], keys: list[str], order: list[str], chunk_rows: int) -> DataFrame:
-    """Time look-backs of long series: windows per ``(keys, time chunk)`` with a halo in time.
+def time_chunks(df: DataFrame, span: int, keys: Sequence[str], time_col: str, chunk_rows: int) -> DataFrame:
+    """Rows with a time, dealt to chunks: ``_home`` is a row's own chunk, ``_part`` the chunk that this copy serves.
 
-    A chunk is at least as wide as the longest look-back, so the tail of the
-    chunk before it is all the halo there is, however many rows lie in it.
-    Chunks are whole seconds, so equal instants stay together.
+    Time is laid out in cells of ``span`` seconds.  A running sum over the
+    counted cells joins neighbours into chunks of about half of ``chunk_rows``
+    rows, so bursts and gaps make no difference; a chunk is one cell at least.
+    A row reaches into the next cell at most, so the last cell before a chunk
+    is all the halo there is.
     """
-    span = max(e.seconds for e in exprs) + 1
-    width = max(span, bucket_width(df, keys, order[0], max(1, chunk_rows // 2)) // 1_000_000)
-    epoch = F.expr(_EPOCH.format(c=f"`{order[0]}`"))
-    home = F.floor(epoch / F.lit(width)).cast("bigint")
-    copies = F.array(home, F.when((home + 1) * F.lit(width) - epoch <= F.lit(span), home + 1))
-    parts = df.withColumn("_home", home).withColumn("_part", F.explode(F.array_compact(copies)))
+    keys = list(keys)
+    epoch = F.expr(_EPOCH.format(c=f"`{time_col}`"))
+    dated = df.where(F.col(time_col).isNotNull()).withColumn("_cell", F.floor(epoch / F.lit(span)).cast("bigint"))
+    in_order = Window.partitionBy(*keys).orderBy("_cell")
+    before = F.coalesce(F.sum("_n").over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counted = dated.groupBy(*keys, "_cell").agg(F.count(F.lit(1)).alias("_n"))
+    chunked = counted.withColumn("_home", F.floor(before / F.lit(max(1, chunk_rows // 2))).cast("bigint"))
+    following = F.lead("_home").over(in_order)
+    beside = F.lead("_cell").over(in_order) == F.col("_cell") + 1
+    cells = chunked.withColumn("_next", F.when(beside & (following != F.col("_home")), following)).drop("_n")
+    return join_keyed(dated, cells, [*keys, "_cell"]).withColumn(
+        "_part", F.explode(F.array_compact(F.array("_home", "_next")))).drop("_cell", "_next")
+
+
+def _time_features(df: DataFrame, exprs: list[WinExpr], keys: list[str], order: list[str], chunk_rows: int) -> DataFrame:
+    """Time look-backs of long series: windows per ``(keys, time chunk)``."""
+    parts = time_chunks(df, max(e.seconds for e in exprs) + 1, keys, order[0], chunk_rows)
     pkeys = keys + ["_part"]
     ctx = Ctx(Window.partitionBy(*pkeys).orderBy(*order), pkeys, [F.col(o) for o in order], order[0])
     out = parts.withColumns({e.name: e.build(ctx) for e in exprs})
