@@ -84,6 +84,25 @@ FALLBACK_ADVICE = {
     ),
 }
 ADVICE_DEFAULT_CATEGORY = "Moderate"
+# category -> colour and badge of its label
+CATEGORY_BADGES = [
+    ("Good", "#38a169", "badge-good"),
+    ("Moderate", "#d69e2e", "badge-moderate"),
+    ("Unhealthy for Sensitive Groups", "#ed8936", "badge-sensitive"),
+    ("Unhealthy", "#e53e3e", "badge-unhealthy"),
+    ("Very Unhealthy", "#805ad5", "badge-very"),
+    ("Hazardous", "#c53030", "badge-hazardous"),
+]
+DEFAULT_BADGE = "badge-moderate"
+# request text for advice: value and category
+ADVICE_PROMPT = (
+    "You are an air quality health advisor.\n\n"
+    "Mumbai AQI forecast:\nAQI: %s\nCategory: %s\n\n"
+    "Provide advice in this format:\n\n"
+    "General Public:\n- bullet point\n- bullet point\n\n"
+    "Sensitive Groups:\n- bullet point\n- bullet point\n\n"
+    "Keep it concise and practical."
+)
 ADVICE_HEADER = "*⚠️ AI advisor unavailable — showing standard guidance for **%s** (AQI %s).*\n\n"
 # -----------------------------------------------------------------------------
 
@@ -137,6 +156,19 @@ def with_advice(df: DataFrame, category_col: str, aqi_col: str, name: str = "adv
     return out.withColumn(name, F.concat(header, body)).drop("_acat", "advice_body")
 
 
+def with_badge(df: DataFrame, category_col: str, color: str = "badge_color", badge: str = "badge") -> DataFrame:
+    """Colour and badge of a category (J7): an unknown one has the default badge and no colour, null has neither."""
+    known = df.sparkSession.createDataFrame(CATEGORY_BADGES, f"_bcat string, `{color}` string, `{badge}` string")
+    return df.join(F.broadcast(known), F.col(category_col) == F.col("_bcat"), "left").drop("_bcat").withColumn(
+        badge, F.when(F.col(category_col).isNotNull(), F.coalesce(F.col(badge), F.lit(DEFAULT_BADGE))))
+
+
+def with_prompt(df: DataFrame, category_col: str, aqi_col: str, name: str = "prompt") -> DataFrame:
+    """Request text for a row's value and category; null if either is."""
+    text = F.format_string(ADVICE_PROMPT, F.col(aqi_col).cast("string"), F.col(category_col))
+    return df.withColumn(name, F.when(F.col(aqi_col).isNotNull() & F.col(category_col).isNotNull(), text))
+
+
 def pollutant_limits(spark: SparkSession) -> DataFrame:
     schema = T.StructType([T.StructField("pollutant", T.StringType()), T.StructField("safe_limit", T.DoubleType()),
                            T.StructField("unit", T.StringType()), T.StructField("label", T.StringType())])
