@@ -3,7 +3,13 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; :func:`run`
 writes every stage's result as Parquet into the session's shared folder and
 reads it again as the next stage's ``docs``.  All stages but the last return
-the columns of ``documents``.
+the columns of ``documents``, with whatever further columns came in.
+
+Odd rows, for all stages: rows with null or repeated keys are rows of their
+own; a null source is a source of its own; an empty table gives an empty one.
+Documents without text, or of fewer than 20 words, end at the quality rules.
+Repeated rows and copies under other keys pass the first two stages and become
+one row in the third; long texts are read whole and packed in pieces.
 """
 
 from __future__ import annotations
