@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronoframe.functions.calendar import weekday0
-from chronoframe.operators.keyed import join_keyed
+from chronoframe.operators.keyed import broadcast_few, join_keyed
 from chronoframe.operators.quantiles import quantiles_from_counts, quantiles_long, to_long, value_counts
 from chronoframe.session import cut_lineage
 
@@ -147,7 +147,7 @@ def box_stats(df: DataFrame, col: str, group: str) -> DataFrame:
                                   for p, n in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))])
     wide = wide.withColumn("iqr", F.col("q3") - F.col("q1"))
     # one row per group; null is a group of its own
-    j = join_keyed(counts, wide, [group])
+    j = join_keyed(counts, broadcast_few(cut_lineage(wide)), [group])
     inside = (F.col("_v") >= F.col("q1") - 1.5 * F.col("iqr")) & (F.col("_v") <= F.col("q3") + 1.5 * F.col("iqr"))
     return j.groupBy(group, "q1", "median", "q3", "iqr").agg(
         F.sum("_c").alias("n"), F.min(F.when(inside, F.col("_v"))).alias("whisker_lo"),

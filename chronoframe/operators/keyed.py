@@ -18,3 +18,12 @@ def join_keyed(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str
         cond = cond & left[k].eqNullSafe(renamed[r])
     out = left.join(renamed, cond, how)
     return out if how in ("left_semi", "left_anti") else out.drop(*names.values())
+
+
+def broadcast_few(df: DataFrame, rows: int = 10_000) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``rows`` rows (an action counts them).
+
+    A table with a row for each of a few keys then never deals the many rows of
+    the other side to one task per key.
+    """
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -7,12 +7,10 @@ lands whole in one task.  Here:
 * when every group has at most ``small_group_rows`` values (checked on the
   per-group count table) Spark's exact ``percentile`` aggregate is used -- its
   per-group buffer is then bounded;
-* otherwise groups with at most ``small_group_rows`` values are ranked
-  directly with ``row_number`` (bounded per task);
-* larger groups get ``buckets - 1`` approximate quantile edges
-  (``percentile_approx``, mergeable sketches), values are counted per
-  bucket, each wanted rank is located in its bucket, and only that bucket's
-  rows are ranked -- recursively if a bucket is still large (an action on the
+* otherwise the distinct values are counted, dealt by range into pieces of
+  bounded size (one range shuffle, whatever the number of groups) and counted
+  per piece; each wanted rank is located in its piece, and only that piece's
+  rows are ranked -- recursively if a piece is still large (an action on the
   small count table decides whether another level is needed).
 
 Quantiles follow pandas/``percentile_cont``: ``pos = p*(n-1)``, linear
@@ -26,7 +24,7 @@ from typing import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronoframe.operators.keyed import join_keyed
+from chronoframe.operators.keyed import broadcast_few, join_keyed
 from chronoframe.session import cut_lineage
 
 
@@ -51,38 +49,34 @@ def _values_at_ranks(values: DataFrame, groups: list[str], ranks: DataFrame,
     """``ranks(groups, _r)`` -> ``(groups, _r, _val)`` with the ``_r``-th smallest value.
 
     ``values``: distinct ``_v`` of each group with their count ``_c``, so a value
-    that fills most of a group is one row.  A group with more than ``small``
-    distinct values is cut at approximate quantiles of its distinct values;
-    every level divides them by about ``buckets``, so the depth is
-    ``log(distinct / small, buckets)``.
+    that fills most of a group is one row.  While a group has more than ``small``
+    of them, all are dealt by range of ``(groups, _v)`` into pieces of about
+    ``small / 2`` rows, at most ``buckets`` a group on average: as many tasks as
+    the rows ask for, however few the groups.  The largest group falls by
+    ``buckets`` a level, so the depth is ``log(distinct / small, buckets)``.
     """
-    cnt = values.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"))
-    if cnt.where(F.col("_n") > small).limit(1).count() == 0:
+    size = values.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n")).agg(
+        F.max("_n").alias("most"), F.sum("_n").alias("rows"), F.count(F.lit(1)).alias("groups")).first()
+    if (size["most"] or 0) <= small:
         return _ranked(values, groups, ranks)
-    sized = join_keyed(values, cnt, groups)
-    small_vals = _ranked(sized.where(F.col("_n") <= small).drop("_n"), groups, ranks)
     bn = f"_b{depth}"
-    big = sized.where(F.col("_n") > small).drop("_n")
-    probs = [i / buckets for i in range(1, buckets)]
-    edges = big.groupBy(*groups).agg(
-        F.percentile_approx("_v", probs, buckets * 20).alias("_edges"))
-    bb = join_keyed(big, edges, groups).withColumn(
-        bn, F.size(F.filter("_edges", lambda e: e < F.col("_v")))).drop("_edges")
-    bc = bb.groupBy(*groups, bn).agg(F.sum("_c").alias("_bn"))
+    pieces = max(2, min(buckets * size["groups"], -(-size["rows"] // max(1, small // 2))))
+    # written once: the ranges come from a sample, and rows meet them in two places of the plan
+    dealt = cut_lineage(values.repartitionByRange(pieces, *groups, "_v").withColumn(bn, F.spark_partition_id()))
+    bc = dealt.groupBy(*groups, bn).agg(F.sum("_c").alias("_bn"))
     wo = Window.partitionBy(*groups).orderBy(bn).rowsBetween(Window.unboundedPreceding, -1)
     bc = bc.withColumn("_lo", F.coalesce(F.sum("_bn").over(wo), F.lit(0)))
-    # each wanted rank -> its bucket (a group has <= buckets rows here and few ranks)
+    # each wanted rank -> its piece (few ranks, and together no more rows than groups and pieces)
     located = (join_keyed(ranks, bc, groups, where=(F.col("_r") >= F.col("_lo")) & (F.col("_r") < F.col("_lo") + F.col("_bn")))
                .select(*groups, bn, "_r", (F.col("_r") - F.col("_lo")).alias("_rr")))
     located = cut_lineage(located)
-    # only the values of the located buckets go one level down; lineage is cut so
+    # only the values of the located pieces go one level down; lineage is cut so
     # plans stay flat however deep the refinement goes
-    sub = cut_lineage(join_keyed(bb, located.select(*groups, bn).distinct(), [*groups, bn], "left_semi"))
+    sub = cut_lineage(join_keyed(dealt, broadcast_few(located.select(*groups, bn).distinct()), [*groups, bn], "left_semi"))
     sub_ranks = located.select(*groups, bn, F.col("_rr").alias("_r")).distinct()
     inner = _values_at_ranks(sub, [*groups, bn], sub_ranks, small, buckets, depth + 1)
-    big_vals = (join_keyed(located, inner.withColumnRenamed("_r", "_rr"), [*groups, bn, "_rr"])
-                .select(*groups, "_r", "_val"))
-    return small_vals.unionByName(big_vals)
+    return (join_keyed(located, inner.withColumnRenamed("_r", "_rr"), [*groups, bn, "_rr"])
+            .select(*groups, "_r", "_val"))
 
 
 def quantiles_long(long: DataFrame, groups: Sequence[str], probs: Sequence[float],
@@ -98,7 +92,7 @@ def quantiles_long(long: DataFrame, groups: Sequence[str], probs: Sequence[float
         agg = long.groupBy(*groups).agg(F.percentile("_v", F.array(*[F.lit(p) for p in pl])).alias("_q"))
         return agg.select(*groups, F.posexplode("_q").alias("_i", "value")).select(
             *groups, F.element_at(F.array(*[F.lit(p) for p in pl]), F.col("_i") + 1).alias("p"), "value")
-    return quantiles_from_counts(value_counts(long, groups), groups, probs, small_group_rows, buckets)
+    return quantiles_from_counts(cut_lineage(value_counts(long, groups)), groups, probs, small_group_rows, buckets)
 
 
 def value_counts(long: DataFrame, groups: Sequence[str], value_col: str = "_v") -> DataFrame:

@@ -124,3 +124,22 @@ def test_null_keys_are_a_group(spark):
     holes = df.withColumn("v", df.v * (df.i > 2).cast("int")).replace(0.0, None, subset=["v"])
     filled = nulls.fill_with_medians(holes, ["v"], keys=["k"])
     assert filled.count() == 20 and filled.where("v is null").count() == 0
+
+
+def test_large_groups_are_dealt_by_range(spark, monkeypatch):
+    """Two large groups, one null: their values lie in many small pieces, not in one task a group."""
+    from chronoframe.operators import quantiles as Q
+    from chronoframe.operators.aggregates import box_stats
+    df = spark.range(20_000).select(F.when(F.col("id") % 3 > 0, "a").alias("g"), ((F.col("id") * 7919) % 20_011).cast("double").alias("v"))
+    df = df.unionByName(df.limit(5_000)).unionByName(spark.createDataFrame([("b", 1.0), ("b", 4.0), ("e", None)], "g string, v double"))
+    seen, cut = [], Q.cut_lineage
+    monkeypatch.setattr(Q, "cut_lineage", lambda d: (seen.append(cut(d)), seen[-1])[1])
+    got = {(r.g, r.p): r.value for r in Q.quantiles_from_counts(Q.value_counts(df.select("g", F.col("v").alias("_v")), ["g"]), ["g"], [0.0, 0.25, 0.5, 1.0], 1000).collect()}
+    pdf = df.where("v is not null").toPandas().fillna({"g": ""})
+    assert {g for g, _ in got} == {"a", "b", None}
+    for (g, p), v in got.items():
+        assert v == pytest.approx(np.percentile(pdf[pdf.g == (g or "")].v, 100 * p), rel=1e-12)
+    sizes = [[r["count"] for r in d.groupBy(F.spark_partition_id()).count().collect()] for d in seen]
+    assert any(sum(s) == 20_002 and max(s) <= 1000 for s in sizes)
+    whole = {r.g: (r.q1, r.median, r.q3, r.n) for r in box_stats(df, "v", "g").collect()}
+    assert whole["b"] == (1.75, 2.5, 3.25, 2) and whole["a"][1] == got["a", 0.5] and whole[None][0] == got[None, 0.25]
