@@ -12,8 +12,9 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronoframe.operators.keyed import join_keyed
+from chronoframe.operators.keyed import broadcast_few, join_keyed
 from chronoframe.operators.windows import DEFAULT_CHUNK_ROWS, RangeBuckets, heavy_keys, with_ordinal
+from chronoframe.session import cut_lineage
 
 
 def _ts(v: str) -> Column:
@@ -51,17 +52,18 @@ def with_positions(df: DataFrame, keys: Sequence[str] = (), order: Sequence[str]
     ``row_number`` per series while every series has at most ``chunk_rows``
     rows (checked on a key-only count); otherwise exact ordinals from
     bucketed counts, the buckets cut where the rows of the series are, so a
-    hot or bursty series never lands in one task.
+    hot or bursty series never lands in one task; few series are joined with
+    their lengths by broadcast.
     """
-    keys = list(keys)
+    keys, heavy = list(keys), False
     if heavy_keys(df, keys, chunk_rows).limit(1).count() == 0:
         o = df.withColumn("pos", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
     else:
         b = RangeBuckets(max(1, chunk_rows // 4)) if bucket == "auto" else bucket
-        o = with_ordinal(df, keys, order, bucket=b, name="pos")
+        o, heavy = with_ordinal(df, keys, order, bucket=b, name="pos"), True
     n = o.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     if keys:
-        return join_keyed(o, n, keys)
+        return join_keyed(o, broadcast_few(cut_lineage(n)) if heavy else n, keys)
     return o.withColumn("_g", F.lit(0)).join(F.broadcast(n.withColumn("_g", F.lit(0))), "_g").drop("_g")
 
 

@@ -40,7 +40,7 @@ from typing import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronoframe.operators.keyed import join_keyed
+from chronoframe.operators.keyed import broadcast_few, join_keyed
 from chronoframe.session import cut_lineage
 
 DEFAULT_CHUNK_ROWS = 1_000_000
@@ -167,31 +167,25 @@ def bucket_width(df: DataFrame, keys: Sequence[str], order_col: str, target_rows
 
 @dataclass(frozen=True)
 class RangeBuckets:
-    """Buckets of about ``rows`` rows each, cut where the rows of a series are, however unevenly they lie in time."""
+    """Buckets of about ``rows`` rows each, cut where the rows of a series are, however unevenly they lie in time.
+
+    ``fan`` is kept for callers that name it; one range shuffle needs no levels.
+    """
 
     rows: int
     fan: int = 64
 
 
-def _range_buckets(df: DataFrame, keys: list[str], col: str, cut: RangeBuckets, name: str) -> DataFrame:
-    """Add bucket ``name``, rising with ``col`` inside a series.
+def _range_buckets(df: DataFrame, keys: list[str], order: str | Sequence[str], cut: RangeBuckets, name: str) -> DataFrame:
+    """Add bucket ``name``, rising with ``order`` inside a series.
 
-    Each level cuts every bucket at approximate quantiles of its own rows, so
-    bursts and gaps make no difference; only equal values stay together.  Edges
-    are written once, as the rows meet them in two places of the plan.
+    All rows are dealt by range of ``keys`` and ``order`` and written once with
+    the number of their range, so bursts, gaps and few long series make no
+    difference; only rows equal in all these columns stay together.
     """
-    most = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0
-    levels, at = 1, cut.fan
-    while at * cut.rows < most:
-        levels, at = levels + 1, at * cut.fan
-    value = F.col(col) if dict(df.dtypes)[col] in ("bigint", "int", "double") else _epoch_us(col)
-    out = df.withColumn(name, F.lit(0).cast("bigint"))
-    probs = [i / cut.fan for i in range(1, cut.fan)]
-    for _ in range(levels):
-        edges = cut_lineage(out.groupBy(*keys, name).agg(F.percentile_approx(value, probs, cut.fan * 50).alias("_edges")))
-        below = F.coalesce(F.size(F.filter("_edges", lambda e: e < value)), F.lit(0))
-        out = join_keyed(out, edges, [*keys, name]).withColumn(name, F.col(name) * cut.fan + F.greatest(below, F.lit(0))).drop("_edges")
-    return out
+    order = [order] if isinstance(order, str) else list(order)
+    pieces = max(1, -(-df.count() // cut.rows))
+    return cut_lineage(df.repartitionByRange(pieces, *keys, *order).withColumn(name, F.spark_partition_id().cast("bigint")))
 
 
 def with_ordinal(df: DataFrame, keys: Sequence[str], order: Sequence[str],
@@ -202,12 +196,14 @@ def with_ordinal(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     sum over that small count table gives each bucket's offset, and a
     ``row_number`` inside the bucket finishes the ordinal.  No task ever sees
     more than one bucket of one series, so a hot series is split by time.
+    :class:`RangeBuckets` are ranges of the rows themselves instead.
     ``order`` must be a total order (end it with a unique key).
     """
     keys, order = list(keys), list(order)
     tb = "_tb"
-    if isinstance(bucket, RangeBuckets):
-        based = _range_buckets(df, keys, order[0], bucket, tb)
+    ranged = isinstance(bucket, RangeBuckets)
+    if ranged:
+        based = _range_buckets(df, keys, order, bucket, tb)
     else:
         based = df.withColumn(tb, _bucket(order[0], bucket))
     counts = based.groupBy(*keys, tb).agg(F.count(F.lit(1)).alias("_cnt"))
@@ -215,6 +211,9 @@ def with_ordinal(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     offsets = counts.select(*[F.col(k).alias(f"_ok_{i}") for i, k in enumerate(keys)],
                             F.col(tb).alias("_otb"),
                             F.coalesce(F.sum("_cnt").over(wk), F.lit(0)).alias("_off"))
+    if ranged:
+        # no more rows than series and buckets together
+        offsets = broadcast_few(cut_lineage(offsets))
     cond = [based[k].eqNullSafe(offsets[f"_ok_{i}"]) for i, k in enumerate(keys)]
     cond.append(based[tb].eqNullSafe(offsets["_otb"]))
     joined = based.join(offsets, on=cond, how="inner")

@@ -65,3 +65,19 @@ def test_scenario_of_several_series(spark):
         mine = F.col("series_id").eqNullSafe(F.lit(k))
         assert sorted(map(tuple, keyed.where(mine).drop("series_id").collect())) == sorted(map(tuple, cmp.collect()))
         assert tuple(total.where(mine).drop("series_id").first()) == tuple(one.first())
+
+
+def test_long_series_are_dealt_by_range(spark, monkeypatch):
+    """Three long series whose rows share few instants: many small pieces, and the same split as by sorting each series."""
+    from chronoframe.operators import windows as W
+    rows = [(k, dt.datetime(2024, 1, 1) + dt.timedelta(hours=(i * 7) % 3), (i * 31) % 997) for k, m in (("a", 997), (None, 600), ("b", 3)) for i in range(m)]
+    df = spark.createDataFrame(rows, "k string, time timestamp_ntz, i int")
+    seen, cut = [], W.cut_lineage
+    monkeypatch.setattr(W, "cut_lineage", lambda d: (seen.append(cut(d)), seen[-1])[1])
+    got = {(r.k, r.time, r.i): r.split for r in S.positional_split(df, 0.8, ["k"], ["time", "i"], chunk_rows=100).collect()}
+    for k in ("a", None, "b"):
+        mine = sorted(r for r in rows if r[0] == k) if k else sorted((r for r in rows if r[0] is None), key=lambda r: r[1:])
+        assert [got[r] for r in mine] == ["train"] * int(len(mine) * 0.8) + ["test"] * (len(mine) - int(len(mine) * 0.8))
+    assert len(got) == len(rows)
+    sizes = [[r["count"] for r in d.groupBy(F.spark_partition_id()).count().collect()] for d in seen]
+    assert any(sum(s) == len(rows) and max(s) <= 60 for s in sizes)
