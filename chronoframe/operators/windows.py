@@ -44,6 +44,10 @@ from chronoframe.operators.keyed import broadcast_few, join_keyed
 from chronoframe.session import cut_lineage
 
 DEFAULT_CHUNK_ROWS = 1_000_000
+#: Ranges smaller than a task is worth are made only while there are few of them.
+FEW_RANGES, LEAST_RANGE_ROWS = 64, 100_000
+#: Keys of heavy series, no rows of theirs, that are broadcast at most.
+HEAVY_KEYS_SENT = 100_000
 _EPOCH = "timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {c})"
 
 
@@ -169,11 +173,15 @@ def bucket_width(df: DataFrame, keys: Sequence[str], order_col: str, target_rows
 class RangeBuckets:
     """Buckets of about ``rows`` rows each, cut where the rows of a series are, however unevenly they lie in time.
 
+    A bucket is a task: more than ``FEW_RANGES`` are made only while each has
+    ``LEAST_RANGE_ROWS`` rows, so small ``rows`` never mean a task for every few rows.
     ``fan`` is kept for callers that name it; one range shuffle needs no levels.
+    ``of`` is the number of rows in all if it is known; otherwise they are counted.
     """
 
     rows: int
     fan: int = 64
+    of: int | None = None
 
 
 def _range_buckets(df: DataFrame, keys: list[str], order: str | Sequence[str], cut: RangeBuckets, name: str) -> DataFrame:
@@ -184,7 +192,8 @@ def _range_buckets(df: DataFrame, keys: list[str], order: str | Sequence[str], c
     difference; only rows equal in all these columns stay together.
     """
     order = [order] if isinstance(order, str) else list(order)
-    pieces = max(1, -(-df.count() // cut.rows))
+    rows = df.count() if cut.of is None else cut.of
+    pieces = max(1, min(-(-rows // cut.rows), max(FEW_RANGES, -(-rows // LEAST_RANGE_ROWS))))
     return cut_lineage(df.repartitionByRange(pieces, *keys, *order).withColumn(name, F.spark_partition_id().cast("bigint")))
 
 
@@ -196,7 +205,8 @@ def with_ordinal(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     sum over that small count table gives each bucket's offset, and a
     ``row_number`` inside the bucket finishes the ordinal.  No task ever sees
     more than one bucket of one series, so a hot series is split by time.
-    :class:`RangeBuckets` are ranges of the rows themselves instead.
+    :class:`RangeBuckets` are ranges of the rows themselves instead; there only
+    the series that go on over the edge of a range have offsets to be joined.
     ``order`` must be a total order (end it with a unique key).
     """
     keys, order = list(keys), list(order)
@@ -212,13 +222,13 @@ def with_ordinal(df: DataFrame, keys: Sequence[str], order: Sequence[str],
                             F.col(tb).alias("_otb"),
                             F.coalesce(F.sum("_cnt").over(wk), F.lit(0)).alias("_off"))
     if ranged:
-        # no more rows than series and buckets together
-        offsets = broadcast_few(cut_lineage(offsets))
+        # only the first series of a range can have begun before it: no more rows than ranges
+        offsets = broadcast_few(cut_lineage(offsets.where(F.col("_off") > 0)))
     cond = [based[k].eqNullSafe(offsets[f"_ok_{i}"]) for i, k in enumerate(keys)]
     cond.append(based[tb].eqNullSafe(offsets["_otb"]))
-    joined = based.join(offsets, on=cond, how="inner")
+    joined = based.join(offsets, on=cond, how="left" if ranged else "inner")
     w = Window.partitionBy(*keys, tb).orderBy(*order)
-    out = joined.withColumn(name, F.col("_off") + F.row_number().over(w) - 1)
+    out = joined.withColumn(name, F.coalesce("_off", F.lit(0)) + F.row_number().over(w) - 1)
     return out.drop(*[f"_ok_{i}" for i in range(len(keys))], "_otb", "_off", tb)
 
 
@@ -232,8 +242,11 @@ def _as_stages(stages) -> list[list[WinExpr]]:
 
 def heavy_keys(df: DataFrame, keys: Sequence[str], chunk_rows: int) -> DataFrame:
     """Series with more than ``chunk_rows`` rows (at most ``N / chunk_rows`` of them)."""
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    return counts.where(F.col("_n") > chunk_rows).select(*keys)
+    return _heavy_counts(df, keys, chunk_rows).select(*keys)
+
+
+def _heavy_counts(df: DataFrame, keys: Sequence[str], chunk_rows: int) -> DataFrame:
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > chunk_rows)
 
 
 def window_features(df: DataFrame, stages, keys: Sequence[str] = ("series_id",),
@@ -243,7 +256,8 @@ def window_features(df: DataFrame, stages, keys: Sequence[str] = ("series_id",),
 
     ``bucket`` is the ordinal bucket (see :func:`with_ordinal`); ``"auto"``
     cuts heavy series where their rows are, so a bucket holds about
-    ``chunk_rows / 4`` rows (``"hour"`` when the halo plan is forced).
+    ``chunk_rows / 4`` rows, or more if that made too many buckets, see
+    :class:`RangeBuckets` (``"hour"`` when the halo plan is forced).
     """
     stages = _as_stages(stages)
     keys, order = list(keys), list(order)
@@ -256,12 +270,14 @@ def window_features(df: DataFrame, stages, keys: Sequence[str] = ("series_id",),
         if not keys:
             hb = RangeBuckets(max(1, chunk_rows // 4)) if bucket == "auto" else bucket
             return window_features(df, stages, keys, order, "halo", chunk_rows, hb)
-        hk = heavy.select(*[F.col(k).alias(f"_hk_{i}") for i, k in enumerate(keys)])
+        # counted once more and written: the rows meet the heavy keys in several passes
+        counted = cut_lineage(_heavy_counts(df, keys, chunk_rows))
+        hk = broadcast_few(counted.select(*[F.col(k).alias(f"_hk_{i}") for i, k in enumerate(keys)]), HEAVY_KEYS_SENT)
         cond = [df[k].eqNullSafe(hk[f"_hk_{i}"]) for i, k in enumerate(keys)]
         light_rows = df.join(hk, on=cond, how="left_anti")
         heavy_rows = df.join(hk, on=cond, how="left_semi")
         light = window_features(light_rows, stages, keys, order, "series", chunk_rows, bucket)
-        hb = RangeBuckets(max(1, chunk_rows // 4)) if bucket == "auto" else bucket
+        hb = RangeBuckets(max(1, chunk_rows // 4), of=counted.agg(F.sum("_n")).first()[0]) if bucket == "auto" else bucket
         heavy_out = window_features(heavy_rows, stages, keys, order, "halo", chunk_rows, hb)
         return light.unionByName(heavy_out)
     if strategy == "series":
@@ -297,13 +313,10 @@ def window_features(df: DataFrame, stages, keys: Sequence[str] = ("series_id",),
     rn = F.col("_rn")
     home = F.floor(rn / chunk_rows)
     pos = rn - home * chunk_rows
-    copies = [home]
-    if back:
-        copies.append(F.when(pos >= chunk_rows - back, home + 1))
-    if fwd:
-        copies.append(F.when(pos < fwd, home - 1))
-    parts = (based.withColumn("_home", home)
-             .withColumn("_part", F.explode(F.filter(F.array(*copies), lambda x: x.isNotNull()))))
+    # a row serves its own chunk and at most one beside it; no chunk lies before the first
+    first = F.when((pos < fwd) & (home > 0), home - 1).otherwise(home)
+    last = F.when(pos >= chunk_rows - back, home + 1).otherwise(home)
+    parts = based.withColumn("_home", home).withColumn("_part", F.explode(F.sequence(first, last)))
     pkeys = keys + ["_part"]
     w = Window.partitionBy(*pkeys).orderBy("_rn")
     ctx = Ctx(w, pkeys, [rn], order[0])

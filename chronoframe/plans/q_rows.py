@@ -366,7 +366,8 @@ def q_lag_rows_halo(spark, sf):
     plain window of the oracle."""
     exprs = [W.lag("value", 1, "value_lag_1"), W.lag("value", 24, "value_lag_24"),
              W.lead("value", 24, "value_lead_24"), W.rolling("value", 24, "mean", "value_roll_mean_24")]
-    out = rwin(rows(spark, sf), exprs, strategy="auto", chunk_rows=60)
+    # rows are written on the way: only the columns that the windows read
+    out = rwin(rows(spark, sf).select("event_id", "series_id", "ts", "value"), exprs, strategy="auto", chunk_rows=60)
     return out.select("event_id", "series_id", r9("value_lag_1"), r9("value_lag_24"), r9("value_lead_24"),
                       r9("value_roll_mean_24"))
 

@@ -195,3 +195,25 @@ def test_time_chunks_follow_the_rows(spark):
     assert len(got) == len(rows) and dated(got) == dated(want)
     sizes = [r["count"] for r in W.time_chunks(df, 24 * 3600 + 1, ["series_id"], "time", 100).groupBy("series_id", "_part").count().collect()]
     assert max(sizes) <= 50 + 2 * 26 and len(sizes) > 30
+
+
+def test_small_chunks_of_many_rows_make_few_ranges(spark, monkeypatch):
+    """Chunks of 60 rows over 20,000 rows: few ranges, not one for every 15 rows, and the rows of the plain plan."""
+    i = F.col("id")
+    key = F.when(i < 14_850, i % 150).when(i < 14_890, F.lit(-1)).when(i < 14_960, F.lit(None)).otherwise(F.lit(777))
+    df = spark.range(20_000).select(
+        i.alias("i"), key.cast("long").alias("series_id"),
+        F.when(i % 41 > 0, F.timestamp_seconds(1_700_000_000 + (i * 7) % 13).cast("timestamp_ntz")).alias("time"),
+        F.when(i % 5 > 0, ((i * 37) % 101).cast("double")).alias("v"))
+    seen, cut = [], W.cut_lineage
+    monkeypatch.setattr(W, "cut_lineage", lambda d: (seen.append(cut(d)), seen[-1])[1])
+    kw = dict(keys=["series_id"], order=["time", "i"])
+    exprs = [W.lag("v", 1, "l1"), W.lag("v", 24, "l24"), W.lead("v", 24, "f24"), W.rolling("v", 24, "mean", "m24")]
+    got = W.window_features(df, exprs, chunk_rows=60, **kw)
+    pd.testing.assert_frame_equal(W.window_features(df, exprs, strategy="series", **kw).orderBy("i").toPandas(), got.orderBy("i").toPandas())
+    dealt, carried = [d for d in seen if "v" in d.columns], [d for d in seen if "_off" in d.columns]
+    assert [d.count() for d in dealt] == [19_960] and dealt[0].rdd.getNumPartitions() <= 64
+    assert [0 < d.count() <= 64 for d in carried] == [True]
+    ahead = [W.lead("v", 7, "f7")]
+    pd.testing.assert_frame_equal(*(W.window_features(df.where("series_id = 777"), ahead, strategy=s, chunk_rows=30, bucket=W.RangeBuckets(7), **kw)
+                                    .orderBy("i").toPandas() for s in ("series", "halo")))
